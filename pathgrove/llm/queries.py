@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, media, url_filter
+from . import chat, media, piece_bpe, url_filter
 from .common import materialise, table
 
 
+PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
+
+
+def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -23,6 +31,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(media.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filters, op9_chat_formatting, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op4_piece_encoding, op6_url_filters, op9_chat_formatting, op10_media_columns)}
 
 ORACLES: dict[str, str] = {}

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialise
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -85,8 +85,9 @@ def judge_urls(
         F.count_if(F.col("ruled") == "block").alias("bad"),
     )
     tree = tree.select("*", F.split("shapes", "/").alias("parts"), F.lit("").alias("node"))
-    for level in range(1, LEVELS + 1):
-        tree = _level(tree, level, max_children, common_share, min_labels)
+    for level in range(1, LEVELS + 1):  # written per level: the tree is read several times, and the plan would grow as a power of the levels
+        tree = _level(materialise(tree, "url-tree"), level, max_children, common_share, min_labels)
+    tree = materialise(tree, "url-tree")
     leaves = tree.groupBy("host", "node").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     prior = leaves.agg(F.coalesce(F.sum("good") / F.nullif(F.sum(F.col("good") + F.col("bad")), F.lit(0)), F.lit(1.0)).alias("prior"))
     # one row of prior: bounded by construction
