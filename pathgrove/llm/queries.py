@@ -5,17 +5,26 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, media, piece_bpe, url_filter
-from .common import materialise, table
+from . import chat, media, packing, piece_bpe, token_files, url_filter
+from .common import table
 
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end_id=1, capacity=4096)
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end_id=2)
+    return token_files.read_token_files(spark, path)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -31,6 +40,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(media.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_piece_encoding, op6_url_filters, op9_chat_formatting, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_piece_encoding, op5_token_files, op6_url_filters, op9_chat_formatting, op10_media_columns)}
 
 ORACLES: dict[str, str] = {}
