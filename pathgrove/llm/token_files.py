@@ -46,16 +46,16 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     values[at] = 0
     least = _SMALL[values] if n and values.max() < 1 << 16 else _LEAST[np.searchsorted(_POWERS, values, side="right")]
     selector = least.copy()  # a word of one id at least
-    ahead = np.arange(n)
+    narrow = np.zeros(n + 241, np.int32)
     for s in range(15, 0, -1):
         count = COUNTS[s]
-        wide = np.zeros(n + 1, np.int32)
-        np.cumsum(least > s, out=wide[1:])
-        fits = wide[np.minimum(ahead + count, n)] == wide[:-1]
+        np.cumsum(least > s, out=narrow[1 : n + 1])  # ids too wide so far; what lies behind the end always fits
+        narrow[n + 1 :] = narrow[n]
+        fits = narrow[count : count + n] == narrow[:n]
         if not fits.any():  # then no longer run of narrower ids fits either
             break
         selector[fits] = s
-    step = (ahead + COUNTS[selector]).tolist()
+    step = (np.arange(n) + COUNTS[selector]).tolist()
     starts, firsts = [], []
     for block in range(0, n, BLOCK):
         firsts.append(len(starts))

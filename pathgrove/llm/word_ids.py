@@ -23,7 +23,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.model.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)  # tokens that end a word
+        for token, i in self.model.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -31,13 +35,33 @@ class WordIds:
         docs = [_ENDS.sub(rb" \1", (t or "").encode().lower()).split() for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
-        new = list({w for d in docs for w in d if w not in cache})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(cache.__getitem__, d)) for d in docs]
+        new = set().union(*docs).difference(self.cache)
+        if new:
+            self.learn(list(new))
+        return [b"".join(map(self.cache.__getitem__, d)) for d in docs]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Cache the ids of words. Words of letters are encoded in one go: each has one token that ends a word, its last."""
+        words = [w.decode() for w in new]
+        letters = [w for w in words if w.isalpha()]
+        for at in range(0, len(letters), 10_000):
+            part = letters[at : at + 10_000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize
+            if len(stops) != len(part):
+                self.one_by_one(part)
+                continue
+            packed, start = ids.tobytes(), 0
+            for w, stop in zip(part, stops.tolist(), strict=True):
+                self.cache[w.encode()] = packed[start:stop]
+                start = stop
+        self.one_by_one([w for w in words if not w.isalpha()])
+
+    def one_by_one(self, words: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.cache[w.encode()] = np.array(e.ids, self.dtype).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
