@@ -54,15 +54,15 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         fits = narrow[count : count + n] == narrow[:n]
         if not fits.any():  # then no longer run of narrower ids fits either
             break
-        selector[fits] = s
-    step = (np.arange(n) + COUNTS[selector]).tolist()
+        np.copyto(selector, s, where=fits)
+    step = COUNTS[selector].astype(np.uint8).tolist()
     starts, firsts = [], []
     for block in range(0, n, BLOCK):
         firsts.append(len(starts))
         i, end = block, min(block + BLOCK, n)
         while i < end:
             starts.append(i)
-            i = step[i]
+            i += step[i]
     starts = np.array(starts, np.int64)
     chosen = selector[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)

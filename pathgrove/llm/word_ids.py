@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-CACHE = 700_000
+CACHE = 900_000
 _ENDS = re.compile(rb"(?<=[a-z])([,.])(?=\s|\Z)")
 
 
