@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, media, packing, piece_bpe, token_files, url_filter
+from . import chat, media, packing, piece_bpe, quality, token_files, url_filter
 from .common import table
 
 
@@ -16,6 +16,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end_id=1, capacity=4096)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_on(docs, quality.graded(table(spark, sf_dir, "labels")))
+    scored = quality.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "expected_grade", "p_good", (F.col("p_good") >= quality.KEEP).alias("keep"))
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -40,6 +47,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(media.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_piece_encoding, op5_token_files, op6_url_filters, op9_chat_formatting, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op4_piece_encoding, op5_token_files, op6_url_filters, op9_chat_formatting, op10_media_columns)}
 
 ORACLES: dict[str, str] = {}
