@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, media, neighbours, packing, piece_bpe, quality, token_files, url_filter
+from . import chat, jaccard_join, media, neighbours, packing, piece_bpe, quality, token_files, url_filter
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "expected_grade", "p_good", (F.col("p_good") >= quality.KEEP).alias("keep"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -51,6 +55,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(media.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op4_piece_encoding, op5_token_files, op6_url_filters, op7_nearest_neighbours, op9_chat_formatting, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_jaccard_join, op4_piece_encoding, op5_token_files, op6_url_filters, op7_nearest_neighbours, op9_chat_formatting, op10_media_columns)}
 
 ORACLES: dict[str, str] = {}
