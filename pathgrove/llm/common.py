@@ -40,3 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -304,6 +304,20 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs, all columns, with the document of the smallest doc_id of each group of linked documents.
+
+    Rows without shingles or without a doc_id stay. Rows that share a doc_id are one document; equal rows stay once."""
+    links = materialise(link_documents(docs, size, num, den), "links")
+    stays = F.col("component_id").isNull() | (F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))
+    ids = links.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("rows"))
+    gone = ids.where("NOT stays").select("doc_id")
+    kept = docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
+    if ids.where("stays AND rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
+
+
 def _fingerprints(size: int):
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("text", pa.string())])

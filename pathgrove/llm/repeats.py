@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chat import batched
-from .common import bounded_batches, materialise
+from .common import bounded_batches, fresh, materialise
 
 LENGTH, BLOCK = 200, 50
 WINDOW = LENGTH - BLOCK + 1
@@ -318,17 +318,17 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     texts, name = _texts(_prepared(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = cut_texts(texts, covered_intervals(texts), True).where("n_removed > 0")
-    cuts = materialise(cuts.select(F.col("fp").alias("_fp_"), F.col("kept").alias("_kept_")), "cuts")
+    own, kept, cut = fresh(docs, "_fp"), fresh(docs, "_kept"), fresh(docs, "_cut")
+    cuts = materialise(cuts.select(F.col("fp").alias(own), F.col("kept").alias(kept)), "cuts")
     spark.sql(f"DROP TABLE {name}")
-    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    joined = docs.withColumn("_fp_", key).join(cuts, "_fp_", "left")
 
     @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: None if b is None else bytes(b).decode(errors="ignore"))
+    def decoded(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None else bytes(b).decode(errors="ignore"))
 
-    joined = joined.withColumn("_cut_", decoded("_kept_"))
-    out = {"text": F.coalesce("_cut_", F.col("text").cast("string"))}
+    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    joined = docs.withColumn(own, key).join(cuts, own, "left").withColumn(cut, decoded(kept))
+    out = {"text": F.coalesce(cut, F.col("text").cast("string"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_cut_").isNotNull(), F.length("_cut_")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col(cut).isNotNull(), F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return joined.withColumns(out).select(*[F.col(f"`{c}`") for c in docs.columns])
