@@ -28,7 +28,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
     """Bound the Arrow batches sent to Python workers in rows and bytes, so that very long texts don't pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

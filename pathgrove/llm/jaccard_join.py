@@ -10,8 +10,9 @@ With threshold T and radius r = 1 - T, two documents link when their distance is
    nearest one, and to the open region if its nearest pivot is farther than CUT - r. So any two linked points meet.
 4. Recursion. Distances between unrelated texts are all near 1, so more documents as pivots would divide nothing; inside a region
    the pivots are single shingles, ordered by (count in the sample, hash). A point of n shingles goes to the sub-regions of
-   its first n - ceil(T n) + 1 shingles: two linked points share one of these. Sub-regions whose points are
-   all linked already fall away. Common shingles come last in the order, so sub-regions are small; a large one is divided
+   its first n - ceil(T n) + 1 shingles: two linked points share one of these. In each sub-region two of its points are pivots
+   first and all others are tested against them. Sub-regions whose points are then all connected fall away; in the
+   others, points of different components meet. Common shingles come last in the order, so sub-regions are small; a large one is divided
    into blocks by size, and only blocks within the size window (T n <= m <= n / T) meet.
 5. Pairs that meet are tested with odd sketches (parities of hashed shingles), whose Hamming distance never exceeds the
    symmetric difference, and pairs that pass are compared by their words.
@@ -47,7 +48,7 @@ PIVOT_SHINGLES = (8, 4096)  # sizes of the documents that may be pivots: bounds
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -251,6 +252,36 @@ def _blocks(num: int, den: int):
     return compare
 
 
+def _shared(members: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (region, key, node, n, comp, size) of sub-regions whose points aren't all of one component yet."""
+    own = members.join(known, "node", "left").select("region", "key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    shared = own.groupBy("region", "key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return materialise(own.join(shared.select("region", "key", "size"), ["region", "key"]), "members")
+
+
+def _links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: first by sketches, then by the words of both texts."""
+    sketches = classes.select("node", "n", "sketch")
+    pairs = (
+        pairs.join(sketches.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch")), "b")
+        .select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_sketch_filter(num, den), "a long, b long")
+    )
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # a class's text: of the row that gave the class its number (equal ids with other texts are told apart by the fingerprint)
+    prints = classes.select("node", "fp").join(wanted, "node", "left_semi")
+    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").distinct()
+    texts = texts.mapInArrow(_fingerprints(size), "doc_id long, fp binary, text string").join(prints, "fp").where("doc_id = node").groupBy("node").agg(F.first("text").alias("text"))
+    texts = materialise(texts, "texts")
+    compared = (
+        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+        .select("a", "b", "a_text", "b_text").mapInArrow(_verify(size, num, den), "a long, b long")
+    )
+    return materialise(compared, "links")
+
+
 def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, pivots: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs (doc_id, text). Linked when den * |A & B| >= num * |A | B|."""
     spark = docs.sparkSession
@@ -270,35 +301,25 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     direct = materialise(direct.select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b")).distinct(), "pivot-links")
     first = components(direct)
 
-    members = classes.select("node", "n", "keys", "regions").join(first, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"), "keys", F.explode("regions").alias("region"))
-    members = members.select("region", F.explode("keys").alias("key"), "node", "n", "comp")
-    shared = members.groupBy("region", "key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    members = materialise(members.join(shared.select("region", "key", "size"), ["region", "key"]), "members")
+    members = classes.select("node", "n", "keys", F.explode("regions").alias("region")).select("region", F.explode("keys").alias("key"), "node", "n")
+    members = _shared(members, first)
+    test = functools.partial(_links, docs, classes, size, num, den)
+    fits = (F.col("x.comp") != F.col("y.comp")) & (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
+
+    # the first and last point of a sub-region are its pivots: a group of copies is linked here, by a pair per point and pivot
+    point = F.struct("node", "n", "comp")
+    heads = members.groupBy("region", "key").agg(F.explode(F.array(F.min(point), F.max(point))).alias("y")).select("region", "key", "y.*")
+    stars = members.alias("x").join(heads.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.key") == F.col("y.key")) & fits)
+    stars = materialise(stars.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "stars")
+    linked = direct.union(test(stars))
+
+    # then all others that are not connected yet
+    members = _shared(members.select("region", "key", "node", "n"), components(linked))
     few, many = members.where(F.col("size") <= BLOCK), members.where(F.col("size") > BLOCK)
-    fits = (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
-    met = few.alias("x").join(few.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.key") == F.col("y.key")) & fits)
+    met = few.alias("x").join(few.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & fits)
     met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    sketches = classes.select("node", "n", "sketch")
-    pairs = (
-        met.distinct()
-        .join(sketches.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch")), "b")
-        .select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(_sketch_filter(num, den), "a long, b long")
-    )
-    pairs = materialise(pairs.union(_large_regions(many, sketches, num, den)).distinct(), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # a class's text: of the row that gave the class its number (equal ids with other texts are told apart by the fingerprint)
-    prints = classes.select("node", "fp").join(wanted, "node", "left_semi")
-    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").distinct()
-    texts = texts.mapInArrow(_fingerprints(size), "doc_id long, fp binary, text string").join(prints, "fp").where("doc_id = node").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts, "texts")
-    compared = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        .select("a", "b", "a_text", "b_text").mapInArrow(_verify(size, num, den), "a long, b long")
-    )
-    labels = components(compared.union(direct))
+    rest = met.union(_large_regions(many, classes.select("node", "n", "sketch"), num, den)).distinct().join(stars, ["a", "b"], "left_anti")
+    labels = components(linked.union(test(rest)))
     numbered = classes.select("fp", "node").join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(numbered, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
