@@ -3,17 +3,17 @@
 A byte goes when it is covered by a string of LENGTH = 200 bytes that also starts anywhere else, in the same document or another;
 strings are judged on the input, in UTF-8 bytes, and never cross documents.
 
-1. Distinct texts (by MD5) are written once, bucketed by it, with their number of copies. A text of LENGTH bytes or more with
-   copies is covered whole; one of each stays as a possible match of others.
-2. Ranks of BLOCK = 50 bytes. Each window of LENGTH bytes selects its 50-byte block of the least hash (leftmost on ties). The
-   choice depends on the window's bytes alone, so equal windows select equal blocks at equal offsets: only the
-   selected positions (about one in 76) are ranked, and those whose rank is unique are done.
-3. Doubling. Around a position, block ranks at offsets of -150 .. +150 bytes are paired with their neighbours at offset 50:
-   ranks of 100 bytes, and of these again: ranks of 150 bytes. Spark reranks after every step, and positions
-   without any rank that occurs twice are done. A position whose whole 350 bytes occur twice has all its windows repeated.
-4. For the rest, a window holds a ranked string of 150 bytes, plus a bytes on its left and 50 - a on its right. For each
-   rank that occurs twice, the a for which both ends occur twice are found: within one task for ranks of up to GROUP
-   positions (equal surroundings are one row), else as rows of a shuffle.
+1. Distinct texts (by 96 bits of two hashes) are written once, bucketed by them, with their number of copies. A text of
+   LENGTH bytes or more with copies is covered whole; one of each stays as a possible match of others.
+2. Ranks of BLOCK = 100 bytes. Each window of LENGTH bytes selects its block of the least hash (leftmost on ties). The choice
+   depends on the window's bytes alone, so equal windows select equal blocks at equal offsets: only the selected
+   positions (about one in 51) are sorted by rank, and those whose rank is unique are done.
+3. Doubling. The rest are reranked by the pairs of ranks at offsets -100 and 0, and 0 and 100 (200 bytes), and by the pair of
+   these (300 bytes, the farthest that a window reaches). Positions with an equal rank of 300 bytes have all their
+   windows repeated; one of them stays as a possible match of others.
+4. For the rest, a window is a block with a bytes on its left and 100 - a on its right. For each rank of 100 bytes that still has
+   two positions, the a for which both ends occur twice are found: within one task for ranks of up to GROUP positions,
+   else as rows of a shuffle.
 5. The covered intervals are merged per text, and the text is cut.
 
 Ranks are 64-bit hashes. Null text: empty. Texts under LENGTH bytes are left as they are. Repeated rows are copies of each
@@ -29,14 +29,14 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .chat import batched
 from .common import bounded_batches, fresh, materialise
 
-LENGTH, BLOCK = 200, 50
+LENGTH, BLOCK = 200, 100
 WINDOW = LENGTH - BLOCK + 1
-GROUP, SEGMENT = 8192, 1 << 20
+GROUP, SEGMENT = 4096, 1 << 20
 _POSITION = (1 << 24) - 1
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.cumprod(np.full(SEGMENT + 1024, _BASE, np.uint64)) * np.uint64(pow(_BASE, -1, 1 << 64))
@@ -50,7 +50,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def block_ranks(data: np.ndarray) -> np.ndarray:
-    """The rank of the 50 bytes at every position."""
+    """The rank of the block at every position."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _POWERS[: len(data)])])
     return mix((sums[BLOCK:] - sums[:-BLOCK]) * _INVERSE[: len(data) - BLOCK + 1])
 
@@ -78,8 +78,8 @@ def selected(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def around(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the seven blocks from at - 150 to at + 200 as [position, block], and which of them lie within the text."""
-    starts = at[:, None] + np.arange(-3, 4) * BLOCK
+    """Ranks of the blocks at offsets -BLOCK, 0 and BLOCK as [position, block], and which of them lie within the text."""
+    starts = at[:, None] + np.arange(-1, 2) * BLOCK
     inside = (starts >= 0) & (starts + BLOCK <= len(data))
     index = np.where(inside, starts, 0)[:, :, None] + np.arange(BLOCK)
     return mix((_BYTES[data[index]] * _POWERS[:BLOCK]).sum(axis=2, dtype=np.uint64)), inside
@@ -90,12 +90,12 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ends_of(data: np.ndarray, start: int) -> tuple[bytes, bytes]:
-    """Up to 50 bytes in front of a string of 150 bytes (nearest first) and up to 50 behind it."""
-    return data[max(0, start - BLOCK) : start][::-1].tobytes(), data[start + 3 * BLOCK : start + 4 * BLOCK].tobytes()
+    """Up to BLOCK bytes in front of the block at start (nearest first) and up to BLOCK behind it."""
+    return data[max(0, start - BLOCK) : start][::-1].tobytes(), data[start + BLOCK : start + 2 * BLOCK].tobytes()
 
 
 def end_keys(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every row and a = 0..50, a key of the first a bytes of left with the first 50 - a of right, and whether both are there."""
+    """For every row and a = 0..BLOCK, a key of the first a bytes of left with the first BLOCK - a of right, and whether both are there."""
 
     def sums(parts):
         data = np.zeros((len(parts), BLOCK), np.uint8)
@@ -114,97 +114,77 @@ def spans(found: np.ndarray, start: int) -> list[tuple[int, int]]:
     return [(start - int(z) + 1, start - int(a) + LENGTH) for a, z in edge.reshape(-1, 2)]
 
 
+KEY = ["k1", "k2"]
+_KEY = [("k1", pa.int64()), ("k2", pa.int32())]
+
+
 def _texts(docs: DataFrame, parts: int) -> tuple[DataFrame, str]:
-    """The distinct texts (fp, text, copies) as a table bucketed by fp, so that joins on fp leave the texts where they are."""
+    """The distinct texts (k1, k2, text, copies) as a table bucketed by its key, so that joins on it leave the texts where they are."""
     name = f"pathgrove_texts_{uuid.uuid4().hex}"
-    rows = docs.groupBy("fp").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    rows.repartition(parts, "fp").write.bucketBy(parts, "fp").option("compression", "zstd").saveAsTable(name)
+    rows = docs.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    rows.write.bucketBy(parts, *KEY).option("compression", "zstd").saveAsTable(name)
     return docs.sparkSession.table(name), name
 
 
 def covered_intervals(texts: DataFrame) -> DataFrame:
-    """fp, starts, ends (arrays) of the covered byte intervals of every text (fp, text, copies) that has any, without whole copies."""
+    """k1, k2, spans: the covered byte intervals of every text (k1, k2, text, copies) that has any, but for whole copies."""
+    long = texts.where(F.octet_length("text") >= LENGTH)
 
     def anchors(batches):
-        schema = pa.schema([("fp", pa.binary()), ("pos", pa.int64()), ("rank", pa.int64())])
+        schema = pa.schema([*_KEY, ("pos", pa.int32()), ("rank", pa.int64())])
         for b in batches:
-            for fp, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k1, k2, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at, rank = selected(np.frombuffer(text.encode(), np.uint8))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([fp] * len(at), pa.binary()), pa.array(at), pa.array(rank.view(np.int64))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2, np.int32)), pa.array(at.astype(np.int32)), pa.array(rank.view(np.int64))], schema=schema)
 
-    long = texts.where(F.octet_length("text") >= LENGTH)
-    places = materialise(long.select("fp", "text").mapInArrow(anchors, "fp binary, pos long, rank long"), "anchors")
-    twice = places.groupBy("rank").count().where("count > 1").select("rank")
-    repeated = places.join(twice, "rank", "left_semi").groupBy("fp").agg(F.collect_list("pos").alias("at"))
+    places = long.select(*KEY, "text").mapInArrow(anchors, "k1 long, k2 int, pos int, rank long")
+    repeated = places.withColumn("n", F.count("*").over(Window.partitionBy("rank"))).where("n > 1")
+    repeated = materialise(repeated.groupBy(*KEY).agg(F.collect_list("pos").alias("at")), "repeated")
 
     def blocks(batches):
-        schema = pa.schema([("fp", pa.binary()), ("pos", pa.int64()), ("r", pa.list_(pa.int64()))])
-
-        def rows():
-            for b in batches:
-                for fp, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    at = np.array(at)
-                    rank, inside = around(np.frombuffer(text.encode(), np.uint8), at)
-                    for p, r, ok in zip(at.tolist(), rank.view(np.int64).tolist(), inside.tolist(), strict=True):
-                        yield fp, p, [x if y else None for x, y in zip(r, ok, strict=True)]
-
-        yield from batched(rows(), schema, 4000)
-
-    ranked = materialise(long.join(repeated, "fp").select("fp", "text", "at").mapInArrow(blocks, "fp binary, pos long, r array<long>"), "ranks")
-    # doubling: ranks of 100 bytes at offsets -50 and 0, of 150 at -100, -50 and 0, from pairs at offset 50; null beyond the text
-    pair = lambda j: F.when(F.col("r")[j].isNotNull() & F.col("r")[j + 1].isNotNull(), F.xxhash64(F.col("r")[j], F.col("r")[j + 1]))
-    hundred = _rerank(ranked.withColumns({f"p{j}": pair(j) for j in range(1, 5)}), ["p2", "p3"])
-    triple = lambda j: F.when(F.col(f"p{j}").isNotNull() & F.col(f"p{j + 1}").isNotNull(), F.xxhash64(f"p{j}", f"p{j + 1}"))
-    hundred = hundred.withColumns({f"t{j}": triple(j) for j in (1, 2, 3)})
-    marked = materialise(_rerank(hundred, ["t1", "t2", "t3"], mark=True), "ranks-150")
-
-    around_all = F.when(~F.exists("r", lambda x: x.isNull()), F.xxhash64(*(F.col("r")[j] for j in range(7)), "t1", "t3"))
-    marked = marked.withColumn("around", around_all)
-    same = marked.where("around IS NOT NULL").groupBy("around").agg(F.count("*").alias("n"), F.min(F.struct("fp", "pos")).alias("one")).where("n > 1")
-    marked = materialise(marked.join(same, "around", "left").select("fp", "pos", "t", F.col("n").isNotNull().alias("all"), (F.col("one") == F.struct("fp", "pos")).alias("one")), "around")
-    whole = marked.where("all").select("fp", F.greatest(F.col("pos") - 3 * BLOCK, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    open_rows = marked.where("NOT all OR one").select("fp", F.struct("pos", "t", "all").alias("x")).groupBy("fp").agg(F.collect_list("x").alias("xs"))
+        schema = pa.schema([*_KEY, ("pos", pa.int32()), ("before", pa.int64()), ("rank", pa.int64()), ("after", pa.int64())])
+        for b in batches:
+            for k1, k2, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = np.array(at)
+                rank, inside = around(np.frombuffer(text.encode(), np.uint8), at)
+                sides = [pa.array(rank[:, j].view(np.int64), mask=~inside[:, j]) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2, np.int32)), pa.array(at.astype(np.int32)), *sides], schema=schema)
+
+    ranked = long.join(repeated, KEY).select(*KEY, "text", "at").mapInArrow(blocks, "k1 long, k2 int, pos int, before long, rank long, after long")
+    # doubling: ranks of 200 bytes by pairs at offset 100, then of 300; a position too near the text's edge has a rank of its own
+    pairs = ranked.select(*KEY, "pos", "rank", F.xxhash64("before", "rank").alias("low"), F.xxhash64("rank", "after").alias("high"), (F.col("before").isNull() | F.col("after").isNull()).alias("edge"))
+    full = pairs.select(*KEY, "pos", "rank", F.when(F.col("edge"), F.xxhash64(*KEY, "pos", F.lit("edge"))).otherwise(F.xxhash64("low", "high")).alias("full"))
+    same = Window.partitionBy("full")
+    full = full.withColumns({"n": F.count("*").over(same), "nth": F.row_number().over(same.orderBy(*KEY, "pos"))})
+    marked = materialise(full.select(*KEY, "pos", "rank", (F.col("n") > 1).alias("all"), (F.col("nth") == 1).alias("one")), "ranks")
+    whole = marked.where("all").select(*KEY, (F.col("pos") - BLOCK).cast("long").alias("start"), (F.col("pos") + LENGTH).cast("long").alias("end"))
+
+    still = marked.where("one").withColumn("size", F.count("*").over(Window.partitionBy("rank"))).where("size > 1")
+    place = F.struct("pos", "rank", "all", (F.col("size") > GROUP).alias("large"))
+    still = still.groupBy(*KEY).agg(F.collect_list(place).alias("xs"))
+    kind = "rank long, k1 long, k2 int, start int, all boolean, large boolean, left binary, right binary"
+    names = pa.schema([("rank", pa.int64()), *_KEY, ("start", pa.int32()), ("all", pa.bool_()), ("large", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
 
     def ends(batches):
-        schema = pa.schema([("rank", pa.int64()), ("fp", pa.binary()), ("start", pa.int64()), ("all", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
-
         def rows():
             for b in batches:
-                for fp, text, xs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k1, k2, text, xs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     data = np.frombuffer(text.encode(), np.uint8)
                     for x in xs:
-                        for t in x["t"]:
-                            start = x["pos"] + (t["j"] - 3) * BLOCK
-                            yield t["rank"], fp, start, x["all"], *ends_of(data, start)
-
-        yield from batched(rows(), schema, 4000)
+                        yield x["rank"], k1, k2, x["pos"], x["all"], x["large"], *ends_of(data, x["pos"])
 
-    kind = "rank long, fp binary, start long, all boolean, left binary, right binary"
-    # two positions of one text may share a string: once is enough
-    edges = long.join(open_rows, "fp").select("fp", "text", "xs").mapInArrow(ends, kind).groupBy("rank", "fp", "start").agg(F.min("all").alias("all"), F.first("left").alias("left"), F.first("right").alias("right"))
-    edges = materialise(edges, "ends")
-    sizes = edges.groupBy("rank").count().where("count > 1")
-    sized = edges.join(sizes, "rank")
-    small = sized.where(F.col("count") <= GROUP).repartition("rank").sortWithinPartitions("rank").mapInArrow(_small_groups, "fp binary, start long, end long")
-    covered = whole.union(small).union(_large_groups(sized.where(F.col("count") > GROUP)))
-    return covered.groupBy("fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        yield from batched(rows(), names, 4000)
 
-
-
-def _rerank(df: DataFrame, ranks: list[str], mark: bool = False) -> DataFrame:
-    """Keep the positions with a rank that occurs at two positions; with mark, list these ranks as t: (j, rank)."""
-    each = df.select("fp", "pos", F.posexplode(F.array(*ranks)).alias("i", "rank")).where("rank IS NOT NULL")
-    each = each.withColumn("place", F.col("pos") + F.col("i") * BLOCK)
-    # overlapping positions of one text can name the same string at the same place
-    twice = each.groupBy("rank").agg(F.min(F.struct("fp", "place")).alias("low"), F.max(F.struct("fp", "place")).alias("high")).where("low < high").select("rank")
-    kept = each.join(twice, "rank", "left_semi").groupBy("fp", "pos").agg(F.collect_list(F.struct((F.col("i") + 1).alias("j"), "rank")).alias("t"))
-    return df.join(kept if mark else kept.select("fp", "pos"), ["fp", "pos"])
+    edges = materialise(long.join(still, KEY).select(*KEY, "text", "xs").mapInArrow(ends, kind), "ends")
+    small = edges.where("NOT large").repartition("rank").sortWithinPartitions("rank").mapInArrow(_small_groups, "k1 long, k2 int, start long, end long")
+    covered = whole.union(small).union(_large_groups(edges.where("large")))
+    return covered.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def _small_groups(batches):
     """The covered intervals of every rank's positions; the rows come sorted by rank and a rank has at most GROUP rows."""
-    schema = pa.schema([("fp", pa.binary()), ("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([*_KEY, ("start", pa.int64()), ("end", pa.int64())])
 
     def groups():
         held = None
@@ -217,12 +197,13 @@ def _small_groups(batches):
             own = (df["rank"] != last).to_numpy()
             held = df[~own]
             if own.any():
-                yield df[own]
+                yield df[own].reset_index(drop=True)
         if held is not None and len(held):
-            yield held
+            yield held.reset_index(drop=True)
 
     def intervals():
         for df in groups():
+            k1, k2, at = df["k1"].tolist(), df["k2"].tolist(), df["start"].tolist()
             keys, there = end_keys(df["left"].tolist(), df["right"].tolist())
             # equal (rank, a, key) in two rows: the window occurs twice
             row, a = np.nonzero(there)
@@ -234,8 +215,8 @@ def _small_groups(batches):
             found = np.zeros(there.shape, bool)
             found[row[twice], a[twice]] = True
             for i in np.flatnonzero(found.any(axis=1) & ~df["all"].to_numpy(bool)):
-                for start, end in spans(found[i], int(df["start"].iloc[i])):
-                    yield df["fp"].iloc[i], start, end
+                for start, end in spans(found[i], at[i]):
+                    yield k1[i], k2[i], start, end
 
     yield from batched(intervals(), schema, 4000)
 
@@ -247,15 +228,12 @@ def _large_groups(rows: DataFrame) -> DataFrame:
         for b in batches:
             keys, there = end_keys(b.column("left").to_pylist(), b.column("right").to_pylist())
             row, a = np.nonzero(there)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("rank").take(pa.array(row)), b.column("fp").take(pa.array(row)), b.column("start").take(pa.array(row)), b.column("all").take(pa.array(row)), pa.array(a.astype(np.int32)), pa.array(keys[row, a].view(np.int64))],
-                ["rank", "fp", "start", "all", "a", "key"],
-            )
+            own = b.select(["rank", "k1", "k2", "start", "all"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(a.astype(np.int32)), pa.array(keys[row, a].view(np.int64))], [*own.schema.names, "a", "key"])
 
-    each = rows.select("rank", "fp", "start", "all", "left", "right").mapInArrow(explode, "rank long, fp binary, start long, all boolean, a int, key long")
-    twice = each.groupBy("rank", "a", "key").count().where("count > 1").select("rank", "a", "key")
-    found = each.where("NOT all").join(twice, ["rank", "a", "key"], "left_semi")
-    return found.select("fp", (F.col("start") - F.col("a")).alias("start"), (F.col("start") - F.col("a") + LENGTH).alias("end"))
+    each = rows.select("rank", *KEY, "start", "all", "left", "right").mapInArrow(explode, "rank long, k1 long, k2 int, start int, all boolean, a int, key long")
+    found = each.withColumn("n", F.count("*").over(Window.partitionBy("rank", "a", "key"))).where("n > 1 AND NOT all")
+    return found.select(*KEY, (F.col("start") - F.col("a")).cast("long").alias("start"), (F.col("start") - F.col("a") + LENGTH).cast("long").alias("end"))
 
 
 def merge(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -269,14 +247,14 @@ def merge(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-_CUTS = pa.schema([("fp", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_CUTS = pa.schema([*_KEY, ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
 def cut_texts(texts: DataFrame, covered: DataFrame, keep_bytes: bool) -> DataFrame:
-    """fp, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_bytes, the kept bytes of every distinct text."""
+    """k1, k2, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_bytes, the kept bytes of every distinct text."""
 
     def run(batches):
-        def row(fp, text, copies, found):
+        def row(k1, k2, text, copies, found):
             data = text.encode()
             if copies > 1 and len(data) >= LENGTH:
                 cut = [(0, len(data))]
@@ -287,47 +265,46 @@ def cut_texts(texts: DataFrame, covered: DataFrame, keep_bytes: bool) -> DataFra
                 kept.append(data[at:a])
                 at = z
             kept = b"".join([*kept, data[at:]])
-            return fp, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None
+            return k1, k2, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None
 
         for b in batches:
             yield from batched((row(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), _CUTS)
 
-    rows = texts.join(covered, "fp", "left").select("fp", "text", "copies", "spans")
-    return rows.mapInArrow(run, "fp binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = texts.join(covered, KEY, "left").select(*KEY, "text", "copies", "spans")
+    return rows.mapInArrow(run, "k1 long, k2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("fp"))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs (doc_id, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = _prepared(docs)
+    rows = docs.select("doc_id", _text().alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
     texts, name = _texts(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = materialise(cut_texts(texts, covered_intervals(texts), False).drop("kept"), "cuts")
     spark.sql(f"DROP TABLE {name}")
-    return rows.select(F.col("doc_id").cast("long"), "fp").join(cuts, "fp").drop("fp")
+    return rows.select(F.col("doc_id").cast("long"), *KEY).join(cuts, KEY).drop(*KEY)
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut from text, and n_chars (if there) set to the new length."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts, name = _texts(_prepared(docs), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(_text().alias("text")).select("text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
+    texts, name = _texts(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = cut_texts(texts, covered_intervals(texts), True).where("n_removed > 0")
-    own, kept, cut = fresh(docs, "_fp"), fresh(docs, "_kept"), fresh(docs, "_cut")
-    cuts = materialise(cuts.select(F.col("fp").alias(own), F.col("kept").alias(kept)), "cuts")
+    k1, k2, kept, cut = (fresh(docs, c) for c in ("_k1", "_k2", "_kept", "_cut"))
+    cuts = materialise(cuts.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(kept)), "cuts")
     spark.sql(f"DROP TABLE {name}")
 
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
         return column.map(lambda b: None if b is None else bytes(b).decode(errors="ignore"))
 
-    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    joined = docs.withColumn(own, key).join(cuts, own, "left").withColumn(cut, decoded(kept))
+    joined = docs.withColumns({k1: F.xxhash64(_text()), k2: F.hash(_text())}).join(cuts, [k1, k2], "left").withColumn(cut, decoded(kept))
     out = {"text": F.coalesce(cut, F.col("text").cast("string"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col(cut).isNotNull(), F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
