@@ -37,7 +37,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("purity")
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,53 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_jaccard_join, op4_piece_encoding, op5_token_files, op6_url_filters, op7_nearest_neighbours, op8_repeated_passages, op9_chat_formatting, op10_media_columns)}
 
-ORACLES: dict[str, str] = {}
+
+def _url_levels(levels: int) -> str:
+    """The steps of the template tree as CTEs t1 .. tn."""
+    out = []
+    for k in range(1, levels + 1):
+        out.append(f"""
+a{k} AS (SELECT *, CASE WHEN len(parts) >= {k} THEN parts[{k}] ELSE '' END AS part, CASE WHEN len(parts) > {k} THEN parts[{k + 1}] ELSE '' END AS nxt FROM t{k - 1}),
+b{k} AS (SELECT * EXCLUDE nxt, CASE WHEN regexp_matches(nxt, '^[<*]') THEN nxt WHEN nxt = '' THEN '' ELSE 'word' END AS kind FROM a{k}),
+c{k} AS (SELECT host, node, part, sum(pages) AS p, sum(good) AS g, sum(bad) AS b, array_to_string(list_sort(list_distinct(list(kind))), ',') AS below FROM b{k} GROUP BY ALL),
+d{k} AS (SELECT *, count(*) OVER w AS n, max(p) OVER w / sum(p) OVER w AS top FROM c{k} WINDOW w AS (PARTITION BY host, node)),
+e{k} AS (SELECT host, node, part, CASE WHEN part = '' THEN '' WHEN NOT regexp_matches(part, '^[<*]') AND n > 20 AND top < 0.05 THEN '/*'
+  WHEN NOT regexp_matches(part, '^[<*]') THEN '/[' || below || '~' || CASE WHEN g + b < 5 THEN '?' ELSE floor((b + 1) * 5 / (g + b + 2))::INTEGER::VARCHAR END || ']'
+  ELSE '/' || part END AS branch FROM d{k}),
+t{k} AS (SELECT b.host, b.shapes, b.pages, b.good, b.bad, b.parts, b.node || e.branch AS node FROM b{k} b JOIN e{k} e ON e.host = b.host AND e.node = b.node AND e.part = b.part)""")
+    return ",".join(out)
+
+
+def _url_rule(value: int) -> str:
+    ordered = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[value]}'" for v, h, p in ordered) + " END"
+
+
+ORACLES: dict[str, str] = {
+    "op6_url_filters": f"""WITH
+u0 AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u1 AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u0),
+u2 AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM u1),
+u3 AS (SELECT *, {_url_rule(0)} AS rule, {_url_rule(1)} AS ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x:
+  CASE WHEN regexp_full_match(x, '[0-9]+') THEN '<num>' WHEN regexp_full_match(x, '[0-9]+\\.[A-Za-z]+') THEN '<num>.<ext>'
+  WHEN regexp_full_match(x, '[0-9a-fA-F-]{{8,}}') THEN '<hex>' WHEN regexp_matches(x, '[0-9]') THEN '<mixed>' ELSE x END) AS s FROM u2),
+r AS (SELECT *, array_to_string(CASE WHEN len(s) > 4 THEN list_append(s[1:4], '**') ELSE s END, '/') AS shapes FROM u3),
+t0 AS (SELECT host, shapes, count(*) AS pages, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad, string_split(shapes, '/') AS parts, '' AS node FROM r GROUP BY host, shapes),
+{_url_levels(url_filter.LEVELS)},
+leaf AS (SELECT host, node, sum(good) AS good, sum(bad) AS bad FROM t{url_filter.LEVELS} GROUP BY ALL),
+prior AS (SELECT coalesce(sum(good) / nullif(sum(good + bad), 0), 1.0) AS prior FROM leaf),
+judged AS (SELECT t.host, t.shapes, t.node, (l.good + 4 * prior) / (l.good + l.bad + 4) AS purity, l.good + l.bad AS labels FROM t{url_filter.LEVELS} t JOIN leaf l ON l.host = t.host AND l.node = t.node, prior)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN purity < 0.5 AND labels >= 5 THEN 'block' ELSE 'allow' END) AS verdict, r.host || node AS template
+FROM r JOIN judged j ON j.host = r.host AND j.shapes = r.shapes""",
+    "op9_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, lag(role, 1, '') OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+x AS (SELECT *, (before = '' AND role IN ('system', 'user') OR before IN ('system', 'assistant') AND role = 'user' OR before = 'user' AND role = 'assistant') AS ok,
+  regexp_replace(text, '<([|\\])', '<\\\1', 'g') AS escaped FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(role) + length(escaped))::BIGINT AS formatted_chars, bool_and(ok) AS valid,
+  bool_and(ok) AND arg_max(role, (turn, role, text)) = 'assistant' AS ends_well
+FROM x GROUP BY conv_id""",
+}
