@@ -27,9 +27,8 @@ import hashlib
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .chat import batched
 from .common import bounded_batches, fresh, materialise
@@ -126,6 +125,11 @@ def _texts(docs: DataFrame, parts: int) -> tuple[DataFrame, str]:
     return docs.sparkSession.table(name), name
 
 
+def _twice(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose values in columns occur twice; counted by partial aggregates, so that a common value is no hot spot."""
+    return df.join(df.groupBy(*columns).count().where("count > 1").select(*columns), list(columns), "left_semi")
+
+
 def covered_intervals(texts: DataFrame) -> DataFrame:
     """k1, k2, spans: the covered byte intervals of every text (k1, k2, text, copies) that has any, but for whole copies."""
     long = texts.where(F.octet_length("text") >= LENGTH)
@@ -138,9 +142,8 @@ def covered_intervals(texts: DataFrame) -> DataFrame:
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2, np.int32)), pa.array(at.astype(np.int32)), pa.array(rank.view(np.int64))], schema=schema)
 
-    places = long.select(*KEY, "text").mapInArrow(anchors, "k1 long, k2 int, pos int, rank long")
-    repeated = places.withColumn("n", F.count("*").over(Window.partitionBy("rank"))).where("n > 1")
-    repeated = materialise(repeated.groupBy(*KEY).agg(F.collect_list("pos").alias("at")), "repeated")
+    places = materialise(long.select(*KEY, "text").mapInArrow(anchors, "k1 long, k2 int, pos int, rank long"), "anchors")
+    repeated = materialise(_twice(places, "rank").groupBy(*KEY).agg(F.collect_list("pos").alias("at")), "repeated")
 
     def blocks(batches):
         schema = pa.schema([*_KEY, ("pos", pa.int32()), ("before", pa.int64()), ("rank", pa.int64()), ("after", pa.int64())])
@@ -155,12 +158,14 @@ def covered_intervals(texts: DataFrame) -> DataFrame:
     # doubling: ranks of 200 bytes by pairs at offset 100, then of 300; a position too near the text's edge has a rank of its own
     pairs = ranked.select(*KEY, "pos", "rank", F.xxhash64("before", "rank").alias("low"), F.xxhash64("rank", "after").alias("high"), (F.col("before").isNull() | F.col("after").isNull()).alias("edge"))
     full = pairs.select(*KEY, "pos", "rank", F.when(F.col("edge"), F.xxhash64(*KEY, "pos", F.lit("edge"))).otherwise(F.xxhash64("low", "high")).alias("full"))
-    same = Window.partitionBy("full")
-    full = full.withColumns({"n": F.count("*").over(same), "nth": F.row_number().over(same.orderBy(*KEY, "pos"))})
-    marked = materialise(full.select(*KEY, "pos", "rank", (F.col("n") > 1).alias("all"), (F.col("nth") == 1).alias("one")), "ranks")
+    full = materialise(full.withColumn("place", F.xxhash64(*KEY, "pos")), "ranks")
+    same = full.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    marked = full.join(same, "full", "left").select(*KEY, "pos", "rank", F.col("n").isNotNull().alias("all"), (F.col("n").isNull() | (F.col("first") == F.col("place"))).alias("one"))
+    marked = materialise(marked, "marked")
     whole = marked.where("all").select(*KEY, (F.col("pos") - BLOCK).cast("long").alias("start"), (F.col("pos") + LENGTH).cast("long").alias("end"))
 
-    still = marked.where("one").withColumn("size", F.count("*").over(Window.partitionBy("rank"))).where("size > 1")
+    still = marked.where("one")
+    still = still.join(still.groupBy("rank").agg(F.count("*").alias("size")).where("size > 1"), "rank")
     place = F.struct("pos", "rank", "all", (F.col("size") > GROUP).alias("large"))
     still = still.groupBy(*KEY).agg(F.collect_list(place).alias("xs"))
     kind = "rank long, k1 long, k2 int, start int, all boolean, large boolean, left binary, right binary"
@@ -186,35 +191,37 @@ def _small_groups(batches):
     """The covered intervals of every rank's positions; the rows come sorted by rank and a rank has at most GROUP rows."""
     schema = pa.schema([*_KEY, ("start", pa.int64()), ("end", pa.int64())])
 
+    names = ("rank", "k1", "k2", "start", "all", "left", "right")
+
     def groups():
-        held = None
+        rest = None
         for b in batches:
-            df = b.to_pandas()
-            df = df if held is None else pd.concat([held, df], ignore_index=True)
-            if not len(df):
-                continue
-            last = df["rank"].iloc[-1]
-            own = (df["rank"] != last).to_numpy()
-            held = df[~own]
-            if own.any():
-                yield df[own].reset_index(drop=True)
-        if held is not None and len(held):
-            yield held.reset_index(drop=True)
+            t = pa.Table.from_batches([b.select(names)])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if t.num_rows:
+                rank = t.column("rank").to_numpy()
+                cut = int(np.searchsorted(rank == rank[-1], True))  # the last rank may go on in the next batch
+                rest = t.slice(cut)
+                if cut:
+                    yield t.slice(0, cut)
+        if rest is not None and rest.num_rows:
+            yield rest
 
     def intervals():
-        for df in groups():
-            k1, k2, at = df["k1"].tolist(), df["k2"].tolist(), df["start"].tolist()
-            keys, there = end_keys(df["left"].tolist(), df["right"].tolist())
+        for t in groups():
+            k1, k2, at, left, right = (t.column(c).to_pylist() for c in ("k1", "k2", "start", "left", "right"))
+            keys, there = end_keys(left, right)
             # equal (rank, a, key) in two rows: the window occurs twice
             row, a = np.nonzero(there)
-            key = paired(paired(df["rank"].to_numpy().view(np.uint64)[row], a.astype(np.uint64)), keys[row, a])
+            key = paired(paired(t.column("rank").to_numpy().view(np.uint64)[row], a.astype(np.uint64)), keys[row, a])
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
             twice = np.zeros(len(key), bool)
-            twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else False
+            if len(key):
+                twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             found = np.zeros(there.shape, bool)
             found[row[twice], a[twice]] = True
-            for i in np.flatnonzero(found.any(axis=1) & ~df["all"].to_numpy(bool)):
+            for i in np.flatnonzero(found.any(axis=1) & ~t.column("all").to_numpy(zero_copy_only=False)):
                 for start, end in spans(found[i], at[i]):
                     yield k1[i], k2[i], start, end
 
@@ -232,7 +239,7 @@ def _large_groups(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(a.astype(np.int32)), pa.array(keys[row, a].view(np.int64))], [*own.schema.names, "a", "key"])
 
     each = rows.select("rank", *KEY, "start", "all", "left", "right").mapInArrow(explode, "rank long, k1 long, k2 int, start int, all boolean, a int, key long")
-    found = each.withColumn("n", F.count("*").over(Window.partitionBy("rank", "a", "key"))).where("n > 1 AND NOT all")
+    found = _twice(each, "rank", "a", "key").where("NOT all")
     return found.select(*KEY, (F.col("start") - F.col("a")).cast("long").alias("start"), (F.col("start") - F.col("a") + LENGTH).cast("long").alias("end"))
 
 
@@ -247,11 +254,11 @@ def merge(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-_CUTS = pa.schema([*_KEY, ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_CUTS = pa.schema([*_KEY, ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def cut_texts(texts: DataFrame, covered: DataFrame, keep_bytes: bool) -> DataFrame:
-    """k1, k2, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_bytes, the kept bytes of every distinct text."""
+def cut_texts(texts: DataFrame, covered: DataFrame, keep_text: bool) -> DataFrame:
+    """k1, k2, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, the kept text of every distinct text."""
 
     def run(batches):
         def row(k1, k2, text, copies, found):
@@ -265,13 +272,13 @@ def cut_texts(texts: DataFrame, covered: DataFrame, keep_bytes: bool) -> DataFra
                 kept.append(data[at:a])
                 at = z
             kept = b"".join([*kept, data[at:]])
-            return k1, k2, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None
+            return k1, k2, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None
 
         for b in batches:
             yield from batched((row(*x) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), _CUTS)
 
     rows = texts.join(covered, KEY, "left").select(*KEY, "text", "copies", "spans")
-    return rows.mapInArrow(run, "k1 long, k2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(run, "k1 long, k2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def _text() -> Column:
@@ -296,15 +303,10 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(_text().alias("text")).select("text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
     texts, name = _texts(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = cut_texts(texts, covered_intervals(texts), True).where("n_removed > 0")
-    k1, k2, kept, cut = (fresh(docs, c) for c in ("_k1", "_k2", "_kept", "_cut"))
-    cuts = materialise(cuts.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(kept)), "cuts")
+    k1, k2, cut = (fresh(docs, c) for c in ("_k1", "_k2", "_cut"))
+    cuts = materialise(cuts.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(cut)), "cuts")
     spark.sql(f"DROP TABLE {name}")
-
-    @F.pandas_udf("string")
-    def decoded(column: pd.Series) -> pd.Series:
-        return column.map(lambda b: None if b is None else bytes(b).decode(errors="ignore"))
-
-    joined = docs.withColumns({k1: F.xxhash64(_text()), k2: F.hash(_text())}).join(cuts, [k1, k2], "left").withColumn(cut, decoded(kept))
+    joined = docs.withColumns({k1: F.xxhash64(_text()), k2: F.hash(_text())}).join(cuts, [k1, k2], "left")
     out = {"text": F.coalesce(cut, F.col("text").cast("string"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col(cut).isNotNull(), F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
