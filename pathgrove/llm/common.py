@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,6 +36,19 @@ def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a Python worker keeps between batches and tasks (models, caches): one thing at a time, so that operators which run one
+    after another in the same worker don't add up."""
+    if key not in _held:
+        _held.clear()
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed buffers back
+        _held[key] = make()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

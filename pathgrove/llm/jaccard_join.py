@@ -33,13 +33,12 @@ import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .chat import batched
-from .common import bounded_batches, materialise
+from .common import bounded_batches, held, materialise
 from .components import components
 
 SAMPLE, COMMON, CUT, BLOCK = 12_000, 500_000, 0.7, 256
@@ -47,16 +46,15 @@ PIVOT_SHINGLES = (8, 4096)  # sizes of the documents that may be pivots: bounds
 
 
 class _Words(dict):
+    """Hashes of words, bounded."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-_WORDS = _Words()
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -66,7 +64,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held(("word hashes",), _Words).__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - size + 1)
     width = min(size, len(words))
     out = h[:n] + np.uint64(width)
@@ -231,23 +229,24 @@ def _verify(size: int, num: int, den: int):
 
 
 def _blocks(num: int, den: int):
-    def compare(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
         """Pairs of one block with itself or of two blocks, that the sketches allow."""
-        size = min(map(len, held["sketch"]))
-        sketches = np.stack([fold(np.frombuffer(s, np.uint8), size) for s in held["sketch"]])
-        n, node, comp, block = (held[c].to_numpy() for c in ("n", "node", "comp", "block"))
-        left = np.flatnonzero(block == key[2])
-        right = np.flatnonzero(block == key[3])
+        first, second = key[2].as_py(), key[3].as_py()
+        held_sketches = rows.column("sketch").to_pylist()
+        size = min(map(len, held_sketches))
+        sketches = np.stack([fold(np.frombuffer(s, np.uint8), size) for s in held_sketches])
+        n, node, comp, block = (rows.column(c).to_numpy() for c in ("n", "node", "comp", "block"))
+        right = np.flatnonzero(block == second)
         a, b = [], []
-        for i in left:
+        for i in np.flatnonzero(block == first):
             ok = (comp[right] != comp[i]) & (den * n[right] >= num * n[i]) & (den * n[i] >= num * n[right])
-            if key[2] == key[3]:
+            if first == second:
                 ok &= node[right] > node[i]
             j = right[ok]
             j = j[may_link(n[i], n[j], sketches[i], sketches[j], num, den)]
             a += [min(node[i], x) for x in node[j]]
             b += [max(node[i], x) for x in node[j]]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return compare
 
@@ -359,4 +358,4 @@ def _large_regions(many: DataFrame, sketches: DataFrame, num: int, den: int) ->
     joined = spans.withColumnRenamed("block", "first").join(other, ["region", "key"]).where((F.col("first") <= F.col("second")) & (num * F.col("other_low") <= den * F.col("high")))
     due = joined.select("region", "key", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
     rows = due.join(blocked, ["region", "key", "block"]).join(sketches.select("node", "sketch"), "node")
-    return rows.groupBy("region", "key", "first", "second").applyInPandas(_blocks(num, den), "a long, b long")
+    return rows.groupBy("region", "key", "first", "second").applyInArrow(_blocks(num, den), "a long, b long")

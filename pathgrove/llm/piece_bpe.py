@@ -15,7 +15,6 @@ Null or empty text: no ids but the end id. Very long texts are encoded whole.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chat import batched
-from .common import bounded_batches
+from .common import bounded_batches, held
 
 SPACE = "▁"
 CACHE = 700_000
@@ -153,9 +152,8 @@ class PrefixTableBpe:
         return n, hashlib.sha256(" ".join(decimals).encode()).hexdigest(), hashlib.sha256(plain[1:] if plain[:1] == b" " else plain).hexdigest()
 
 
-@functools.lru_cache(maxsize=2)
 def prefix_table_bpe(path: str) -> PrefixTableBpe:
-    return PrefixTableBpe(path)
+    return held(("pieces", path), lambda: PrefixTableBpe(path))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -7,12 +7,13 @@ library while it stays in the cache; ids are kept as packed little-endian intege
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 
 import numpy as np
 
+from .common import held
+
 CACHE = 900_000
 _ENDS = re.compile(rb"(?<=[a-z])([,.])(?=\s|\Z)")
 
@@ -64,9 +65,8 @@ class WordIds:
                 self.cache[w.encode()] = np.array(e.ids, self.dtype).tobytes()
 
 
-@functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("word ids", path), lambda: WordIds(path))
 
 
 def crc_bytes(ids: np.ndarray) -> bytes:
