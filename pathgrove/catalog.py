@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pathgrove.functions import modes
 from pathgrove.operators import diff as d, export, merkle, search as s, stats, tree as t
 from pathgrove.plans.options import search_condition
 from pathgrove.sources import derived
@@ -89,6 +90,8 @@ def _searches() -> None:
     add("search_after", lambda: s.after("2024-01-20T06:00:00", NOW), "mtime > TIMESTAMP '2024-01-20 06:00:00'")
     add("search_hash_prefix", lambda: s.hash_prefix("A"), "starts_with(hash, 'a')", True)
     add("search_id_prefix", lambda: s.id_prefix("0F"), "starts_with(id, '0f')")
+    add("search_type_mask", lambda: s.type_mask(modes.DIR | modes.SYMLINK), "mode >= 2147483648")
+    add("search_func", lambda: s.func(lambda rows: rows["size"] % 7 == 3), "size % 7 = 3")
     add("search_and", lambda: search_condition(iname=["*.TXT"], size=["+1k"], type=["f"], now=NOW)[0], "path LIKE '%.txt' AND size > 1000 AND mode < 2147483648")
     add("search_or", lambda: s.regex("/de/") | s.size("+8k"), "path LIKE '%/de/%' OR size > 8000")
     add("search_not", lambda: ~s.regex("/en(/|$)") & ~s.never(), "NOT regexp_matches(path, '/en(/|$)')")
@@ -236,6 +239,33 @@ def tosync_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.to_sync_by_content(*_pair(spark, sf_dir))
 
 
+@query(f"WITH {V1B} SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM dp WHERE NOT is_dir AND (type = 'left' OR changed & 4 <> 0)")
+def tosync_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.sync_totals(d.to_sync(*_pair(spark, sf_dir)))
+
+
+@query(f"WITH {V1B} SELECT type, id, path, changed, size FROM dh WHERE NOT is_dir AND (type = 'left' OR changed & 20 <> 0)")
+def tosync_paths_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.to_sync(*_pair(spark, sf_dir), use_hashes=True)
+
+
+@query(f"WITH {V1} SELECT hash, min(idx) AS idx FROM h WHERE hash IS NOT NULL GROUP BY hash")
+def content_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.content_index(_v1(spark, sf_dir))
+
+
+@query(f"WITH {V1} SELECT * FROM e WHERE id = sha1('src1/en')")
+def entry_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    return _v1(spark, sf_dir).by_id(hashlib.sha1(b"src1/en").hexdigest()).select("idx", "id", "path", "size", "mode", "mtime")
+
+
+@query(f"WITH {V1} SELECT * FROM e WHERE idx = 42")
+def entry_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _v1(spark, sf_dir).by_index(42).select("idx", "id", "path", "size", "mode", "mtime")
+
+
 @query(f"WITH {V1} SELECT e.idx, e.path, e.size FROM e JOIN h USING (idx) WHERE h.hash IS NULL")
 def pending_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.pending(_v1(spark, sf_dir)).select("idx", "path", "size")

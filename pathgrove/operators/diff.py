@@ -96,3 +96,8 @@ def to_sync_by_content(left: Snapshot, right: Snapshot) -> DataFrame:
     known = right.hashes.where("hash IS NOT NULL").select("hash")
     missing = left.hashes.where("hash IS NOT NULL").join(known, "hash", "left_anti").groupBy("hash").agg(F.min("idx").alias("idx"))
     return left.entries.join(missing, "idx").select("hash", "idx", "id", "path", "size")
+
+
+def sync_totals(rows: DataFrame) -> DataFrame:
+    """Number and bytes of the files to synchronise."""
+    return rows.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

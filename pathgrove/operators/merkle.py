@@ -71,3 +71,8 @@ def duplicate_subtrees(signed: DataFrame) -> DataFrame:
 def root_signature(signed: DataFrame, name: str) -> DataFrame:
     top = signed.where("depth = 1").agg(F.array_sort(F.collect_list(F.struct("name", "signature"))).alias("children"))
     return top.select(F.sha1(F.concat(F.unhex(F.concat_ws("", F.transform("children", lambda c: c["signature"]))), F.lit(name).cast("binary"))).alias("signature"))
+
+
+def duplicate_report(duplicates: DataFrame) -> DataFrame:
+    """signature, members (paths ascending): one row per group of duplicate subtrees, by signature."""
+    return duplicates.groupBy("signature").agg(F.array_sort(F.collect_list("path")).alias("members")).orderBy("signature")

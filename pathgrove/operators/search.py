@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pathgrove.functions.modes import DEVICE, DIR, PIPE, SOCKET, SYMLINK, all_of, has_bits, is_file
@@ -38,6 +40,21 @@ def type_of(letters: str) -> Column:
     return has_bits(F.col("mode"), sum(masks[c] for c in set(letters)))
 
 
+def type_mask(mask: int) -> Column:
+    """Any of the given mode bits is set."""
+    return has_bits(F.col("mode"), mask)
+
+
+def func(test: Callable[[pd.DataFrame], pd.Series]) -> Column:
+    """A caller's own predicate over batches of (path, size, mode, mtime); the only predicate that leaves the JVM."""
+
+    @F.pandas_udf("boolean")
+    def run(path: pd.Series, size: pd.Series, mode: pd.Series, mtime: pd.Series) -> pd.Series:
+        return test(pd.DataFrame({"path": path, "size": size, "mode": mode, "mtime": mtime}))
+
+    return run("path", "size", "mode", "mtime")
+
+
 def size(text: str) -> Column:
     comparison, n = parse_size(text)
     value = F.lit(n).cast("long")

@@ -39,6 +39,11 @@ def duplicate_files(snapshot: Snapshot) -> DataFrame:
     return hashed.join(numbered, "hash").withColumn("ord", (F.row_number().over(order) - 1).cast("long")).select("grp", "ord", "hash", "idx", "path", "size")
 
 
+def content_index(snapshot: Snapshot) -> DataFrame:
+    """hash, idx: each computed digest with the smallest index that has it."""
+    return snapshot.hashes.where("hash IS NOT NULL").groupBy("hash").agg(F.min("idx").alias("idx"))
+
+
 def duplicate_totals(dupes: DataFrame) -> DataFrame:
     return dupes.groupBy("grp", "hash").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 

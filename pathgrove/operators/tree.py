@@ -63,6 +63,12 @@ def lines(tree: DataFrame) -> DataFrame:
     return prefix.where(~hidden(F.col("parts"))).select("parts", F.concat(F.array_join(F.transform("p", lambda x: x["piece"]), ""), F.element_at("parts", -1)).alias("line"))
 
 
+def signed_lines(signed: DataFrame) -> DataFrame:
+    """The rendered rows with each node's signature behind its name."""
+    rows = lines(signed).join(signed.select("parts", "signature"), "parts")
+    return rows.select("parts", F.concat("line", F.lit("    ["), "signature", F.lit("]")).alias("line"))
+
+
 def render(tree: DataFrame, root: str) -> str:
     """The text of a tree for display: the rows come to the driver one by one, in order."""
     text = [root, *(r["line"] for r in lines(tree).orderBy("parts").toLocalIterator())]

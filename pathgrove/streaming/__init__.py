@@ -1 +1 @@
-
+"""Snapshots as streams."""

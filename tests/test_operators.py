@@ -100,6 +100,9 @@ def test_signature_goldens(make):
     signed = merkle.signatures(t.nodes(make([(p, 0, "d") for p in dirs] + [(p, 1) for p in paths]).entries))
     found = merkle.duplicate_subtrees(signed).collect()
     assert {(r["signature"], r["path"]) for r in found} == {("5c09ba250cd65d1d4e244c268346af99b77209ba", "a/a2"), ("5c09ba250cd65d1d4e244c268346af99b77209ba", "dupes/c/a2")}
+    report = merkle.duplicate_report(merkle.duplicate_subtrees(signed)).collect()
+    assert [(r["signature"], r["members"]) for r in report] == [("5c09ba250cd65d1d4e244c268346af99b77209ba", ["a/a2", "dupes/c/a2"])]
+    assert any(r["line"].endswith("a2    [5c09ba250cd65d1d4e244c268346af99b77209ba]") for r in t.signed_lines(signed).collect())
     small = merkle.signatures(t.nodes(make([("a/b/c.txt",), ("a/d/e.txt",)]).entries))
     got = {r["path"]: r["signature"] for r in small.collect()}
     assert got["a"] == "738f85b5fb947ee653004952949083d597e1da45" and got["a/b"] == "f08d52d8c5774306baf4203c859efb1666e18df6" and got["a/d"] == "c9fc6719efc1551cdcae31a81c1d251019ce08fe"
