@@ -16,11 +16,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end_id=1, capacity=4096)
 
 
-def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade and tail probability, whether it is selected or not."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_on(docs, quality.graded(table(spark, sf_dir, "labels")))
-    scored = quality.score_documents(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", "expected_grade", "p_good", (F.col("p_good") >= quality.KEEP).alias("keep"))
+    return quality.score_documents(docs, model)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are selected, with their scores; those that are missing are rejected."""
+    return quality_scores(spark, sf_dir).where(F.col("p_good") >= quality.KEEP)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(media.to_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_jaccard_join, op4_piece_encoding, op5_token_files, op6_url_filters, op7_nearest_neighbours, op8_repeated_passages, op9_chat_formatting, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_jaccard_join, op4_piece_encoding, op5_token_files, op6_url_filters, op7_nearest_neighbours, op8_repeated_passages, op9_chat_formatting, op10_media_columns, quality_scores)}
 
 
 def _url_levels(levels: int) -> str:
