@@ -31,10 +31,15 @@ def hash_stats(snapshot: Snapshot) -> DataFrame:
 def duplicate_files(snapshot: Snapshot) -> DataFrame:
     """grp, ord, hash, idx, path, size of files with the same content, without empty ones; groups are numbered by hash, from 0.
 
-    The numbering counts groups of empty files too. Only the distinct duplicate hashes are ranked in one place."""
+    The numbering counts groups of empty files too. Digests are spread evenly, so they are ranked within their first four hex digits
+    and each such part adds the count of those before it: only these (65,536 at most) are ever ordered in one task."""
     hashed = snapshot.with_hashes()
     groups = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.max("size").alias("largest")).where("n > 1")
-    numbered = groups.withColumn("grp", (F.row_number().over(Window.orderBy("hash")) - 1).cast("long")).where("largest > 0").select("hash", "grp")
+    groups = groups.withColumn("part", F.substring("hash", 1, 4))
+    parts = groups.groupBy("part").agg(F.count("*").alias("own"))
+    before = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("hash")) - 1
+    numbered = groups.withColumn("nth", nth).join(F.broadcast(before), "part").where("largest > 0").select("hash", (F.col("before") + F.col("nth")).alias("grp"))
     order = Window.partitionBy("hash").orderBy("idx")
     return hashed.join(numbered, "hash").withColumn("ord", (F.row_number().over(order) - 1).cast("long")).select("grp", "ord", "hash", "idx", "path", "size")
 
