@@ -167,7 +167,7 @@ def sample_space(docs: DataFrame, size: int, num: int, den: int, pivots: int) ->
     owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
     order = np.argsort(at, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(tokens)))]).astype(np.int64)
-    return Space(size, num, den, tokens, counts, starts, owner[order], np.array([len(h) for h in hashes], np.int64)), [bytes(r["fp"]) for r in chosen]
+    return Space(size, num, den, tokens, counts.astype(np.int32), starts.astype(np.int32), owner[order].astype(np.int16), np.array([len(h) for h in hashes], np.int64)), [bytes(r["fp"]) for r in chosen]
 
 
 def fingerprint(h: np.ndarray) -> bytes:
@@ -216,7 +216,7 @@ def _sketch_filter(num: int, den: int):
 
 def _verify(size: int, num: int, den: int):
     def run(batches):
-        cached = functools.lru_cache(maxsize=64)(lambda t: exact_shingles(t, size))
+        cached = functools.lru_cache(maxsize=8)(lambda t: exact_shingles(t, size))
         for b in batches:
             keep = []
             for x, y in zip(b.column("a_text").to_pylist(), b.column("b_text").to_pylist(), strict=True):
