@@ -2,7 +2,7 @@
 
 sig(node) = SHA-1(signatures of its children, by name, as bytes; then its name as bytes). Content, size and mode play no part.
 The fold takes one aggregation per level; each level is written as a table, so plans stay small and lost executors cost
-one level. Only partial sums of one parent's children meet in a task.
+one level. The digest of a directory is sequential, so its children's names and digests (some 60 bytes each) meet in one row.
 """
 
 from __future__ import annotations
