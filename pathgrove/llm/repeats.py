@@ -126,8 +126,10 @@ def _texts(docs: DataFrame, parts: int) -> tuple[DataFrame, str]:
 
 
 def _twice(df: DataFrame, *columns: str) -> DataFrame:
-    """The rows whose values in columns occur twice; counted by partial aggregates, so that a common value is no hot spot."""
-    return df.join(df.groupBy(*columns).count().where("count > 1").select(*columns), list(columns), "left_semi")
+    """The rows whose values in columns occur twice. Counted by partial aggregates; the values are a table of their own, so that Spark
+    can split the join's partitions where a value is common."""
+    values = materialise(df.groupBy(*columns).count().where("count > 1").select(*columns), "twice")
+    return df.join(values, list(columns), "left_semi")
 
 
 def covered_intervals(texts: DataFrame) -> DataFrame:
@@ -159,7 +161,7 @@ def covered_intervals(texts: DataFrame) -> DataFrame:
     pairs = ranked.select(*KEY, "pos", "rank", F.xxhash64("before", "rank").alias("low"), F.xxhash64("rank", "after").alias("high"), (F.col("before").isNull() | F.col("after").isNull()).alias("edge"))
     full = pairs.select(*KEY, "pos", "rank", F.when(F.col("edge"), F.xxhash64(*KEY, "pos", F.lit("edge"))).otherwise(F.xxhash64("low", "high")).alias("full"))
     full = materialise(full.withColumn("place", F.xxhash64(*KEY, "pos")), "ranks")
-    same = full.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    same = materialise(full.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1"), "same")
     marked = full.join(same, "full", "left").select(*KEY, "pos", "rank", F.col("n").isNotNull().alias("all"), (F.col("n").isNull() | (F.col("first") == F.col("place"))).alias("one"))
     marked = materialise(marked, "marked")
     whole = marked.where("all").select(*KEY, (F.col("pos") - BLOCK).cast("long").alias("start"), (F.col("pos") + LENGTH).cast("long").alias("end"))
