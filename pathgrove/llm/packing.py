@@ -3,9 +3,9 @@
 1. Every document becomes token ids plus an end id; only what is longer than the capacity is cut into pieces of the capacity.
 2. The histogram of piece lengths (at most ``capacity`` rows) goes to the driver.
 3. A configuration is a multiset of lengths that fits a sequence. The covering program (fewest sequences that cover the
-   histogram) is solved by multiplicative weights: each round prices the lengths by their weights and finds the best
-   configuration by a knapsack dynamic program; rounding takes whole multiples of the configurations, and what is left
-   goes best-fit into their gaps and into new sequences, still by length and count only. Several scales of rounding are
+   histogram) is solved by multiplicative weights until every length is covered: each round prices the lengths by their
+   weights and finds the best configurations by a knapsack dynamic program; rounding takes whole sequences of them, and what
+   is left goes best-fit into their gaps and into new sequences, still by length and count only. Two ways of rounding are
    tried and the fewest sequences win.
 4. The plan is a bounded table of runs (length, first rank, sequences, copies, offset). Pieces are ranked per length,
    with the length split over buckets so that a common length doesn't land in one task, and look up their place.
@@ -53,48 +53,75 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, buck
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: the multiset of lengths (ascending) of the highest price that fits."""
+def best_fills(lengths: np.ndarray, prices: np.ndarray, capacity: int, bonus=0.0, draws: np.ndarray | None = None, shifts: np.ndarray | None = None) -> np.ndarray:
+    """Knapsack by dynamic programming: for every room, the last piece (index into the ascending lengths, -1: none) of the multiset
+    of the highest price. ``bonus`` and the draws, shifted for every room, only decide which of nearly equal multisets is taken."""
+    liked = prices + bonus
     best = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
     fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if k := fitting[c]:
-            value = best[c - lengths[:k]] + prices[:k]
-            i = int(value.argmax())
-            if value[i] > best[c]:
-                best[c], last[c] = value[i], i
+            rest = best[c - lengths[:k]]
+            i = int((rest + liked[:k] if draws is None else rest + liked[:k] + draws[shifts[c] : shifts[c] + k]).argmax())
+            if rest[i] + prices[i] > best[c]:
+                best[c], last[c] = rest[i] + prices[i], i
+    return last
+
+
+def filled(last: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
+    """The multiset of a room, as index and copies."""
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
+    while room > 0:
+        i = int(last[room])
+        if i < 0:
+            room -= 1
             continue
-        n = int(lengths[last[c]])
-        out[n] = out.get(n, 0) + 1
-        c -= n
+        out[i] = out.get(i, 0) + 1
+        room -= int(lengths[i])
     return out
 
 
-def fractional_plan(histogram: dict[int, int], capacity: int, rounds: int, eta: float) -> list[tuple[dict[int, int], float]]:
-    """Configurations with their fractional number of sequences, by multiplicative weights on the covering program."""
+def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths (ascending) of the highest price that fits."""
+    return {int(lengths[i]): a for i, a in filled(best_fills(lengths, prices, capacity), lengths, capacity).items()}
+
+
+def fractional_plan(histogram: dict[int, int], capacity: int, rounds: int | None, eta: float, near: float = 1e-4) -> list[tuple[dict[int, int], float]]:
+    """Configurations with their fractional number of sequences, by multiplicative weights on the covering program.
+
+    A round solves one knapsack and takes, for every length that isn't covered yet, the best configuration that holds it; none
+    of them takes more than its lengths still need. So each round covers a length at least, and ``rounds`` (None: until all are
+    covered) only bounds it further. Equal prices would give all configurations the same filling, so multisets within about
+    ``near`` of the best are drawn in proportion to what their lengths still need."""
+    rng = np.random.default_rng(7)
     lengths = np.array(sorted(histogram))
     counts = np.array([histogram[n] for n in lengths], float)
-    index = {int(n): i for i, n in enumerate(lengths)}
     covered = np.zeros(len(lengths))
     plan: dict[tuple, float] = {}
-    for _ in range(rounds):
-        weights = np.exp(-eta * covered) * (covered < 1)
-        if not weights.any():
+    for _ in range(len(lengths) if rounds is None else rounds):
+        open_ = np.flatnonzero(covered < 1 - 1e-9)
+        if not len(open_):
             break
-        # a length's weight counts per piece; its share of the capacity breaks ties towards full sequences
-        config = best_configuration(lengths, weights * lengths / capacity, capacity)
-        step = min(counts[index[n]] / a for n, a in config.items())
-        key = tuple(sorted(config.items()))
-        plan[key] = plan.get(key, 0.0) + step
-        for n, a in config.items():
-            covered[index[n]] += a * step / counts[index[n]]
+        own, needed = lengths[open_], counts[open_] * (1 - covered[open_])
+        # the dual price of a piece: its share of the capacity, less by the factor of its weight
+        prices = own / capacity * np.exp(-eta * covered[open_])
+        draws = near * rng.gumbel(size=2 * len(own))
+        last = best_fills(own, prices, capacity, near * np.log(needed), draws, rng.integers(0, len(own), capacity + 1))
+        for i in range(len(own) - 1, -1, -1):
+            if needed[i] <= 1e-9 * counts[open_[i]]:
+                continue
+            config = filled(last, own, capacity - int(own[i]))
+            config[i] = config.get(i, 0) + 1
+            step = min(needed[j] / a for j, a in config.items())
+            if step <= 1e-9:
+                continue
+            key = tuple(sorted(((int(own[j]), a) for j, a in config.items()), reverse=True))
+            plan[key] = plan.get(key, 0.0) + step
+            for j, a in config.items():
+                needed[j] -= a * step
+        covered[open_] = 1 - needed / counts[open_]
     return [(dict(k), x) for k, x in plan.items()]
 
 
@@ -102,19 +129,36 @@ def fractional_plan(histogram: dict[int, int], capacity: int, rounds: int, eta:
 Group = tuple[list[tuple[int, int]], int, int]
 
 
-def round_plan(fractional, histogram: dict[int, int], capacity: int, scale: float) -> list[Group]:
-    """Whole sequences: rounded-down configurations, then best fit in descending length by counts."""
+def rounded(fractional, histogram: dict[int, int], capacity: int, carry: bool) -> tuple[list, dict[int, int]]:
+    """The configurations' whole sequences, sorted by room, and the pieces that are left.
+
+    Rounded down, or with ``carry`` the fractions of neighbouring configurations (in the order of their lengths) add up to whole
+    sequences; what a configuration lacks by then stays a gap for best fit."""
     left = dict(histogram)
     room: list[tuple[int, int, list[tuple[int, int]], int]] = []  # sorted by room; a number breaks ties
     serial = 0
-    for config, x in sorted(fractional, key=lambda p: -p[1]):
-        m = min([int(x * scale), *(left[n] // a for n, a in config.items())])
-        if m > 0:
-            content = sorted(config.items(), reverse=True)
+    due = 0.0
+    for config, x in sorted(fractional, key=lambda p: sorted(p[0].items(), reverse=True), reverse=True):
+        due = due + x if carry else x
+        m = int(due + 1e-6)
+        due -= m
+        while m > 0:
+            content = [(n, min(a, left[n])) for n, a in sorted(config.items(), reverse=True) if left[n]]
+            if not content:
+                break
+            k = min([m, *(left[n] // a for n, a in content)])
             for n, a in content:
-                left[n] -= a * m
+                left[n] -= a * k
+            m -= k
             serial += 1
-            bisect.insort(room, (capacity - sum(n * a for n, a in content), serial, content, m))
+            bisect.insort(room, (capacity - sum(n * a for n, a in content), serial, content, k))
+    return room, left
+
+
+def round_plan(fractional, histogram: dict[int, int], capacity: int, carry: bool) -> list[Group]:
+    """Whole sequences: the rounded configurations, then best fit in descending length by counts for what is left."""
+    room, left = rounded(fractional, histogram, capacity, carry)
+    serial = len(room)
     for n in sorted(left, reverse=True):
         count = left[n]
         while count:
@@ -134,9 +178,9 @@ def round_plan(fractional, histogram: dict[int, int], capacity: int, scale: floa
     return [(content, m, free) for free, _, content, m in room]
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 120, eta: float = 4.0) -> list[Group]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int | None = None, eta: float = 0.3) -> list[Group]:
     fractional = fractional_plan(histogram, capacity, rounds, eta) if histogram else []
-    plans = [round_plan(fractional, histogram, capacity, s) for s in (1.0, 0.5, 0.0)]
+    plans = [round_plan(fractional, histogram, capacity, carry) for carry in (True, False)]
     return min(plans, key=lambda p: sum(m for _, m, _ in p))
 
 

@@ -128,6 +128,23 @@ def test_best_configuration_is_optimal():
         assert value == pytest.approx(best)
 
 
+def test_program_covers_every_length():
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(rng.lognormal(4, 1.2, 20_000).astype(int) + 1, 512)
+    histogram = dict(collections.Counter(lengths.tolist()))
+    plan = packing.fractional_plan(histogram, 512, None, 0.3)
+    covered = collections.Counter()
+    for config, x in plan:
+        assert sum(n * a for n, a in config.items()) <= 512
+        for n, a in config.items():
+            covered[n] += a * x
+    assert all(covered[n] == pytest.approx(histogram[n]) for n in histogram)
+    assert sum(x for _, x in plan) <= lengths.sum() / 512 * 1.01
+    # the dealt configurations hold nearly all tokens, best fit only the rest
+    _, left = packing.rounded(plan, histogram, 512, True)
+    assert sum(n * k for n, k in left.items()) < 0.02 * lengths.sum()
+
+
 def test_packing(odd, none):
     out = packing.pack_documents(odd, WORDS, end_id=1, capacity=64).collect()
     expected = []
