@@ -13,7 +13,8 @@ template their path falls into:
    template when it is under ``min_purity`` and ``min_labels`` labels stand behind it.
 
 Labels are the pages that a rule decides (block: bad, allow: good), so the tree carries the rules' verdicts over to
-look-alike paths of the same host. Templates without labels keep the overall share.
+look-alike paths of the same host, but only where step 2 pools them or their branches have labels of their own: a branch
+without labels isn't merged with a labelled one. Templates without labels keep the overall share.
 
 Null url or no "://": host and path are empty, no rule fits, and the row is judged by the template of the empty path.
 Repeated rows each get their own row. An empty table gives an empty result. Other columns are ignored.
