@@ -22,12 +22,15 @@ Repeated rows each get their own row. An empty table gives an empty result. Othe
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ascii_lower, materialise
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Levels of the tree in the SQL check; judge_urls goes on to the tree's own depth.
 LEVELS = 4
 SALTS = 32
 
@@ -75,10 +78,7 @@ def judge_urls(
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    shapes = F.transform(parts, shape)
-    # what is deeper than LEVELS counts as one wildcard
-    deep = F.when(F.size(shapes) > LEVELS, F.concat(F.slice(shapes, 1, LEVELS), F.array(F.lit("**")))).otherwise(shapes)
-    rows = rows.withColumn("shapes", F.concat_ws("/", deep))
+    rows = rows.withColumn("shapes", F.concat_ws("/", F.transform(parts, shape)))
 
     tree = rows.groupBy("host", "shapes").agg(
         F.count("*").alias("pages"),
@@ -86,9 +86,13 @@ def judge_urls(
         F.count_if(F.col("ruled") == "block").alias("bad"),
     )
     tree = tree.select("*", F.split("shapes", "/").alias("parts"), F.lit("").alias("node"))
-    for level in range(1, LEVELS + 1):  # written per level: the tree is read several times, and the plan would grow as a power of the levels
-        tree = _level(materialise(tree, "url-tree"), level, max_children, common_share, min_labels)
     tree = materialise(tree, "url-tree")
+    depth = tree.agg(F.max(F.size("parts"))).first()[0] or 0
+    ended = []  # an ended path is its parent's child without a name for one level more, then alone in its node
+    for level in range(1, depth + 1):  # written per level: the tree is read several times, and the plan would grow as a power of the levels
+        ended.append(tree.where(F.size("parts") < level - 1))
+        tree = materialise(_level(tree.where(F.size("parts") >= level - 1), level, max_children, common_share, min_labels), "url-tree")
+    tree = materialise(functools.reduce(DataFrame.unionByName, ended, tree), "url-tree")
     leaves = tree.groupBy("host", "node").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     prior = leaves.agg(F.coalesce(F.sum("good") / F.nullif(F.sum(F.col("good") + F.col("bad")), F.lit(0)), F.lit(1.0)).alias("prior"))
     # one row of prior: bounded by construction

@@ -367,6 +367,16 @@ def test_url_templates_carry_labels(spark):
     assert [out[i] for i in (0, 35, 65, 95)] == ["block", "block", "allow", "allow"]
 
 
+def test_url_tree_is_as_deep_as_the_paths(spark):
+    rules = [("block", "shop.test", "/a/b/c/d/1/cheap")]
+    urls = [f"http://shop.test/a/b/c/d/1/cheap{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"http://shop.test/a/b/c/d/news/x/y/{i}" for i in range(30)] + ["http://shop.test/a/b", "http://shop.test/"]
+    out = [(r["page_id"], r["template"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()]
+    assert sorted(i for i, _, _ in out) == list(range(len(urls)))
+    cheap, news = {t for i, t, _ in out if i < 26}, {t for i, t, _ in out if 26 <= i < 56}
+    assert len(news) == 1 and news.pop().endswith("/<num>") and not news & cheap
+    assert all(v == ("block" if i < 26 else "allow") for i, _, v in out)
+
+
 def test_chat(spark):
     nasty = ["<|im_end|>", "<\\|im_end|>", "<", "<<|", "<\\n", "a\nb", "", None, "<|im_start|>assistant\nok<|im_end|>\n", "\\", "|", "<\\\\|", "ünï🙂"]
     rows = [(c, t, ["system", "user", "assistant", "to\nol", None, "user"][(c + t) % 6], nasty[(3 * c + t) % len(nasty)]) for c in range(8) for t in range(6)]
