@@ -3,27 +3,32 @@
 With threshold T and radius r = 1 - T, two documents link when their distance is at most r.
 
 1. Classes. Documents with the same shingle set (128-bit fingerprint) are one point of the space.
-2. Pivots. A bounded sample gives ``pivots`` documents. Every point gets its exact distances to all pivots it shares shingles
-   with. Its Voronoi region is the nearest pivot's if that is within CUT, else the open region. Points within r of a pivot are
-   linked to it there and then.
+2. Pivots. The ``pivots`` documents of a bounded sample that share most shingles with the rest of it, copies of each other
+   left out, lie in the dense parts of the space. Every point gets its exact distances to all pivots it shares shingles with. Its
+   Voronoi region is the nearest pivot's if that is within CUT, else the open region. Points within r of a pivot are linked
+   to it there and then.
 3. Windows. By the triangle inequality, a point also goes to each region whose pivot is at most 2r farther than the
    nearest one, and to the open region if its nearest pivot is farther than CUT - r. So any two linked points meet.
-4. Recursion. Distances between unrelated texts are all near 1, so more documents as pivots would divide nothing; inside a region
-   the pivots are single shingles, ordered by (count in the sample, hash). A point of n shingles goes to the sub-regions of
-   its first n - ceil(T n) + 1 shingles: two linked points share one of these. In each sub-region two of its points are pivots
-   first and all others are tested against them. Sub-regions whose points are then all connected fall away; in the
-   others, points of different components meet. Common shingles come last in the order, so sub-regions are small; a large one is divided
-   into blocks by size, and only blocks within the size window (T n <= m <= n / T) meet.
-5. Pairs that meet are tested with odd sketches (parities of hashed shingles), whose Hamming distance never exceeds the
+4. Sub-regions. Distances between unrelated texts are all near 1, so no document divides them; a region is divided by rare
+   shingles, in the order of (count in the sample, hash). A point of n shingles goes to the sub-regions of its first
+   n - ceil(T n) + 1 shingles: two linked points share one of these. Two points of each sub-region are its pivots, and all others
+   are tested against them. Sub-regions whose points are then all connected fall away.
+5. In sub-regions of up to CROWD points, points of different components meet if their places in the order allow a link:
+   the first shingle they share is at places i and j, so they share at most min(n - i, m - j).
+6. Recursion. The points of larger sub-regions go to the region of each pivot document that they met there, with their exact
+   distance to it. Only points whose distances differ by at most r can link (triangle inequality); they are divided again by
+   shingles, now in the order of their exact counts in the region, so that sub-regions stay crowded only where at least T of a
+   text is shared, and meet under the rule of step 5.
+7. Pairs that meet are tested with odd sketches (parities of hashed shingles), whose Hamming distance never exceeds the
    symmetric difference, and pairs that pass are compared by their words.
-6. Components of the links, labelled by the smallest doc_id.
+8. Components of the links, labelled by the smallest doc_id.
 
 The sample sets the order of shingles and the pivots, so it affects speed only, never results.
 
 Words are runs of characters other than white space, A-Z in lower case. A document with fewer words than ``size`` has its whole
 word sequence as one shingle; with none (or null text) it has no shingles and links with nothing. Documents with a null
 doc_id link with nothing and have a null component. Repeated rows and rows with the same set share a component.
-Equal doc_ids with different texts: each row by its own text. An empty table gives an empty result.
+Equal doc_ids with different texts: each row by its own text. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +40,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .chat import batched
-from .common import bounded_batches, held, materialise
+from .common import bounded_batches, held, materialise, release
 from .components import components
 
-SAMPLE, COMMON, CUT, BLOCK = 12_000, 500_000, 0.7, 256
+SAMPLE, COMMON, CUT, CROWD = 12_000, 500_000, 0.7, 32
 PIVOT_SHINGLES = (8, 4096)  # sizes of the documents that may be pivots: bounds what is broadcast
 
 
@@ -117,10 +122,11 @@ class Space:
         return at, self.tokens[at] == h
 
     def first_keys(self, h: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """The shingles of the sub-regions that a point goes to, in order."""
         n = len(h)
         keep = n + (-n * self.num // self.den) + 1
         count = np.where(there, self.counts[at] if len(self.counts) else 0, 0)
-        return h[np.lexsort((h, count))[:keep]] if keep < n else h
+        return h[np.lexsort((h, count))[:keep]]
 
     def regions(self, n: int, at: np.ndarray, there: np.ndarray) -> tuple[list[int], list[int]]:
         """Regions that the point goes to (-1: open), and the pivots that it links to."""
@@ -157,7 +163,12 @@ def sample_space(docs: DataFrame, size: int, num: int, den: int, pivots: int) ->
     sets = materialise(texts.mapInArrow(run, "fp binary, n long, h array<long>"), "sample")
     # at most COMMON rows
     common = sets.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    chosen = sets.where(F.col("n").between(*PIVOT_SHINGLES)).dropDuplicates(["fp"]).orderBy("fp").limit(pivots).select("fp", "n", "h").collect()
+    # the densest: most shingles that others have too; sets with the same least shingle are mostly copies of each other
+    seen = sets.select("fp", "n", F.explode("h").alias("h")).where(F.col("n").between(*PIVOT_SHINGLES))
+    shared = sets.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2")
+    dense = seen.join(shared, "h").groupBy("fp", "n").agg((F.count("*") / F.col("n")).alias("share"), F.min("h").alias("least"))
+    dense = dense.groupBy("least").agg(F.max(F.struct("share", "fp")).alias("best")).orderBy(F.desc("best")).limit(pivots).select("best.fp")
+    chosen = sets.join(dense, "fp", "left_semi").dropDuplicates(["fp"]).orderBy("fp").select("fp", "n", "h").collect()  # at most `pivots` rows
     hashes = [np.array(r["h"], np.int64).view(np.uint64) for r in chosen]
     known = np.asarray(common.column("h").to_numpy(), np.int64).view(np.uint64)
     tokens = np.unique(np.concatenate([known, *hashes])) if len(known) or hashes else np.zeros(0, np.uint64)
@@ -228,36 +239,70 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
-def _blocks(num: int, den: int):
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        """Pairs of one block with itself or of two blocks, that the sketches allow."""
-        first, second = key[2].as_py(), key[3].as_py()
-        held_sketches = rows.column("sketch").to_pylist()
-        size = min(map(len, held_sketches))
-        sketches = np.stack([fold(np.frombuffer(s, np.uint8), size) for s in held_sketches])
-        n, node, comp, block = (rows.column(c).to_numpy() for c in ("n", "node", "comp", "block"))
-        right = np.flatnonzero(block == second)
-        a, b = [], []
-        for i in np.flatnonzero(block == first):
-            ok = (comp[right] != comp[i]) & (den * n[right] >= num * n[i]) & (den * n[i] >= num * n[right])
-            if first == second:
-                ok &= node[right] > node[i]
-            j = right[ok]
-            j = j[may_link(n[i], n[j], sketches[i], sketches[j], num, den)]
-            a += [min(node[i], x) for x in node[j]]
-            b += [max(node[i], x) for x in node[j]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return compare
-
-
 def _shared(members: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows (region, key, node, n, comp, size) of sub-regions whose points aren't all of one component yet."""
-    own = members.join(known, "node", "left").select("region", "key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    """The rows (region, key, node, n, pos, comp, size) of sub-regions whose points aren't all of one component yet."""
+    own = members.join(known, "node", "left").select("region", "key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
     shared = own.groupBy("region", "key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     return materialise(own.join(shared.select("region", "key", "size"), ["region", "key"]), "members")
 
 
+def _sized(num: int, den: int):
+    """Whether the sizes of x and y allow a link."""
+    return (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
+
+
+def _meetings(cells: DataFrame, region: str, num: int, den: int, window: float | None = None) -> DataFrame:
+    """The pairs (a, b) of points of a cell (region, key) that may link through its shingle. cells: also node, n, pos, comp and, with
+    ``window``, distance (to the region's pivot). The smaller point of a pair must have the shingle among its first
+    n - ceil(2 T n / (1 + T)) + 1."""
+    early = cells.where((num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n"))
+    shared = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    fits = (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.comp") != F.col("y.comp")) & _sized(num, den)
+    fits &= (num + den) * shared >= num * (F.col("x.n") + F.col("y.n"))
+    if window is not None:
+        fits &= F.abs(F.col("x.distance") - F.col("y.distance")) <= window + 1e-9
+    met = early.alias("x").join(cells.alias("y"), (F.col(f"x.{region}") == F.col(f"y.{region}")) & (F.col("x.key") == F.col("y.key")) & fits)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def _crowded(docs: DataFrame, classes: DataFrame, members: DataFrame, space, num: int, den: int) -> DataFrame:
+    """Pairs of the sub-regions of over CROWD points (step 6)."""
+    pivots = members.groupBy("region", "key").agg(F.min("node").alias("pivot"))
+    zones = members.join(pivots, ["region", "key"]).select("pivot", "node", "n", "comp").distinct()
+    zones = materialise(zones, "zones")
+    wanted = zones.select("node").distinct()
+
+    def run(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("h", pa.list_(pa.int64()))])
+        for b in batches:
+            sets = (shingles(t, space.value.size) for t in b.column(1).to_pylist())
+            yield from batched(((i, fingerprint(h), h.view(np.int64)) for i, h in zip(b.column(0).to_pylist(), sets, strict=True)), schema, 200)
+
+    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").distinct().mapInArrow(run, "doc_id long, fp binary, h array<long>")
+    prints = classes.select("node", "fp").join(wanted, "node", "left_semi")
+    sets = materialise(texts.join(prints, "fp").where("doc_id = node").groupBy("node").agg(F.first("h").alias("h")), "shingles")
+    each = zones.join(sets, "node").select("pivot", "node", "n", "comp", F.explode("h").alias("h"))
+    own = sets.join(zones.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("pivot"), F.explode("h").alias("h"), F.lit(1).alias("held"))
+    counts = materialise(each.groupBy("pivot", "h").count().where("count > 1").join(own, ["pivot", "h"], "left"), "counts")
+    # shingles that only one point of the region has come first in its order and lead nowhere: only their number counts
+    ordered = each.join(counts, ["pivot", "h"]).groupBy("pivot", "node", "n", "comp").agg(
+        F.array_sort(F.collect_list(F.struct("count", "h"))).alias("shared"), F.count("held").alias("both")  # a point's own shingles
+    )
+    ordered = materialise(ordered, "ordered")
+    sizes = zones.where("node = pivot").select("pivot", F.col("n").alias("pivot_n")).distinct()
+    single = F.col("n") - F.size("shared")
+    keep = F.col("n") + F.floor(-F.col("n") * num / den) + 1 - single
+    cells = ordered.join(sizes, "pivot").where(keep > 0).select(
+        "pivot", "node", "n", "comp", single.alias("single"),
+        F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(1 - F.col("both") / (F.col("n") + F.col("pivot_n") - F.col("both"))).alias("distance"),
+        F.posexplode(F.slice("shared", 1, keep.cast("int"))).alias("at", "x"),
+    )
+    cells = materialise(cells.select("pivot", F.col("x.h").alias("key"), "node", "n", "comp", "distance", (F.col("single") + F.col("at")).alias("pos")), "cells")
+    pairs = materialise(_meetings(cells, "pivot", num, den, 1 - num / den).distinct(), "crowded")
+    release(zones, sets, counts, ordered, cells)
+    return pairs
+
+
 def _links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: first by sketches, then by the words of both texts."""
     sketches = classes.select("node", "n", "sketch")
@@ -278,7 +323,9 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, p
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
         .select("a", "b", "a_text", "b_text").mapInArrow(_verify(size, num, den), "a long, b long")
     )
-    return materialise(compared, "links")
+    links = materialise(compared, "links")
+    release(pairs, texts)
+    return links
 
 
 def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, pivots: int = 256) -> DataFrame:
@@ -300,25 +347,25 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     direct = materialise(direct.select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b")).distinct(), "pivot-links")
     first = components(direct)
 
-    members = classes.select("node", "n", "keys", F.explode("regions").alias("region")).select("region", F.explode("keys").alias("key"), "node", "n")
+    members = classes.select("node", "n", "keys", F.explode("regions").alias("region")).select("region", "node", "n", F.posexplode("keys").alias("pos", "key"))
     members = _shared(members, first)
     test = functools.partial(_links, docs, classes, size, num, den)
-    fits = (F.col("x.comp") != F.col("y.comp")) & (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
 
     # the first and last point of a sub-region are its pivots: a group of copies is linked here, by a pair per point and pivot
     point = F.struct("node", "n", "comp")
     heads = members.groupBy("region", "key").agg(F.explode(F.array(F.min(point), F.max(point))).alias("y")).select("region", "key", "y.*")
-    stars = members.alias("x").join(heads.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.key") == F.col("y.key")) & fits)
+    same = (F.col("x.region") == F.col("y.region")) & (F.col("x.key") == F.col("y.key"))
+    stars = members.alias("x").join(heads.alias("y"), same & (F.col("x.comp") != F.col("y.comp")) & _sized(num, den))
     stars = materialise(stars.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "stars")
     linked = direct.union(test(stars))
 
     # then all others that are not connected yet
-    members = _shared(members.select("region", "key", "node", "n"), components(linked))
-    few, many = members.where(F.col("size") <= BLOCK), members.where(F.col("size") > BLOCK)
-    met = few.alias("x").join(few.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & fits)
-    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rest = met.union(_large_regions(many, classes.select("node", "n", "sketch"), num, den)).distinct().join(stars, ["a", "b"], "left_anti")
-    labels = components(linked.union(test(rest)))
+    rest = _shared(members.select("region", "key", "node", "n", "pos"), components(linked))
+    release(members)
+    met = _meetings(rest.where(F.col("size") <= CROWD), "region", num, den)
+    met = met.union(_crowded(docs, classes, rest.where(F.col("size") > CROWD), space, num, den))
+    labels = components(linked.union(test(met.distinct().join(stars, ["a", "b"], "left_anti"))))
+    release(rest, stars)
     numbered = classes.select("fp", "node").join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(numbered, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -347,15 +394,3 @@ def _fingerprints(size: int):
 
     return run
 
-
-def _large_regions(many: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sub-regions of over BLOCK points: blocks of points of like size meet where the size window allows it."""
-    order = Window.partitionBy("region", "key").orderBy("n", "node")
-    blocked = many.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    blocked = materialise(blocked.select("region", "key", "block", "node", "n", "comp"), "blocks")
-    spans = blocked.groupBy("region", "key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = spans.select("region", "key", F.col("block").alias("second"), F.col("low").alias("other_low"))
-    joined = spans.withColumnRenamed("block", "first").join(other, ["region", "key"]).where((F.col("first") <= F.col("second")) & (num * F.col("other_low") <= den * F.col("high")))
-    due = joined.select("region", "key", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
-    rows = due.join(blocked, ["region", "key", "block"]).join(sketches.select("node", "sketch"), "node")
-    return rows.groupBy("region", "key", "first", "second").applyInArrow(_blocks(num, den), "a long, b long")

@@ -222,12 +222,23 @@ def test_jaccard_join(spark, odd, none, size, num):
     assert jaccard_join.link_documents(none).count() == 0
 
 
-def test_large_regions_join_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
-    rng = random.Random(9)
-    shared = " ".join(f"s{k}" for k in range(60))
-    rows = [(i, shared + " " + " ".join(f"t{rng.randint(0, 3)}" for _ in range(rng.randint(0, 14)))) for i in range(40)]
-    assert same(rows_of(jaccard_join.link_documents(spark.createDataFrame(rows, DOCS), 3, 90, 100, pivots=0)), brute_components(rows, 3, 90, 100))
+@pytest.mark.parametrize("pivots", [0, 3])
+def test_crowded_regions_recurse(spark, monkeypatch, pivots):
+    monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    rng = random.Random(9 + pivots)
+    shared = [" ".join(f"{c}{k}" for k in range(60)) for c in "st"]
+    rows = [(i, shared[i % 3 == 0] + " " + " ".join(f"t{rng.randint(0, 3)}" for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    base = [f"w{k}" for k in range(300)]
+    for i in range(60, 120):  # copies with too many changes to be linked to each other, a few of them copied again
+        changed = [f"x{i}{k}" if rng.random() < 0.03 else w for k, w in enumerate(base)]
+        rows.append((i, " ".join(changed)))
+        if i % 7 == 0:
+            rows.append((i + 1000, " ".join(changed[:-3])))
+    seen = []
+    crowded = jaccard_join._crowded
+    monkeypatch.setattr(jaccard_join, "_crowded", lambda *args: seen.append(args[2].count()) or crowded(*args))
+    assert same(rows_of(jaccard_join.link_documents(spark.createDataFrame(rows, DOCS), 3, 90, 100, pivots=pivots)), brute_components(rows, 3, 90, 100))
+    assert seen[0] > 0
 
 
 def test_sketch_distance_is_a_lower_bound():
