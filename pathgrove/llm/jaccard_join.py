@@ -46,7 +46,7 @@ from .chat import batched
 from .common import bounded_batches, held, materialise, release
 from .components import components
 
-SAMPLE, COMMON, CUT, CROWD = 12_000, 500_000, 0.7, 32
+SAMPLE, COMMON, CUT, CROWD = 12_000, 500_000, 0.7, 64
 PIVOT_SHINGLES = (8, 4096)  # sizes of the documents that may be pivots: bounds what is broadcast
 
 
