@@ -13,12 +13,10 @@ With threshold T and radius r = 1 - T, two documents link when their distance is
    shingles, in the order of (count in the sample, hash). A point of n shingles goes to the sub-regions of its first
    n - ceil(T n) + 1 shingles: two linked points share one of these. Two points of each sub-region are its pivots, and all others
    are tested against them. Sub-regions whose points are then all connected fall away.
-5. In sub-regions of up to CROWD points, points of different components meet if their places in the order allow a link:
-   the first shingle they share is at places i and j, so they share at most min(n - i, m - j).
-6. Recursion. The points of larger sub-regions go to the region of each pivot document that they met there, with their exact
-   distance to it. Only points whose distances differ by at most r can link (triangle inequality); they are divided again by
-   shingles, now in the order of their exact counts in the region, so that sub-regions stay crowded only where at least T of a
-   text is shared, and meet under the rule of step 5.
+5. In the others, points of different components meet if their places in the order allow a link: the first shingle they
+   share is at places i and j, so they share at most min(n - i, m - j); and if sketches of MARKS bits do.
+6. Recursion. In sub-regions of over CROWD points, each point has its exact distance to a document of the sub-region, and only points
+   meet whose distances differ by at most r (triangle inequality).
 7. Pairs that meet are tested with odd sketches (parities of hashed shingles), whose Hamming distance never exceeds the
    symmetric difference, and pairs that pass are compared by their words.
 8. Components of the links, labelled by the smallest doc_id.
@@ -46,7 +44,7 @@ from .chat import batched
 from .common import bounded_batches, held, materialise, release
 from .components import components
 
-SAMPLE, COMMON, CUT, CROWD = 12_000, 500_000, 0.7, 64
+SAMPLE, COMMON, CUT, CROWD, MARKS = 12_000, 500_000, 0.7, 64, 512
 PIVOT_SHINGLES = (8, 4096)  # sizes of the documents that may be pivots: bounds what is broadcast
 
 
@@ -90,6 +88,11 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
+def marks(h: np.ndarray) -> np.ndarray:
+    """A sketch of the same size for every set."""
+    return np.packbits((np.bincount((h & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1).astype(bool)).view(np.int64)
+
+
 def fold(s: np.ndarray, size: int) -> np.ndarray:
     while s.shape[-1] > size:
         half = s.shape[-1] // 2
@@ -185,8 +188,8 @@ def fingerprint(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-POINTS = "doc_id long, n long, fp binary, keys array<long>, sketch binary, regions array<int>, links array<int>"
-_POINTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("regions", pa.list_(pa.int32())), ("links", pa.list_(pa.int32()))])
+POINTS = "doc_id long, n long, fp binary, keys array<long>, sketch binary, marks array<long>, regions array<int>, links array<int>"
+_POINTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("marks", pa.list_(pa.int64())), ("regions", pa.list_(pa.int32())), ("links", pa.list_(pa.int32()))])
 
 
 def points(docs: DataFrame, space) -> DataFrame:
@@ -196,9 +199,9 @@ def points(docs: DataFrame, space) -> DataFrame:
         def row(doc_id, text):
             h = shingles(text, s.size)
             if not len(h):
-                return doc_id, 0, fingerprint(h), [], b"", [], []
+                return doc_id, 0, fingerprint(h), [], b"", [], [], []
             at, there = s.locate(h)
-            return doc_id, len(h), fingerprint(h), s.first_keys(h, at, there).view(np.int64), sketch(h), *s.regions(len(h), at, there)
+            return doc_id, len(h), fingerprint(h), s.first_keys(h, at, there).view(np.int64), sketch(h), marks(h), *s.regions(len(h), at, there)
 
         for b in batches:
             yield from batched((row(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), _POINTS, 500)
@@ -251,9 +254,9 @@ def _sized(num: int, den: int):
     return (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
 
 
-def _meetings(cells: DataFrame, region: str, num: int, den: int, window: float | None = None) -> DataFrame:
-    """The pairs (a, b) of points of a cell (region, key) that may link through its shingle. cells: also node, n, pos, comp and, with
-    ``window``, distance (to the region's pivot). The smaller point of a pair must have the shingle among its first
+def _meetings(cells: DataFrame, num: int, den: int, window: float | None = None) -> DataFrame:
+    """The pairs (a, b) of points of a sub-region (region, key) that may link through its shingle. cells: also node, n, pos, comp,
+    marks and, with ``window``, distance (to the sub-region's pivot). The smaller point of a pair must have the shingle among its first
     n - ceil(2 T n / (1 + T)) + 1."""
     early = cells.where((num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n"))
     shared = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
@@ -261,45 +264,38 @@ def _meetings(cells: DataFrame, region: str, num: int, den: int, window: float |
     fits &= (num + den) * shared >= num * (F.col("x.n") + F.col("y.n"))
     if window is not None:
         fits &= F.abs(F.col("x.distance") - F.col("y.distance")) <= window + 1e-9
-    met = early.alias("x").join(cells.alias("y"), (F.col(f"x.{region}") == F.col(f"y.{region}")) & (F.col("x.key") == F.col("y.key")) & fits)
+    apart = [F.bit_count(F.col("x.marks")[i].bitwiseXOR(F.col("y.marks")[i])) for i in range(MARKS // 64)]
+    fits &= functools.reduce(lambda p, q: p + q, apart) * (den + num) <= (den - num) * (F.col("x.n") + F.col("y.n"))
+    met = early.alias("x").join(cells.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.key") == F.col("y.key")) & fits)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def _crowded(docs: DataFrame, classes: DataFrame, members: DataFrame, space, num: int, den: int) -> DataFrame:
     """Pairs of the sub-regions of over CROWD points (step 6)."""
-    pivots = members.groupBy("region", "key").agg(F.min("node").alias("pivot"))
-    zones = members.join(pivots, ["region", "key"]).select("pivot", "node", "n", "comp").distinct()
-    zones = materialise(zones, "zones")
-    wanted = zones.select("node").distinct()
+    pivots = materialise(members.groupBy("region", "key").agg(F.min("node").alias("pivot")), "pivots")
+    zones = materialise(members.join(pivots, ["region", "key"]).select("pivot", "node").distinct(), "zones")
+    wanted = zones.select("node").distinct()  # a pivot is a point of its own zone
 
-    def run(batches):
+    def sets_of(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("h", pa.list_(pa.int64()))])
         for b in batches:
             sets = (shingles(t, space.value.size) for t in b.column(1).to_pylist())
             yield from batched(((i, fingerprint(h), h.view(np.int64)) for i, h in zip(b.column(0).to_pylist(), sets, strict=True)), schema, 200)
 
-    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").distinct().mapInArrow(run, "doc_id long, fp binary, h array<long>")
+    def distances(batches):
+        for b in batches:
+            pairs = zip(b.column("h"), b.column("g"), strict=True)
+            both = [(len(h), len(g), len(np.intersect1d(h.values.to_numpy(), g.values.to_numpy(), assume_unique=True))) for h, g in pairs]
+            yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("node"), pa.array([1 - x / (n + m - x) for n, m, x in both], pa.float64())], ["pivot", "node", "distance"])
+
+    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").distinct().mapInArrow(sets_of, "doc_id long, fp binary, h array<long>")
     prints = classes.select("node", "fp").join(wanted, "node", "left_semi")
     sets = materialise(texts.join(prints, "fp").where("doc_id = node").groupBy("node").agg(F.first("h").alias("h")), "shingles")
-    each = zones.join(sets, "node").select("pivot", "node", "n", "comp", F.explode("h").alias("h"))
-    own = sets.join(zones.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("pivot"), F.explode("h").alias("h"), F.lit(1).alias("held"))
-    counts = materialise(each.groupBy("pivot", "h").count().where("count > 1").join(own, ["pivot", "h"], "left"), "counts")
-    # shingles that only one point of the region has come first in its order and lead nowhere: only their number counts
-    ordered = each.join(counts, ["pivot", "h"]).groupBy("pivot", "node", "n", "comp").agg(
-        F.array_sort(F.collect_list(F.struct("count", "h"))).alias("shared"), F.count("held").alias("both")  # a point's own shingles
-    )
-    ordered = materialise(ordered, "ordered")
-    sizes = zones.where("node = pivot").select("pivot", F.col("n").alias("pivot_n")).distinct()
-    single = F.col("n") - F.size("shared")
-    keep = F.col("n") + F.floor(-F.col("n") * num / den) + 1 - single
-    cells = ordered.join(sizes, "pivot").where(keep > 0).select(
-        "pivot", "node", "n", "comp", single.alias("single"),
-        F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(1 - F.col("both") / (F.col("n") + F.col("pivot_n") - F.col("both"))).alias("distance"),
-        F.posexplode(F.slice("shared", 1, keep.cast("int"))).alias("at", "x"),
-    )
-    cells = materialise(cells.select("pivot", F.col("x.h").alias("key"), "node", "n", "comp", "distance", (F.col("single") + F.col("at")).alias("pos")), "cells")
-    pairs = materialise(_meetings(cells, "pivot", num, den, 1 - num / den).distinct(), "crowded")
-    release(zones, sets, counts, ordered, cells)
+    own = sets.select(F.col("node").alias("pivot"), F.col("h").alias("g"))
+    measured = zones.join(sets, "node").join(own, "pivot").select("pivot", "node", "h", "g").mapInArrow(distances, "pivot long, node long, distance double")
+    cells = members.join(pivots, ["region", "key"]).join(materialise(measured, "distances"), ["pivot", "node"])
+    pairs = materialise(_meetings(cells, num, den, 1 - num / den).distinct(), "crowded")
+    release(zones, sets)
     return pairs
 
 
@@ -338,7 +334,7 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     rows = materialise(points(docs, space), "points")
     classes = (
         rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp")
-        .agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "keys", "sketch", "regions", "links")))
+        .agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "keys", "sketch", "marks", "regions", "links")))
     )
     classes = materialise(classes, "classes")
     # one row per pivot
@@ -362,8 +358,9 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     # then all others that are not connected yet
     rest = _shared(members.select("region", "key", "node", "n", "pos"), components(linked))
     release(members)
-    met = _meetings(rest.where(F.col("size") <= CROWD), "region", num, den)
-    met = met.union(_crowded(docs, classes, rest.where(F.col("size") > CROWD), space, num, den))
+    cells = rest.join(classes.select("node", "marks"), "node")
+    met = _meetings(cells.where(F.col("size") <= CROWD), num, den)
+    met = met.union(_crowded(docs, classes, cells.where(F.col("size") > CROWD), space, num, den))
     labels = components(linked.union(test(met.distinct().join(stars, ["a", "b"], "left_anti"))))
     release(rest, stars)
     numbered = classes.select("fp", "node").join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
