@@ -3,8 +3,8 @@
 With threshold T and radius r = 1 - T, two documents link when their distance is at most r.
 
 1. Classes. Documents with the same shingle set (128-bit fingerprint) are one point of the space.
-2. Pivots. The ``pivots`` documents of a bounded sample that share most shingles with the rest of it, copies of each other
-   left out, lie in the dense parts of the space. Every point gets its exact distances to all pivots it shares shingles with. Its
+2. Pivots. The ``pivots`` documents of a bounded sample that share most shingles with the rest of it, and at most
+   APART of them with each other, lie in the dense parts of the space. Every point gets its exact distances to all pivots it shares shingles with. Its
    Voronoi region is the nearest pivot's if that is within CUT, else the open region. Points within r of a pivot are linked
    to it there and then.
 3. Windows. By the triangle inequality, a point also goes to each region whose pivot is at most 2r farther than the
@@ -44,7 +44,7 @@ from .chat import batched
 from .common import bounded_batches, held, materialise, release
 from .components import components
 
-SAMPLE, COMMON, CUT, CROWD, MARKS = 12_000, 500_000, 0.7, 64, 512
+SAMPLE, COMMON, CUT, CROWD, MARKS, APART = 12_000, 300_000, 0.7, 64, 512, 0.3
 PIVOT_SHINGLES = (8, 4096)  # sizes of the documents that may be pivots: bounds what is broadcast
 
 
@@ -52,7 +52,7 @@ class _Words(dict):
     """Hashes of words, bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -170,8 +170,12 @@ def sample_space(docs: DataFrame, size: int, num: int, den: int, pivots: int) ->
     seen = sets.select("fp", "n", F.explode("h").alias("h")).where(F.col("n").between(*PIVOT_SHINGLES))
     shared = sets.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2")
     dense = seen.join(shared, "h").groupBy("fp", "n").agg((F.count("*") / F.col("n")).alias("share"), F.min("h").alias("least"))
-    dense = dense.groupBy("least").agg(F.max(F.struct("share", "fp")).alias("best")).orderBy(F.desc("best")).limit(pivots).select("best.fp")
-    chosen = sets.join(dense, "fp", "left_semi").dropDuplicates(["fp"]).orderBy("fp").select("fp", "n", "h").collect()  # at most `pivots` rows
+    dense = dense.groupBy("least").agg(F.max(F.struct("share", "fp")).alias("best")).orderBy(F.desc("best")).limit(4 * pivots).select("best.*")
+    chosen, taken = [], set()
+    for r in sets.dropDuplicates(["fp"]).join(dense, "fp").orderBy(F.desc("share"), "fp").select("fp", "n", "h").collect():  # at most 4 * `pivots` rows
+        if len(chosen) < pivots and sum(map(taken.__contains__, r["h"])) <= APART * r["n"]:
+            chosen.append(r)
+            taken.update(r["h"])
     hashes = [np.array(r["h"], np.int64).view(np.uint64) for r in chosen]
     known = np.asarray(common.column("h").to_numpy(), np.int64).view(np.uint64)
     tokens = np.unique(np.concatenate([known, *hashes])) if len(known) or hashes else np.zeros(0, np.uint64)
@@ -242,9 +246,13 @@ def _verify(size: int, num: int, den: int):
     return run
 
 
-def _shared(members: DataFrame, known: DataFrame) -> DataFrame:
+def _labelled(points: DataFrame, known: DataFrame) -> DataFrame:
+    """points with their component so far as comp."""
+    return points.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+
+def _shared(own: DataFrame) -> DataFrame:
     """The rows (region, key, node, n, pos, comp, size) of sub-regions whose points aren't all of one component yet."""
-    own = members.join(known, "node", "left").select("region", "key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
     shared = own.groupBy("region", "key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     return materialise(own.join(shared.select("region", "key", "size"), ["region", "key"]), "members")
 
@@ -343,8 +351,8 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     direct = materialise(direct.select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b")).distinct(), "pivot-links")
     first = components(direct)
 
-    members = classes.select("node", "n", "keys", F.explode("regions").alias("region")).select("region", "node", "n", F.posexplode("keys").alias("pos", "key"))
-    members = _shared(members, first)
+    members = _labelled(classes.select("node", "n", "keys", "regions"), first).select("node", "n", "keys", "comp", F.explode("regions").alias("region"))
+    members = _shared(members.select("region", "node", "n", "comp", F.posexplode("keys").alias("pos", "key")))
     test = functools.partial(_links, docs, classes, size, num, den)
 
     # the first and last point of a sub-region are its pivots: a group of copies is linked here, by a pair per point and pivot
@@ -356,7 +364,7 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     linked = direct.union(test(stars))
 
     # then all others that are not connected yet
-    rest = _shared(members.select("region", "key", "node", "n", "pos"), components(linked))
+    rest = _shared(_labelled(members.select("region", "key", "node", "n", "pos"), components(linked)))
     release(members)
     cells = rest.join(classes.select("node", "marks"), "node")
     met = _meetings(cells.where(F.col("size") <= CROWD), num, den)
