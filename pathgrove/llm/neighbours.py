@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, with exact reranking, for the largest inner product.
 
 Vectors are mapped to the unit sphere (scaled by the largest norm, one component added), where the largest inner product is the
-smallest Euclidean distance. Each of ``tables`` tables hashes a vector by ``functions`` Gaussian (2-stable) projections,
-cut into ``INTERVALS`` intervals of width ``width``; so a table has at most INTERVALS ** functions buckets, whose counts the driver
-holds. Buckets are dealt into cells of about ``cell`` rows; a bucket with more rows is split over cells.
+smallest Euclidean distance. Each of ``tables`` tables hashes a vector by Gaussian (2-stable) projections, cut into INTERVALS
+intervals of width ``width``; the number of projections grows with the logarithm of the rows, so that a bucket holds about FILL row,
+up to INTERVALS ** MOST buckets, whose counts the driver holds. Buckets are dealt into cells of about ``cell`` rows; a
+bucket with more rows is split over cells.
 
 A query visits buckets in order of estimated success: given its projections, a neighbour at the expected closeness falls into
-each interval with a normal probability, and a bucket's success is the product. Buckets are visited until the
-estimated success reaches ``target``. The query goes once to each cell that holds a visited bucket, is compared there
-exactly (double precision, on the original vectors) and returns its best k; the tables' candidates are merged and ranked.
-The expected closeness is estimated on a bounded sample (SAMPLE vectors). Every row is indexed.
+each interval with a normal probability, and a bucket's success is the product, over the sum of those of all buckets that
+hold rows. Buckets are visited until the success reaches a target in every table. The query goes once to each cell that holds a visited
+bucket, is compared exactly (double precision, on the original vectors) with the rows of the visited buckets only, and returns its
+best k; the tables' candidates are merged and ranked. The expected closeness, and the target at which ``share`` of the
+neighbours are found, are measured on a bounded sample (SAMPLE vectors, 256 of them as queries). Every row is indexed.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part, nor do
-rows with a null id. Rows with the same id and vector count once; ties go to the smaller id. No rows or no queries: empty
-result. Fewer than k candidates: all that were found. Queries in a cell are handled in blocks of at most ``cell`` rows.
+rows with a null id. Rows with the same id and vector count once, with other vectors by the better score; ties go to the smaller id. No rows or no queries: empty
+result. Fewer than k candidates: all that were found. Queries in a cell are handled in blocks of about QUERIES rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import bounded_batches, materialise
 
-INTERVALS, SAMPLE = 8, 4096
+INTERVALS, MOST, FILL, SAMPLE, QUERIES = 3, 10, 1, 4096, 65_536
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -61,8 +63,9 @@ class Tables:
         cut = np.floor((self.project(vectors, False) + self.b[:, None, :]) / self.width).astype(int) + INTERVALS // 2
         return np.clip(cut, 0, INTERVALS - 1) @ self.places
 
-    def visits(self, projections: np.ndarray, table: int, closeness: float, buckets: np.ndarray, target: float):
-        """Per query, the positions in buckets to visit. projections: [query, function] of one table."""
+    def visits(self, projections: np.ndarray, table: int, closeness: float, buckets: np.ndarray):
+        """Per query, the positions in buckets (those that hold rows) in the order of success, and the success reached.
+        projections: [query, function] of one table."""
         edges = (np.arange(1, INTERVALS) - INTERVALS // 2) * self.width
         spread = math.sqrt(max(1e-4, 1 - closeness * closeness))
         # as floor((p + b) / width) cuts at edges - b; the outer intervals are open
@@ -73,8 +76,8 @@ class Tables:
         for row in mass:
             success = np.prod(row[np.arange(len(self.places)), digits], axis=1)
             order = np.argsort(-success, kind="stable")
-            enough = int(np.searchsorted(np.cumsum(success[order]), target)) + 1
-            yield order[:enough]
+            reached = np.cumsum(success[order])
+            yield order, reached / max(reached[-1], 1e-300)
 
 
 def _normal(z: np.ndarray) -> np.ndarray:
@@ -82,23 +85,40 @@ def _normal(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(-1.5976 * z - 0.070566 * z**3, -500, 500)))
 
 
-def closeness_of(sample: np.ndarray, scale: float, total: int, k: int) -> float:
-    """The cosine, on the sphere, that the k-th neighbour is expected to have, from the sample's own neighbours."""
+def tuned(sample: np.ndarray, hashes: Tables, total: int, k: int, share: float) -> tuple[float, float]:
+    """From the sample's own neighbours: the cosine, on the sphere, that the k-th neighbour is expected to have, and the success
+    to be reached in every table so that `share` of the neighbours are found in some table."""
     if len(sample) < 2:
-        return 0.5
-    unit = sample / scale
-    queries = sample[:256] / np.linalg.norm(sample[:256], axis=1, keepdims=True)
+        return 0.5, 1.0
+    unit = sample / hashes.scale
+    asked = np.arange(min(len(sample), 256))
+    queries = sample[asked] / np.linalg.norm(sample[asked], axis=1, keepdims=True)
     cosine = queries @ unit.T
-    cosine[np.arange(len(queries)), np.arange(len(queries))] = -2
+    cosine[asked, asked] = -2
     rank = min(max(1, round(k * len(sample) / max(total, 1))), len(sample) - 1)
-    return float(np.clip(np.median(-np.partition(-cosine, rank - 1, axis=1)[:, rank - 1]), 0.05, 0.999))
+    near = np.argpartition(-cosine, rank - 1, axis=1)[:, :rank]
+    close = float(np.clip(np.median(np.take_along_axis(cosine, near, 1).min(axis=1)), 0.05, 0.999))
+    buckets, projections = hashes.buckets(sample), hashes.project(sample[asked], True)
+    needed = np.ones(near.shape)
+    for t in range(len(hashes.a)):
+        held, own = np.unique(buckets[t], return_inverse=True)
+        for i, (order, reached) in enumerate(hashes.visits(projections[t], t, close, held)):
+            at = np.empty(len(held))
+            at[order] = reached
+            needed[i] = np.minimum(needed[i], at[own[near[i]]])
+    return close, float(np.quantile(needed, share))
+
+
+def functions_for(rows: int) -> int:
+    """Projections per table: as many as leave about FILL row to a bucket."""
+    return int(np.clip(round(math.log(max(rows / FILL, 1), INTERVALS)), 1, MOST))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 2, functions: int = 5, width: float = 1.0, target: float = 0.8, cell: int = 16_384, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 3, width: float = 1.2, share: float = 0.92, cell: int = 16_384, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score for the queries vec_id % every == 0 against all rows of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -109,10 +129,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 2, fu
     if not top or not top[0]["queries"]:
         return spark.createDataFrame([], schema)
     dim, total, scale, n_queries = top[0]["dim"], top[0]["n"], top[0]["norm"], top[0]["queries"]
-    hashes = Tables(dim, scale, tables, functions, width, seed)
+    hashes = Tables(dim, scale, tables, functions_for(total), width, seed)
     rows = rows.where(F.size("v") == dim)
     sample = np.array([r[0] for r in rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
-    close = closeness_of(sample, scale, total, k)
+    close, target = tuned(sample, hashes, total, k, share)
+    if total <= k + 1:  # all candidates are among the nearest k
+        target = 2.0
 
     def index(batches):
         for b in batches:
@@ -129,7 +151,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 2, fu
         layout[int(t)] = own["bucket"].to_numpy(), (ends - own["count"].to_numpy()) // cell, (ends - 1) // cell  # bucket, first cell, last cell
     shared = spark.sparkContext.broadcast(layout)
     spans = spark.createDataFrame([(t, int(b), int(a), int(z)) for t, own in layout.items() for b, a, z in zip(*own, strict=True)], "tab int, bucket int, first int, last int")
-    blocks = -(-n_queries // cell)
+    blocks = -(-n_queries // QUERIES)
 
     def probe(batches):
         for b in batches:
@@ -137,7 +159,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 2, fu
             p = hashes.project(v, True)
             out = {"query_id": [], "tab": [], "cell": [], "visited": [], "v": []}
             for t, (buckets, first, last) in shared.value.items():
-                for i, at in enumerate(hashes.visits(p[t], t, close, buckets, target)):
+                for i, (order, reached) in enumerate(hashes.visits(p[t], t, close, buckets)):
+                    at = order[: int(np.searchsorted(reached, target)) + 1]
                     cells: dict[int, list[int]] = {}
                     for j in at:
                         for c in range(first[j], last[j] + 1):
@@ -158,26 +181,36 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 2, fu
     def compare(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if held.empty or asked.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        held = held.sort_values("bucket", kind="stable")
         v, ids, bucket = np.stack(held["v"]), held["vec_id"].to_numpy(), held["bucket"].to_numpy()
+        own_buckets, first = np.unique(bucket, return_index=True)
+        last = np.append(first[1:], len(bucket))
         found = []
-        for at in range(0, len(asked), 256):
-            part = asked.iloc[at : at + 256]
-            q = np.stack(part["v"])
-            rough = q @ v.T
-            for i, (own, visited) in enumerate(zip(part["query_id"], part["visited"], strict=True)):
-                rough[i][~np.isin(bucket, visited) | (ids == own)] = -np.inf
-                least = np.partition(rough[i], -min(k, len(ids)))[-min(k, len(ids))]
+        for own, visited, q in zip(asked["query_id"], asked["visited"], asked["v"], strict=True):
+            at = np.searchsorted(own_buckets, visited)
+            at = at[(at < len(own_buckets)) & (own_buckets[np.minimum(at, len(own_buckets) - 1)] == visited)]
+            rows = np.concatenate([np.arange(first[j], last[j]) for j in at]) if len(at) else at
+            rows = rows[ids[rows] != own]
+            if not len(rows):
+                continue
+            near = v[rows]
+            rough = near @ q
+            if len(rows) > k:
                 # equal vectors must score equally: candidates near the k-th are summed again, one by one
-                near = np.flatnonzero((rough[i] >= least - 1e-9 * (1 + abs(least))) & np.isfinite(rough[i])) if np.isfinite(least) else np.flatnonzero(np.isfinite(rough[i]))
-                score = (v[near] * q[i]).sum(axis=1)
-                keep = best(score, ids[near], k)
-                found.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][keep], "score": score[keep]}))
+                least = np.partition(rough, -k)[-k]
+                close = rough >= least - 1e-9 * (1 + abs(least))
+                rows, near = rows[close], near[close]
+            score = (near * q).sum(axis=1)
+            keep = best(score, ids[rows], k)
+            found.append(pd.DataFrame({"query_id": own, "vec_id": ids[rows][keep], "score": score[keep]}))
+        if not found:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         return pd.concat(found)
 
     by = ("tab", "cell", "block")
     found = cells.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    merged = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return merged.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
