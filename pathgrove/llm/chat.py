@@ -9,7 +9,8 @@ Texts and roles are escaped reversibly: in front of ``|`` or a backslash, ``<``
 the template can arise from a text; a line break in a role becomes ``<\\n``.
 
 Null text or role: empty. Null turn: sorts first. Null conv_id: one conversation of its own. Repeated rows: repeated turns.
-Unknown roles are formatted without loss and make the conversation invalid. An empty table gives no segments.
+Unknown roles are formatted without loss and make the conversation invalid. An empty table gives no segments. Other columns are
+ignored. A conversation is one task's work, as its turns form one text.
 """
 
 from __future__ import annotations
@@ -104,36 +105,94 @@ _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_
 
 
 def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
-    """Parse the formatted segments into turns again, one digest row per conversation; streams like the formatter.
+    """Parse the formatted text into turns again, one digest row per conversation.
 
-    ``segments`` must be dealt by conv_id, as format_conversations leaves them; the rows are sorted by seg here."""
+    Only the characters of the segments, one after another, and their loss flags are read: turn boundaries are the template's control
+    strings, wherever a segment ends. The parser streams; it holds back no more than the length of a control string."""
     head, tail = template.opens.split("{role}")
+    closing = template.closes
+
+    class Parser:
+        """States: before a turn's opening, in its role, in its text."""
+
+        def __init__(self):
+            self.turns, self.chars, self.loss, self.valid, self.role = 0, 0, 0, True, ""
+            self.all, self.learnt = hashlib.sha256(), hashlib.sha256()
+            self.state, self.rest, self.flags = "open", "", []
+
+        def feed(self, text: str, loss: bool) -> None:
+            self.chars += len(text)
+            self.rest += text
+            self.flags.append((len(text), loss))
+            while self.step():
+                pass
+
+        def take(self, n: int) -> tuple[str, str]:
+            """The next n characters, and those of them under the loss mask."""
+            text, self.rest, learnt, at = self.rest[:n], self.rest[n:], [], 0
+            while at < n:
+                size, loss = self.flags[0]
+                used = min(size, n - at)
+                if loss:
+                    learnt.append(text[at : at + used])
+                at += used
+                self.flags[0] = (size - used, loss)
+                if size == used:
+                    self.flags.pop(0)
+            return text, "".join(learnt)
+
+        def step(self) -> bool:
+            if self.state == "open":
+                if len(self.rest) < len(head):
+                    return False
+                if not self.rest.startswith(head):
+                    raise ValueError("text between turns")
+                self.take(len(head))
+                self.state = "role"
+                return True
+            mark = tail if self.state == "role" else closing
+            at = self.rest.find(mark)
+            if self.state == "role":
+                if at < 0:
+                    return False
+                self.role = unescape(self.take(at)[0])
+                self.take(len(mark))
+                self.turns += 1
+                self.all.update(f"{self.role}\n".encode())
+                self.state = "text"
+                return True
+            # hold back what could be the beginning of an escape or of the closing
+            n = at if at >= 0 else max(0, len(self.rest) - max(len(mark), 3))
+            while at < 0 and n and self.rest[n - 1] in "<\\":
+                n -= 1
+            text, learnt = self.take(n)
+            plain, own = unescape(text), unescape(learnt)
+            self.all.update(plain.encode())
+            self.learnt.update(own.encode())
+            self.loss += len(own)
+            if at >= 0:
+                self.take(len(mark))
+                self.all.update(b"\n")
+                self.state = "open"
+            return at >= 0
+
+        def row(self, conv: int | None) -> tuple:
+            if self.state != "open" or self.rest:
+                raise ValueError(f"conversation {conv} ends within a turn")
+            return conv, self.turns, self.all.hexdigest(), self.loss, self.learnt.hexdigest(), self.chars, self.valid, self.valid and self.role in template.ends
 
     def run(batches):
         def digests():
-            now, row = object(), None
-            for conv, kind, text, loss, ok in turns(batches, "conv_id", "kind", "text", "loss", "valid"):
-                if conv != now:
-                    if row:
-                        yield finish(now, row)
-                    now, row = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True, ""]
-                row[4] += len(text)
-                row[5] = row[5] and ok
-                if kind == "open":
-                    row[0] += 1
-                    row[6] = unescape(text[len(head) : len(text) - len(tail)])
-                    row[1].update(f"{row[6]}\n".encode())
-                elif kind == "text":
-                    plain = unescape(text)
-                    row[1].update(f"{plain}\n".encode())
-                    if loss:
-                        row[2] += len(plain)
-                        row[3].update(plain.encode())
-            if row:
-                yield finish(now, row)
-
-        def finish(conv, row):
-            return conv, row[0], row[1].hexdigest(), row[2], row[3].hexdigest(), row[4], row[5], row[5] and row[6] in template.ends
+            now, parser = None, None
+            for conv, text, loss, ok in turns(batches, "conv_id", "text", "loss", "valid"):
+                if parser is None or conv != now:
+                    if parser:
+                        yield parser.row(now)
+                    now, parser = conv, Parser()
+                parser.feed(text, loss)
+                parser.valid = parser.valid and ok
+            if parser:
+                yield parser.row(now)
 
         return batched(digests(), _DIGESTS)
 
