@@ -6,8 +6,9 @@ decodes the sample tables (stsd, stts, stsc, stsz, stco/co64, stss) and returns
 of the sync samples (keyframes) from the tables alone; the payload bytes are only sliced, never decoded.
 
 One sample of the track is a block of 64 bytes (64 8-bit audio samples), and every 16th block is a sync sample.
-A text is taken as UTF-8 (null: empty) and padded with bytes 0 to a positive multiple of 64. Very long texts are one row
-each. Repeated rows get equal values; an empty table gives an empty result. Other columns are ignored.
+Fragments (moof) hold their own sample runs (trun), which are added to their track's samples. A text is taken as UTF-8 (null: empty)
+and padded with bytes 0 to a positive multiple of 64. Very long texts are one row
+each. Null doc_id: kept. Repeated rows get equal values; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .chat import batched
 from .common import bounded_batches
 
 BLOCK, SYNC_EVERY, RATE = 64, 16, 8000
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"moof", b"traf", b"mvex"}
 
 
 def box(kind: bytes, *body: bytes) -> bytes:
@@ -94,14 +95,70 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
 
 def describe(data: bytes) -> list[dict]:
     """Per track: codec, timescale, duration, samples, chunk byte ranges and keyframe byte ranges (start, length)."""
-    view, tracks = memoryview(data), []
+    view, tracks, fragments, defaults = memoryview(data), [], [], {}
     for path, a, b in walk(view):
         kind = path.rpartition("/")[2]
         if path == "/moov/trak":
             tracks.append({})
         elif tracks and path.startswith("/moov/trak/"):
             tracks[-1][kind] = (a, b)
-    return [_track(view, t) for t in tracks]
+        elif kind == "trex":
+            number, _, _, size, flags = struct.unpack_from(">5I", view, a + 4)
+            defaults[number] = size, flags
+        elif path == "/moof":
+            moof = a - 8
+        elif path == "/moof/traf":
+            fragments.append({"moof": moof, "runs": []})
+        elif path == "/moof/traf/tfhd":
+            fragments[-1]["tfhd"] = a
+        elif path == "/moof/traf/trun":
+            fragments[-1]["runs"].append(a)
+    out = {}
+    for t in tracks:
+        at = t["tkhd"][0]
+        out[struct.unpack_from(">I", view, at + (20 if view[at] == 1 else 12))[0]] = _track(view, t)
+    for f in fragments:
+        _add_fragment(view, f, out, defaults)
+    return list(out.values())
+
+
+def _add_fragment(view: memoryview, fragment: dict, tracks: dict, defaults: dict) -> None:
+    """Add the samples of a track fragment. Sample flags with bit 16 mark what is no sync sample."""
+    head = fragment["tfhd"]
+    options, number = struct.unpack_from(">II", view, head)
+    at, base = head + 8, fragment["moof"]
+    size, flags = defaults.get(number, (0, 0))
+    if options & 1:
+        base = struct.unpack_from(">Q", view, at)[0]
+        at += 8
+    at += 4 * bool(options & 2) + 4 * bool(options & 8)
+    if options & 16:
+        size = struct.unpack_from(">I", view, at)[0]
+        at += 4
+    if options & 32:
+        flags = struct.unpack_from(">I", view, at)[0]
+    track, place = tracks[number], base
+    for run in fragment["runs"]:
+        own, n = struct.unpack_from(">II", view, run)
+        at, first = run + 8, None
+        if own & 1:
+            place = base + struct.unpack_from(">i", view, at)[0]
+            at += 4
+        if own & 4:
+            first = struct.unpack_from(">I", view, at)[0]
+            at += 4
+        fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if own & bit]
+        table = _numbers(view, at, n * len(fields), "I")
+        begin = place
+        for i in range(n):
+            values = dict(zip(fields, table[i * len(fields) : (i + 1) * len(fields)], strict=True))
+            length = values.get(0x200, size)
+            state = values.get(0x400, first if i == 0 and first is not None else flags)
+            if not state & 0x10000:
+                track["keyframes"].append((place, length))
+            place += length
+        track["samples"] += n
+        track["spans"].append((begin, place - begin))
 
 
 def _numbers(view, at: int, n: int, code: str) -> tuple:
@@ -141,9 +198,12 @@ def _track(view: memoryview, t: dict) -> dict:
 
 COLUMNS = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, codec string, duration_s double, keyframes int, keyframe_bytes long"
+    "feature string, codec string, duration_s double, keyframe_ranges array<struct<offset: long, length: long>>, "
+    "tracks array<struct<codec: string, duration_s: double, samples: long, keyframe_ranges: array<struct<offset: long, length: long>>>>, error string"
 )
-_COLUMNS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("keyframes", pa.int32()), ("keyframe_bytes", pa.int64())])
+_RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+_TRACKS = pa.list_(pa.struct([("codec", pa.string()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("keyframe_ranges", _RANGES)]))
+_COLUMNS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("keyframe_ranges", _RANGES), ("tracks", _TRACKS), ("error", pa.string())])
 
 
 def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -160,18 +220,31 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def media_columns(media: DataFrame) -> DataFrame:
-    """The columns of COLUMNS, read back from the stored files of (doc_id, n_bytes, media)."""
+    """The columns of COLUMNS, read back from the stored files of (doc_id, n_bytes, media).
+
+    ``keyframe_ranges`` and the other single columns are of the first track, ``tracks`` has all. A null value has null columns, one
+    that can't be read as a media file has its size and digest and says why in ``error``."""
+
+    def ranges(t):
+        return [{"offset": a, "length": n} for a, n in t["keyframes"]]
 
     def row(doc_id, n_bytes, data):
-        t = describe(data)[0]
+        if data is None:
+            return doc_id, n_bytes, *[None] * 10, "null"
+        stored = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            found = describe(data)
+            t = found[0]
+        except (ValueError, KeyError, IndexError, StopIteration, struct.error) as e:
+            return doc_id, n_bytes, None, None, None, *stored, None, None, None, None, None, f"not a readable media file: {e!r}"
         payload = b"".join(data[a : a + n] for a, n in t["spans"])
-        keys = t["keyframes"]
-        ranges = zlib.crc32(",".join(f"{a}+{n}" for a, n in keys).encode())
-        feature = f"{t['codec'].strip()};{t['duration']}/{t['timescale']};samples={t['samples']};keyframes={len(keys)};ranges={ranges:08x}"
-        return (
-            doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(),
-            feature, t["codec"], t["duration"] / t["timescale"], len(keys), sum(n for _, n in keys),
-        )
+        digest = zlib.crc32(",".join(f"{a}+{n}" for a, n in t["keyframes"]).encode())
+        feature = f"{t['codec'].strip()};{t['duration']}/{t['timescale']};samples={t['samples']};keyframes={len(t['keyframes'])};ranges={digest:08x}"
+        tracks = [{"codec": x["codec"], "duration_s": seconds(x), "samples": x["samples"], "keyframe_ranges": ranges(x)} for x in found]
+        return doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), *stored, feature, t["codec"], seconds(t), ranges(t), tracks, None
+
+    def seconds(t):
+        return t["duration"] / t["timescale"] if t["timescale"] else None
 
     def run(batches):
         for b in batches:
