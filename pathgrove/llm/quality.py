@@ -12,7 +12,7 @@ are a table. Features are selected by their association with the grades (a z-sco
 doesn't select more of them in larger samples); the rows' selected features go to the driver, which trains weights and
 thresholds with AdaGrad. Every document is scored on the executors.
 
-Null label values: the row isn't used. Several labels of a document: each is a training row. No usable labels: every document
+Other columns are ignored by the scores and kept by the selection. Null label values: the row isn't used. Several labels of a document: each is a training row. No usable labels: every document
 is kept with probability 1. Null or empty text: has the length feature only. Null doc_id, repeated rows: scored row by row.
 """
 
@@ -37,6 +37,17 @@ KEEP = 0.7
 _TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]+|\d")
 
 
+def changed(text: str) -> int:
+    """How many characters lower-casing changes."""
+    lower = text.lower()
+    if text == lower:
+        return 0
+    if len(lower) != len(text):  # some characters become two
+        return sum(c != c.lower() for c in text)
+    a, b = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (text, lower))
+    return int((a != b).sum())
+
+
 class Features:
     def __init__(self, bits: int):
         self.mask = (1 << bits) - 1
@@ -48,7 +59,7 @@ class Features:
     def slots(self, token: str) -> tuple[int, ...]:
         if token[0].isalpha():
             return self.slot(token), self.slot("^" + token[:4])
-        return (self.slot("!" + token[:3]),)
+        return (self.slot("!" + token),)
 
     def of(self, text: str | None) -> np.ndarray:
         """The slots of the features that are present, ascending."""
@@ -66,7 +77,7 @@ class Features:
             total += n
             punctuation += n * (len(known) == 1)
             slots += known
-        capitals = sum(map(str.isupper, text[:: max(1, len(text) // 2000)])) / max(1, min(len(text), 2000))
+        capitals = changed(text) / max(1, len(text))
         for name, share in (("capitals", capitals), ("punctuation", punctuation / max(1, total)), ("repeats", 1 - len(counts) / max(1, total))):
             slots.append(self.slot(f"#{name}{int(share * 10)}"))
         slots.append(self.slot(f"#length{total.bit_length()}"))
