@@ -170,13 +170,15 @@ def sample_space(docs: DataFrame, size: int, num: int, den: int, pivots: int) ->
     seen = sets.select("fp", "n", F.explode("h").alias("h")).where(F.col("n").between(*PIVOT_SHINGLES))
     shared = sets.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2")
     dense = seen.join(shared, "h").groupBy("fp", "n").agg((F.count("*") / F.col("n")).alias("share"), F.min("h").alias("least"))
-    dense = dense.groupBy("least").agg(F.max(F.struct("share", "fp")).alias("best")).orderBy(F.desc("best")).limit(4 * pivots).select("best.*")
-    chosen, taken = [], set()
-    for r in sets.dropDuplicates(["fp"]).join(dense, "fp").orderBy(F.desc("share"), "fp").select("fp", "n", "h").collect():  # at most 4 * `pivots` rows
-        if len(chosen) < pivots and sum(map(taken.__contains__, r["h"])) <= APART * r["n"]:
-            chosen.append(r)
-            taken.update(r["h"])
-    hashes = [np.array(r["h"], np.int64).view(np.uint64) for r in chosen]
+    dense = dense.groupBy("least").agg(F.max(F.struct("share", "fp")).alias("best")).orderBy(F.desc("best")).limit(2 * pivots).select("best.*")
+    found = sets.dropDuplicates(["fp"]).join(dense, "fp").orderBy(F.desc("share"), "fp").select("fp", "n", "h").toArrow()  # at most 2 * `pivots` rows
+    hashes, prints, taken = [], [], np.zeros(0, np.uint64)
+    for fp, h in zip(found.column("fp").to_pylist(), found.column("h").combine_chunks() if found.num_rows else (), strict=True):
+        own = h.values.to_numpy().view(np.uint64)
+        if len(hashes) < pivots and np.isin(own, taken).sum() <= APART * len(own):
+            hashes.append(own.copy())
+            prints.append(fp)
+            taken = np.union1d(taken, own)
     known = np.asarray(common.column("h").to_numpy(), np.int64).view(np.uint64)
     tokens = np.unique(np.concatenate([known, *hashes])) if len(known) or hashes else np.zeros(0, np.uint64)
     counts = np.zeros(len(tokens), np.int64)
@@ -185,7 +187,7 @@ def sample_space(docs: DataFrame, size: int, num: int, den: int, pivots: int) ->
     owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
     order = np.argsort(at, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(tokens)))]).astype(np.int64)
-    return Space(size, num, den, tokens, counts.astype(np.int32), starts.astype(np.int32), owner[order].astype(np.int16), np.array([len(h) for h in hashes], np.int64)), [bytes(r["fp"]) for r in chosen]
+    return Space(size, num, den, tokens, counts.astype(np.int32), starts.astype(np.int32), owner[order].astype(np.int16), np.array([len(h) for h in hashes], np.int64)), prints
 
 
 def fingerprint(h: np.ndarray) -> bytes:
