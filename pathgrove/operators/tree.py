@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pathgrove.functions.modes import is_dir
 
@@ -53,8 +53,9 @@ def counts(tree: DataFrame, with_root: bool = True) -> DataFrame:
 
 def lines(tree: DataFrame) -> DataFrame:
     """parts, line: the rendered rows in any order; sort by parts. A last child is marked before hidden ones are left out."""
-    order = Window.partitionBy("parent").orderBy(F.desc("name"))
-    marked = tree.withColumn("last", F.row_number().over(order) == 1)
+    # the greatest name of a directory is combined before the shuffle: a directory of any size is no hot spot
+    greatest = tree.groupBy("parent").agg(F.max("name").alias("greatest"))
+    marked = tree.join(greatest, "parent").withColumn("last", F.col("name") == F.col("greatest"))
     # an ancestor's flag decides the bar in front of everything below it
     below = marked.select("parts", "depth", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("n")).select("parts", "n", F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("path"), (F.col("n") == F.col("depth")).alias("own"))
     flags = below.join(marked.select("path", "last"), "path")

@@ -76,3 +76,26 @@ def test_formats(spark):
     for n, text in sizes.items():
         assert spark.range(1).select(values.human_bytes(F.lit(n))).first()[0] == text
     assert spark.range(1).select(values.path_id(F.lit("/usr/bin"))).first()[0] == "cf1fd72ca142fdde2149707cf56e2816a7fb71e6"
+
+
+RE2_CASES = [
+    (r"a\vb", "a\rb"), (r"a\vb", "a\x0bb"), (r"^a\sb$", "a\x0bb"), (r"^a\sb$", "a\fb"), (r"^a\Sb$", "a\x0bb"), (r"^a[\s_]b$", "a\x0bb"), (r"^a[\S]b$", "a\x0bb"), (r"^a[^\s]b$", "a b"),
+    (r"\bé", "xé"), (r"\be", "ée"), (r"\be", "xe"), (r"e\b", "e x"), (r"x\Be", "xe"), (r"\Bé", " é"), (r"a{2,3}$", "aaa"), (r"a{,3}", "a{,3}"), (r"a\x41", "aA"), (r"a\x{42}", "aB"), (r"\101", "A"),
+    (r"\pL", "é"), (r"^\PL$", "é"), (r"\p{Greek}", "Ω"), (r"\p{^Greek}", "Ω"), (r"\a", "\x07"), (r"[\x41-\x43]", "B"), (r"\.txt$", "a.txt\n"), (r"\e", "x"), (r"\cA", "x"), (r"a{1001}", "a"), (r"[\b]", "x"), (r"\1", "x"), (r"\z", ""), (r"\Z", ""),
+    (r"\_", "_"), (r"\-", "-"), (r"[[:^alpha:]\d]", "1"), (r"(?i)É", "é"), (r"a\Q.b\E", "a.b"),
+]
+
+
+def test_re2_patterns_match_as_in_re2(spark):
+    con = pytest.importorskip("duckdb").connect()
+    rows = []
+    for i, (pattern, text) in enumerate(RE2_CASES):
+        try:
+            expected = con.execute("SELECT regexp_matches(?, ?)", [text, pattern]).fetchone()[0]
+        except Exception:
+            with pytest.raises(patterns.PatternError):
+                patterns.re2_to_java(pattern)
+            continue
+        rows.append((i, text, patterns.re2_to_java(pattern), expected))
+    one = spark.range(1).select(*[F.lit(text).rlike(java).alias(str(i)) for i, text, java, _ in rows]).first()
+    assert [(RE2_CASES[i], one[str(i)]) for i, *_ in rows] == [(RE2_CASES[i], e) for i, _, _, e in rows]
