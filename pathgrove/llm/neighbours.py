@@ -2,7 +2,7 @@
 
 Vectors are mapped to the unit sphere (scaled by the largest norm, one component added), where the largest inner product is the
 smallest Euclidean distance. Each of ``tables`` tables hashes a vector by Gaussian (2-stable) projections, cut into INTERVALS
-intervals of width ``width``; the number of projections grows with the logarithm of the rows, so that a bucket holds about FILL row,
+intervals of width ``width``; the number of projections grows with the logarithm of the rows, so that a bucket holds about FILL rows,
 up to INTERVALS ** MOST buckets, whose counts the driver holds. Buckets are dealt into cells of about ``cell`` rows; a
 bucket with more rows is split over cells.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import bounded_batches, materialise
 
-INTERVALS, MOST, FILL, SAMPLE, QUERIES = 3, 10, 1, 4096, 65_536
+INTERVALS, MOST, FILL, SAMPLE, QUERIES = 3, 10, 16, 4096, 65_536
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def tuned(sample: np.ndarray, hashes: Tables, total: int, k: int, share: float)
 
 
 def functions_for(rows: int) -> int:
-    """Projections per table: as many as leave about FILL row to a bucket."""
+    """Projections per table: as many as leave about FILL rows to a bucket."""
     return int(np.clip(round(math.log(max(rows / FILL, 1), INTERVALS)), 1, MOST))
 
 
@@ -118,7 +118,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 3, width: float = 1.2, share: float = 0.92, cell: int = 16_384, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 2, width: float = 1.2, share: float = 0.92, cell: int = 16_384, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score for the queries vec_id % every == 0 against all rows of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -161,12 +161,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 3, wi
             for t, (buckets, first, last) in shared.value.items():
                 for i, (order, reached) in enumerate(hashes.visits(p[t], t, close, buckets)):
                     at = order[: int(np.searchsorted(reached, target)) + 1]
-                    cells: dict[int, list[int]] = {}
-                    for j in at:
-                        for c in range(first[j], last[j] + 1):
-                            cells.setdefault(c, []).append(int(buckets[j]))
-                    for c, own in cells.items():
-                        for name, x in zip(out, (b.column("vec_id")[i].as_py(), t, c, own, v[i]), strict=True):
+                    at = np.sort(at)
+                    spread = last[at] - first[at] + 1  # a bucket with many rows is in several cells
+                    own = np.repeat(buckets[at], spread)
+                    into = np.repeat(first[at], spread) + np.arange(len(own)) - np.repeat(np.cumsum(spread) - spread, spread)
+                    into, own = into[(order := np.argsort(into, kind="stable"))], own[order]
+                    numbers, starts = np.unique(into, return_index=True)
+                    for c, part in zip(numbers.tolist(), np.split(own, starts[1:]), strict=True):
+                        for name, x in zip(out, (b.column("vec_id")[i].as_py(), t, c, part, v[i]), strict=True):
                             out[name].append(x)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out.values(), kinds, strict=True)], list(out))
@@ -186,23 +188,26 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 3, wi
         own_buckets, first = np.unique(bucket, return_index=True)
         last = np.append(first[1:], len(bucket))
         found = []
-        for own, visited, q in zip(asked["query_id"], asked["visited"], asked["v"], strict=True):
-            at = np.searchsorted(own_buckets, visited)
-            at = at[(at < len(own_buckets)) & (own_buckets[np.minimum(at, len(own_buckets) - 1)] == visited)]
-            rows = np.concatenate([np.arange(first[j], last[j]) for j in at]) if len(at) else at
-            rows = rows[ids[rows] != own]
-            if not len(rows):
-                continue
-            near = v[rows]
-            rough = near @ q
-            if len(rows) > k:
+        for at in range(0, len(asked), 256):
+            part = asked.iloc[at : at + 256]
+            q = np.stack(part["v"])
+            visits = np.zeros((len(own_buckets), len(part)), bool)
+            for i, visited in enumerate(part["visited"]):
+                visits[:, i] = np.isin(own_buckets, visited, assume_unique=True)
+            rough = np.full((len(part), len(ids)), -np.inf)
+            for j in np.flatnonzero(visits.any(axis=1)):  # only the rows of visited buckets
+                i = np.flatnonzero(visits[j])
+                rough[i, first[j] : last[j]] = q[i] @ v[first[j] : last[j]].T
+            for i, own in enumerate(part["query_id"]):
+                scores = rough[i]
+                scores[ids == own] = -np.inf
+                least = np.partition(scores, -min(k, len(ids)))[-min(k, len(ids))]
                 # equal vectors must score equally: candidates near the k-th are summed again, one by one
-                least = np.partition(rough, -k)[-k]
-                close = rough >= least - 1e-9 * (1 + abs(least))
-                rows, near = rows[close], near[close]
-            score = (near * q).sum(axis=1)
-            keep = best(score, ids[rows], k)
-            found.append(pd.DataFrame({"query_id": own, "vec_id": ids[rows][keep], "score": score[keep]}))
+                near = np.flatnonzero(scores >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else np.isfinite(scores))
+                if len(near):
+                    score = (v[near] * q[i]).sum(axis=1)
+                    keep = best(score, ids[near], k)
+                    found.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][keep], "score": score[keep]}))
         if not found:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         return pd.concat(found)
