@@ -1,45 +1,59 @@
 """Signatures of directory structure, bottom up, and duplicate subtrees.
 
 sig(node) = SHA-1(signatures of its children, by name, as bytes; then its name as bytes). Content, size and mode play no part.
-The fold takes one aggregation per level; each level is written as a table, so plans stay small and lost executors cost
-one level. The digest of a directory is sequential, so its children's names and digests (some 60 bytes each) meet in one row.
+The tree is written once, in folders by depth, and folded level by level; each level is written as a table, so plans stay small
+and lost executors cost one level. The digest of a directory is sequential: its children pass through one task, in order, as a
+stream of which the task holds one batch.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
+from pathgrove.sources.shared import materialise
 
-def _materialise(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pathgrove-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/tree-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def _directories(children: DataFrame, name: str | None = None) -> DataFrame:
+    """of, digest: the signature of every parent of children (parent, name, signature); name replaces the parents' own names."""
+
+    def run(batches):
+        of, digest = None, None
+
+        def ended():
+            digest.update((of.rpartition("/")[2] if name is None else name).encode())
+            return of, digest.hexdigest()
+
+        for b in batches:
+            done = []
+            for parent, signature in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if parent != of:
+                    if of is not None:
+                        done.append(ended())
+                    of, digest = parent, hashlib.sha1()
+                digest.update(bytes.fromhex(signature))
+            yield pa.RecordBatch.from_pydict({"of": [x for x, _ in done], "digest": [x for _, x in done]}, pa.schema([("of", pa.string()), ("digest", pa.string())]))
+        if of is not None:
+            yield pa.RecordBatch.from_pydict(dict(zip(("of", "digest"), ([x] for x in ended()), strict=True)))
+
+    return children.repartition("parent").sortWithinPartitions("parent", "name").select("parent", "signature").mapInArrow(run, "of string, digest string")
 
 
 def signatures(tree: DataFrame) -> DataFrame:
     """The nodes with a column signature (hex)."""
-    tree = _materialise(tree)
+    tree = materialise(tree, "tree", "depth")
     deepest = tree.agg(F.max("depth")).first()[0] or 0
     levels, below = [], None
     for depth in range(deepest, 0, -1):
-        level = tree.where(F.col("depth") == depth)
+        level, leaf = tree.where(F.col("depth") == depth), F.sha1(F.col("name").cast("binary"))
         if below is None:
-            level = level.withColumn("signature", F.sha1(F.col("name").cast("binary")))
+            level = level.withColumn("signature", leaf)
         else:
-            children = below.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("name", "signature"))).alias("children")).withColumnRenamed("parent", "of")
-            joined = F.unhex(F.concat_ws("", F.transform("children", lambda c: c["signature"])))
-            level = level.join(children, level.path == children.of, "left").withColumn(
-                "signature", F.sha1(F.concat(F.coalesce(joined, F.lit(b"")), F.col("name").cast("binary")))
-            ).drop("of", "children")
-        below = _materialise(level)
+            digests = _directories(below)
+            level = level.join(digests, level.path == digests.of, "left").withColumn("signature", F.coalesce("digest", leaf)).drop("of", "digest")
+        below = materialise(level, "level")
         levels.append(below)
     if not levels:
         return tree.withColumn("signature", F.lit(None).cast("string"))
@@ -52,25 +66,22 @@ def signatures(tree: DataFrame) -> DataFrame:
 def duplicate_subtrees(signed: DataFrame) -> DataFrame:
     """signature, path of directories with the same signature, where no directory above is itself a repetition.
 
-    The order of a traversal decides which is first: siblings by name descending. A directory is visited when each
-    directory above it is the first of its signature."""
-    ranks = signed.withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("name"))))
-    steps = ranks.select("path", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("n"), "parts").select("path", "n", F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("above"))
-    keyed = steps.join(ranks.select(F.col("path").alias("above"), "rank", "is_dir"), "above")
-    order = keyed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "rank"))).alias("order"))
-    dirs = ranks.where("is_dir").join(order, "path").select("path", "signature", F.transform("order", lambda x: x["rank"]).alias("order"))
-    # a minimum per signature instead of a window: a common signature is combined before the shuffle
-    first = dirs.groupBy("signature").agg(F.min("order").alias("least"))
-    marked = _materialise(dirs.join(first, "signature").select("path", "signature", (F.col("order") == F.col("least")).alias("first")))
-    above = steps.where("above <> path").join(marked.select(F.col("path").alias("above"), "first"), "above", "left").groupBy("path").agg(F.bool_and(F.coalesce("first", F.lit(False))).alias("open"))
+    A traversal with siblings by name descending decides which is first. A directory is visited when each directory above it is
+    the first of its signature. No directory has the signature of one above it, so the first is the one of the greatest parts: a maximum
+    per signature, combined before the shuffle."""
+    dirs = signed.where("is_dir").select("path", "signature", "parts", "depth")
+    first = dirs.groupBy("signature").agg(F.max("parts").alias("greatest"))
+    marked = materialise(dirs.join(first, "signature").select("path", "signature", "parts", "depth", (F.col("parts") == F.col("greatest")).alias("first")), "marked")
+    steps = marked.where("depth > 1").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda n: F.array_join(F.slice("parts", 1, n), "/"))).alias("above"))
+    above = steps.join(marked.select(F.col("path").alias("above"), "first"), "above", "left").groupBy("path").agg(F.bool_and(F.coalesce("first", F.lit(False))).alias("open"))
     visited = marked.join(above, "path", "left").where(F.coalesce("open", F.lit(True))).select("signature", "path")
     shared = visited.groupBy("signature").count().where("count > 1").select("signature")
     return visited.join(shared, "signature")
 
 
 def root_signature(signed: DataFrame, name: str) -> DataFrame:
-    top = signed.where("depth = 1").agg(F.array_sort(F.collect_list(F.struct("name", "signature"))).alias("children"))
-    return top.select(F.sha1(F.concat(F.unhex(F.concat_ws("", F.transform("children", lambda c: c["signature"]))), F.lit(name).cast("binary"))).alias("signature"))
+    """signature of a root of that name."""
+    return _directories(signed.where("depth = 1"), name).select(F.col("digest").alias("signature"))
 
 
 def duplicate_report(duplicates: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pathgrove.functions.modes import is_dir, is_file
+from pathgrove.sources.shared import materialise
 from pathgrove.sources.snapshot import Snapshot, checksum
 
 
@@ -32,7 +33,8 @@ def duplicate_files(snapshot: Snapshot) -> DataFrame:
     """grp, ord, hash, idx, path, size of files with the same content, without empty ones; groups are numbered by hash, from 0.
 
     The numbering counts groups of empty files too. Digests are spread evenly, so they are ranked within their first four hex digits
-    and each such part adds the count of those before it: only these (65,536 at most) are ever ordered in one task."""
+    and each such part adds the count of those before it: only these (65,536 at most) are ever ordered in one task. Files are numbered
+    within ranges of (hash, idx), so a content of any number of files is spread over tasks; a range adds the files of those before it."""
     hashed = snapshot.with_hashes()
     groups = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.max("size").alias("largest")).where("n > 1")
     groups = groups.withColumn("part", F.substring("hash", 1, 4))
@@ -40,8 +42,13 @@ def duplicate_files(snapshot: Snapshot) -> DataFrame:
     before = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("part").orderBy("hash")) - 1
     numbered = groups.withColumn("nth", nth).join(F.broadcast(before), "part").where("largest > 0").select("hash", (F.col("before") + F.col("nth")).alias("grp"))
-    order = Window.partitionBy("hash").orderBy("idx")
-    return hashed.join(numbered, "hash").withColumn("ord", (F.row_number().over(order) - 1).cast("long")).select("grp", "ord", "hash", "idx", "path", "size")
+    found = hashed.join(numbered, "hash").select("grp", "hash", "idx", "path", "size")
+    found = materialise(found.repartitionByRange("hash", "idx").withColumn("range", F.spark_partition_id()), "duplicates")
+    ranges = found.groupBy("hash", "range").agg(F.count("*").alias("own"))
+    earlier = F.sum("own").over(Window.partitionBy("hash").orderBy("range")) - F.col("own")  # a row per range
+    within = F.row_number().over(Window.partitionBy("hash", "range").orderBy("idx")) - 1
+    numbered = found.withColumn("within", within).join(ranges.select("hash", "range", earlier.alias("earlier")), ["hash", "range"])
+    return numbered.select("grp", (F.col("earlier") + F.col("within")).alias("ord"), "hash", "idx", "path", "size")
 
 
 def content_index(snapshot: Snapshot) -> DataFrame:
