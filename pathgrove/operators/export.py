@@ -1,7 +1,11 @@
-"""Export of a snapshot as CSV, JSON or hashdeep rows, and the hashdeep reader."""
+"""Export of a snapshot as CSV, JSON or hashdeep, and the hashdeep reader.
+
+An export is a folder whose every file is complete in its format, with the header or the frame that the format wants.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathgrove.functions.modes import is_dir, mode_string
@@ -33,10 +37,28 @@ def json_rows(snapshot: Snapshot) -> DataFrame:
     return snapshot.with_any_hash().select(F.to_json(row).alias("value"))
 
 
+def _framed(rows: DataFrame, head: list[str], tail: list[str], comma: bool = False) -> DataFrame:
+    """The lines of rows (value) with head and tail around those of each partition; comma: between rows."""
+
+    def run(batches):
+        first = True
+        lines = lambda x: pa.RecordBatch.from_pydict({"value": pa.array(x, pa.string())})
+        yield lines(head)
+        for b in batches:
+            found = b.column(0).to_pylist()
+            if comma:
+                found = [v if first and not i else "," + v for i, v in enumerate(found)]
+                first = first and not found
+            yield lines(found)
+        yield lines(tail)
+
+    return rows.select("value").mapInArrow(run, "value string")
+
+
 def write_json(snapshot: Snapshot, meta: DataFrame, path: str) -> None:
-    """JSON lines: entries in one folder, the database row in another."""
-    json_rows(snapshot).write.mode("errorifexists").text(f"{path}/entries")
-    meta.write.mode("errorifexists").json(f"{path}/database")
+    """A folder of JSON documents {database, entries}, each with a part of the entries; fails if there is one."""
+    database = meta.select(F.to_json(F.struct("*"))).first()[0]  # one row
+    _framed(json_rows(snapshot), [f'{{"database":{database},"entries":['], ["]}"], comma=True).write.mode("errorifexists").text(path)
 
 
 def hashdeep_rows(snapshot: Snapshot) -> DataFrame:
@@ -47,11 +69,21 @@ def hashdeep_rows(snapshot: Snapshot) -> DataFrame:
 
 
 def write_hashdeep(snapshot: Snapshot, path: str) -> None:
-    head = snapshot.entries.sparkSession.createDataFrame(
-        [(0, "%%%% HASHDEEP-1.0"), (1, f"%%%% size,{snapshot.algo},filename"), (2, f"## Invoked from: {snapshot.root}"), (3, "## $ pathgrove export"), (4, "##")], "n int, value string"
-    )
-    head.orderBy("n").select("value").coalesce(1).write.mode("errorifexists").text(f"{path}/header")
-    hashdeep_rows(snapshot).write.mode("errorifexists").text(f"{path}/rows")
+    """A folder of hashdeep files, each with a part of the rows; fails if there is one."""
+    head = ["%%%% HASHDEEP-1.0", f"%%%% size,{snapshot.algo},filename", f"## Invoked from: {snapshot.root}", "## $ pathgrove export", "##"]
+    _framed(hashdeep_rows(snapshot), head, []).write.mode("errorifexists").text(path)
+
+
+def write(snapshot: Snapshot, meta: DataFrame, path: str, form: str = "csv") -> None:
+    """Export as "csv", "json" or "hashdeep"."""
+    if form == "csv":
+        write_csv(snapshot, path)
+    elif form == "json":
+        write_json(snapshot, meta, path)
+    elif form == "hashdeep":
+        write_hashdeep(snapshot, path)
+    else:
+        raise ValueError(f"no export as {form}")
 
 
 def read_hashdeep(spark: SparkSession, path: str) -> DataFrame:

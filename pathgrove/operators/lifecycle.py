@@ -1,32 +1,33 @@
-"""Scan, resume, update and fix of stored snapshots."""
+"""Scan, resume, update, fix and comparison of stored snapshots."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pathgrove.operators import stats
+from pathgrove.operators import diff, stats
 from pathgrove.sources import filesystem, snapshot as store
 from pathgrove.sources.snapshot import Snapshot
 
 
 def scan(spark: SparkSession, root: str, path: str, algo: str | None = None, force: bool = False, include=(), exclude=(), hash_now: bool = True) -> Snapshot:
-    """Walk root into a new snapshot at path, with content digests if an algorithm is given."""
+    """Walk root into a new snapshot at path, with content digests if an algorithm is given. A scan that fails leaves no snapshot;
+    one that fails while digests are computed leaves them pending, for resume."""
+    if not force and store.current(spark, path) is not None:
+        raise FileExistsError(f"{path} already exists")
     entries = filesystem.scan(spark, root, include, exclude)
     store.write(Snapshot(entries, None, root, None), path, force)
-    stored = store.read(spark, path)
     if algo:
-        hashes = store.hash_slots(stored.entries)
+        stored = store.read(spark, path)
+        _put(spark, path, store.hash_slots(stored.entries), algo)
         if hash_now:
-            hashes = filesystem.digest(stored.entries, hashes, root, algo)
-        _put(spark, path, stored, hashes, algo, root)
+            return resume(spark, path)
     return store.read(spark, path)
 
 
-def _put(spark: SparkSession, path: str, stored: Snapshot, hashes: DataFrame, algo: str, root: str) -> None:
-    """Write the hash table beside the old one, then exchange them by a second write of what was written."""
-    hashes.write.mode("overwrite").parquet(f"{path}/hashes-new")
-    spark.read.parquet(f"{path}/hashes-new").write.mode("overwrite").parquet(f"{path}/hashes")
-    store.describe(store.open_parts(spark, path, root, algo)).write.mode("overwrite").parquet(f"{path}/meta")
+def _put(spark: SparkSession, path: str, hashes: DataFrame, algo: str) -> Snapshot:
+    """A revision with other hashes."""
+    now = store.current(spark, path)
+    return store.commit(spark, path, now["root"], algo, now["entries_table"], store.put(hashes, path, "hashes"))
 
 
 def resume(spark: SparkSession, path: str) -> Snapshot:
@@ -34,34 +35,53 @@ def resume(spark: SparkSession, path: str) -> Snapshot:
     stored = store.read(spark, path)
     if stored.hashes is None:
         raise ValueError("Nothing to resume")
-    _put(spark, path, stored, filesystem.digest(stored.entries, stored.hashes, stored.root, stored.algo), stored.algo, stored.root)
-    return store.read(spark, path)
+    return _put(spark, path, filesystem.digest(stored.entries, stored.hashes, stored.root, stored.algo), stored.algo)
 
 
 def update(spark: SparkSession, old_path: str, new_path: str, strict: bool = False, include=(), exclude=()) -> Snapshot:
-    """A new version of a snapshot: rescan, carry over known digests by path, compute the others. The old one stays."""
+    """A new version of a snapshot: rescan, carry over known digests by path, compute the others. The old one stays, and if the update
+    fails while digests are computed, the new one has the carried digests and the others pending."""
     old = store.read(spark, old_path)
-    scan(spark, old.root, new_path, include=include, exclude=exclude)
-    fresh = store.read(spark, new_path)
+    fresh = scan(spark, old.root, new_path, include=include, exclude=exclude)
     if old.hashes is None:
         return fresh
-    carried = stats.carry_hashes(fresh.entries, old, strict)
-    _put(spark, new_path, fresh, filesystem.digest(fresh.entries, carried, old.root, old.algo), old.algo, old.root)
-    return store.read(spark, new_path)
+    _put(spark, new_path, stats.carry_hashes(fresh.entries, old, strict), old.algo)
+    return resume(spark, new_path)
 
 
 def fix(spark: SparkSession, path: str, dry_run: bool = False) -> DataFrame:
-    """The failed checks; without dry_run, meta is written anew from the entries (the old one is kept in meta-bak)."""
-    stored = store.read(spark, path)
-    meta = spark.read.schema(store.schemas.META).parquet(f"{path}/meta")
-    checked = stats.check(stored, meta).where("NOT ok")
+    """The failed checks; without dry_run, a revision whose meta row fits the tables follows."""
+    stored, now = store.read(spark, path), store.current(spark, path)
+    checked = stats.check(stored, store.meta(spark, path)).where("NOT ok")
     failed = spark.createDataFrame(checked.collect(), checked.schema)  # a row per failed constraint, before meta changes
     if not dry_run:
-        meta.write.mode("overwrite").parquet(f"{path}/meta-bak")
-        store.describe(stored).write.mode("overwrite").parquet(f"{path}/meta")
+        store.commit(spark, path, now["root"], now["hash_algo"], now["entries_table"], now["hashes_table"])
     return failed
 
 
 def restore(spark: SparkSession, path: str) -> None:
-    """Put the meta row that fix kept back."""
-    spark.read.schema(store.schemas.META).parquet(f"{path}/meta-bak").write.mode("overwrite").parquet(f"{path}/meta")
+    """Take back the last change: the meta row before the newest one becomes a new revision."""
+    rows = spark.read.schema(store.schemas.META).parquet(f"{path}/meta").orderBy(F.desc("revision")).head(2)
+    if len(rows) < 2:
+        raise ValueError("Nothing to restore")
+    row = spark.createDataFrame([rows[1]], store.schemas.META).withColumn("revision", F.lit(rows[0]["revision"] + 1))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/meta")
+
+
+def side(spark: SparkSession, path: str) -> Snapshot:
+    """What path is as a side of a comparison: a stored snapshot, or else a live directory."""
+    return store.read(spark, path) if store.current(spark, path) is not None else Snapshot(filesystem.scan(spark, path), None, path, None)
+
+
+def compare(spark: SparkSession, left: str, right: str | None = None) -> DataFrame:
+    """The diff of two sides; without a right one, of a snapshot and the live tree it was taken of."""
+    a = side(spark, left)
+    return diff.diff(a, side(spark, a.root if right is None else right))
+
+
+def info(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the meta row, whether the tables fit its checksum, and the totals of files and digests."""
+    stored, meta = store.read(spark, path), store.meta(spark, path)
+    fits = stats.check(stored, meta).where("check = 'checksum'").select(F.col("ok").alias("checksum_ok"))
+    out = meta.crossJoin(F.broadcast(fits)).crossJoin(F.broadcast(stats.file_stats(stored.entries).drop("file_count")))  # one row each
+    return out if stored.hashes is None else out.crossJoin(F.broadcast(stats.hash_stats(stored)))

@@ -93,18 +93,27 @@ def listing(snapshot: Snapshot, full: bool = False, with_hash: bool = False) ->
     return snapshot.entries.select("path")
 
 
-def kept_by_filters(entries: DataFrame, include_files=(), include_dirs=(), exclude_files=(), exclude_dirs=()) -> DataFrame:
-    """Scan filters on a stored snapshot: a rejected directory takes all below it along. The root always stays."""
-    name = base_name(F.col("path"))
-    directory = has_bits(F.col("mode"), DIR)
+#: Fixed value: the file name that scans leave out by default.
+EXCLUDED = ".DS_Store"
+
+
+def scan_condition(include_files=(), include_dirs=(), exclude_files=(), exclude_dirs=(), default: bool = True) -> Column:
+    """What a scan keeps of path and mode, for itself: exclusion wins over inclusion, the root always stays. default: EXCLUDED goes."""
 
     def hit(patterns):
         return ~all_of([~regex(p) for p in patterns])
 
-    dir_ok = (hit(include_dirs) if include_dirs else F.lit(True)) & (~hit(exclude_dirs) if exclude_dirs else F.lit(True))
-    file_ok = (hit(include_files) if include_files else F.lit(True)) & (~hit(exclude_files) if exclude_files else F.lit(True))
-    ok = (F.col("path") == ".") | ((name != ".DS_Store") & F.when(directory, dir_ok).otherwise(file_ok))
-    rejected = entries.where(directory & ~ok).select(F.col("path").alias("ancestor"))
+    def ok(include, exclude):
+        return (hit(include) if include else F.lit(True)) & (~hit(exclude) if exclude else F.lit(True))
+
+    by_kind = F.when(has_bits(F.col("mode"), DIR), ok(include_dirs, exclude_dirs)).otherwise(ok(include_files, exclude_files))
+    return (F.col("path") == ".") | (((base_name(F.col("path")) != EXCLUDED) | F.lit(not default)) & by_kind)
+
+
+def kept_by_filters(entries: DataFrame, include_files=(), include_dirs=(), exclude_files=(), exclude_dirs=()) -> DataFrame:
+    """Scan filters on a stored snapshot: a rejected directory takes all below it along."""
+    ok = scan_condition(include_files, include_dirs, exclude_files, exclude_dirs)
+    rejected = entries.where(has_bits(F.col("mode"), DIR) & ~ok).select(F.col("path").alias("ancestor"))
     parts = F.split("path", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     below = entries.select("idx", F.explode(ancestors).alias("ancestor")).join(rejected, "ancestor", "left_semi").select("idx").distinct()

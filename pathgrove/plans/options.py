@@ -15,6 +15,17 @@ MODE, SIZE, MTIME, HASH = 2, 4, 8, 16
 CHANGES = FILTER_BITS["m"] | FILTER_BITS["s"] | FILTER_BITS["l"] | FILTER_BITS["x"]
 
 
+def scan_filters(include=(), exclude=()) -> dict[str, list[str]]:
+    """The four lists of patterns for search.scan_condition and kept_by_filters: "f:" for files, "d:" for directories, bare for both."""
+    out: dict[str, list[str]] = {f"{what}_{kind}": [] for what in ("include", "exclude") for kind in ("files", "dirs")}
+    for what, patterns in (("include", include), ("exclude", exclude)):
+        for p in filter(None, patterns):
+            kinds, rest = ({"f": ("files",), "d": ("dirs",)}[p[0]], p[2:]) if p[:2] in ("f:", "d:") and len(p) > 2 else (("files", "dirs"), p)
+            for kind in kinds:
+                out[f"{what}_{kind}"].append(rest)
+    return out
+
+
 def search_condition(
     regex=(), iregex=(), name=(), iname=(), path=(), ipath=(), size=(), type=(), hash=(), id=(), before=(), after=(), now: dt.datetime | None = None,
 ) -> tuple[Column, bool]:

@@ -1,27 +1,29 @@
 """A live directory tree as entries, and the content digests of its files.
 
-The driver lists only the top of the tree; each task walks its own directories with os.scandir, prunes excluded ones while
-listing, and streams rows out. The tree must be mounted on every executor.
+A tree is listed level by level: the directories that a level kept are dealt to tasks, which list them with os.scandir and stream
+rows out. Each level is a table, so a lost executor costs a part of one level. The tree must be mounted on every executor.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
 import stat
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pathgrove.functions.modes import CHAR_DEVICE, DEVICE, DIR, IRREGULAR, PIPE, SOCKET, SYMLINK
+from pathgrove.functions.modes import CHAR_DEVICE, DEVICE, DIR, IRREGULAR, PIPE, SOCKET, SYMLINK, is_dir
+from pathgrove.operators.search import scan_condition
+from pathgrove.plans.options import scan_filters
 
+from .shared import materialise
 from .snapshot import hash_slots
 
 _KINDS = ((stat.S_ISDIR, DIR), (stat.S_ISLNK, SYMLINK), (stat.S_ISFIFO, PIPE), (stat.S_ISSOCK, SOCKET), (stat.S_ISBLK, DEVICE), (stat.S_ISCHR, DEVICE | CHAR_DEVICE))
 _FLAGS = ((stat.S_ISUID, 1 << 23), (stat.S_ISGID, 1 << 22), (stat.S_ISVTX, 1 << 20))
-EXCLUDED = {".DS_Store"}
 
 
 def entry_mode(st_mode: int) -> int:
@@ -29,56 +31,58 @@ def entry_mode(st_mode: int) -> int:
     return kind | st_mode & 0o777 | sum(bit for flag, bit in _FLAGS if st_mode & flag)
 
 
-class Filters:
-    """Include and exclude patterns: "f:" for files, "d:" for directories, bare for both; exclusion wins."""
+_LISTED = "path string, raw binary, size long, mode long, ns long"
 
-    def __init__(self, include=(), exclude=()):
-        self.include, self.exclude = self._split(include), self._split(exclude)
 
-    @staticmethod
-    def _split(patterns) -> dict[str, list[str]]:
-        out: dict[str, list[str]] = {"f": [], "d": []}
-        for p in filter(None, patterns):
-            kinds, rest = (p[0], p[2:]) if p[:2] in ("f:", "d:") and len(p) > 2 else ("fd", p)
-            for k in kinds:
-                re.compile(rest)
-                out[k].append(rest)
-        return out
+def _row(path: bytes, st: os.stat_result) -> tuple:
+    return path.decode("utf-8", "replace"), path, st.st_size, entry_mode(st.st_mode), st.st_mtime_ns
 
-    def keep(self, path: str, is_dir: bool) -> bool:
-        kind = "d" if is_dir else "f"
-        wanted, barred = self.include[kind], self.exclude[kind]
-        return (not wanted or any(re.search(p, path) for p in wanted)) and not any(re.search(p, path) for p in barred)
 
-
-def walk(root: str, top: str, filters: Filters) -> Iterator[tuple]:
-    """Rows of top (relative to root) and, if it is a directory, of all below it."""
-    full = os.path.join(root, top) if top != "." else root
-    st = os.lstat(full)
-    directory = stat.S_ISDIR(st.st_mode)
-    if top != "." and (os.path.basename(top) in EXCLUDED or not filters.keep(top, directory)):
+def children(root: bytes, directory: bytes) -> Iterator[tuple]:
+    """Rows of what directory (relative to root) holds. A directory that can't be listed holds nothing; what has gone since has no row."""
+    try:
+        listing = os.scandir(os.path.join(root, directory))
+    except OSError:
         return
-    yield top, st.st_size, entry_mode(st.st_mode), st.st_mtime_ns
-    if directory:
-        for name in sorted(os.listdir(full)):
-            yield from walk(root, name if top == "." else f"{top}/{name}", filters)
+    with listing:
+        for x in listing:
+            try:
+                yield _row(x.name if directory == b"." else directory + b"/" + x.name, x.stat(follow_symlinks=False))
+            except FileNotFoundError:
+                continue
 
 
 def scan(spark: SparkSession, root: str, include=(), exclude=(), dry_run: bool = False) -> DataFrame:
-    """Entries of the tree at root (or, with dry_run, the paths only)."""
-    root, filters = os.path.abspath(root), Filters(include, exclude)
-    tops = sorted(os.listdir(root))
-    st = os.lstat(root)
+    """Entries of the tree at root (or, with dry_run, the paths only, without the default exclusion). Filters are RE2 patterns, as for
+    stored snapshots; nothing below a rejected directory is listed. Symbolic links aren't followed. A missing root is an error."""
+    root = os.path.abspath(root)
+    top = os.fsencode(root)
+    kept = scan_condition(**scan_filters(include, exclude), default=not dry_run)
 
     def run(batches):
+        rows: list[tuple] = []
         for pdf in batches:
-            for top in pdf["top"]:
-                rows = list(walk(root, top, filters)) if top != "." else [(".", st.st_size, entry_mode(st.st_mode), st.st_mtime_ns)]
-                for at in range(0, len(rows), 10_000):
-                    yield pd.DataFrame([(p.encode("utf-8", "replace").decode(), s, m, t) for p, s, m, t in rows[at : at + 10_000]], columns=["path", "size", "mode", "ns"])
-
-    listed = spark.createDataFrame([(n,) for n in [".", *tops]], "top string").repartition(max(1, min(len(tops), 1024)))
-    found = listed.mapInPandas(run, "path string, size long, mode long, ns long")
+            for directory in pdf["raw"]:
+                for row in children(top, bytes(directory)):
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["path", "raw", "size", "mode", "ns"])
+                        rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "raw", "size", "mode", "ns"])
+
+    if not stat.S_ISDIR(os.stat(top).st_mode):
+        raise NotADirectoryError(root)
+    levels = [spark.createDataFrame([_row(b".", os.stat(top))], _LISTED)]
+    while True:
+        directories = levels[-1].where(is_dir(F.col("mode"))).select("raw")
+        count = directories.count()
+        if not count:
+            break
+        # some hundred directories a task; one of any size is read as a stream
+        listed = directories.repartition(max(1, min(count, spark.sparkContext.defaultParallelism * 4, 10_000))).mapInPandas(run, _LISTED)
+        levels.append(materialise(listed.where(kept), "listing"))
+    found = reduce(DataFrame.unionByName, levels)
     if dry_run:
         return found.select("path")
     micros = F.timestamp_micros(F.expr("ns div 1000"))

@@ -1,11 +1,17 @@
-"""Snapshots as folders of Parquet: meta (one row), entries (a row per path), hashes (a row per regular file, null: pending)."""
+"""Snapshots as folders of Parquet: meta, entries (a row per path), hashes (a row per regular file, null: pending).
+
+Tables are never changed once written. meta is a log: its row of the highest revision names the tables that hold now, so a change is
+one small file, and a crash before it leaves the snapshot as it was. Writers of one snapshot take turns.
+"""
 
 from __future__ import annotations
 
 import platform
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from pathgrove.functions.modes import is_file
 
@@ -56,25 +62,57 @@ def describe(snapshot: Snapshot) -> DataFrame:
     )
 
 
-def write(snapshot: Snapshot, path: str, force: bool = False) -> None:
-    """Write to a new folder; fails if there is one, unless force. Meta comes last: a folder without it is unfinished."""
-    mode = "overwrite" if force else "errorifexists"
-    snapshot.entries.write.mode(mode).parquet(f"{path}/entries")
-    if snapshot.hashes is not None:
-        snapshot.hashes.write.mode(mode).parquet(f"{path}/hashes")
-    describe(open_parts(snapshot.entries.sparkSession, path, snapshot.root, snapshot.algo)).write.mode(mode).parquet(f"{path}/meta")
+def current(spark: SparkSession, path: str) -> Row | None:
+    """The newest meta row, None if path isn't a (finished) snapshot."""
+    try:
+        return spark.read.schema(schemas.META).parquet(f"{path}/meta").orderBy(F.desc("revision")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def meta(spark: SparkSession, path: str) -> DataFrame:
+    """The newest meta row as a table."""
+    row = current(spark, path)
+    return spark.createDataFrame([] if row is None else [row], schemas.META)
+
+
+def put(df: DataFrame, path: str, name: str) -> str:
+    """Write a table of a snapshot; its name."""
+    table = f"{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{table}")
+    return table
+
+
+def commit(spark: SparkSession, path: str, root: str, algo: str | None, entries_table: str, hashes_table: str | None) -> Snapshot:
+    """Make these tables the snapshot's newest revision."""
+    stored = open_parts(spark, path, root, algo, entries_table, hashes_table)
+    before = current(spark, path)
+    row = describe(stored).withColumns({"revision": F.lit(before["revision"] + 1 if before else 1), "entries_table": F.lit(entries_table), "hashes_table": F.lit(hashes_table).cast("string")})
+    row.coalesce(1).write.mode("append").parquet(f"{path}/meta")
+    return stored
+
+
+def write(snapshot: Snapshot, path: str, force: bool = False) -> Snapshot:
+    """Write a snapshot; fails if there is one, unless force. What an unfinished write left behind is no snapshot."""
+    spark = snapshot.entries.sparkSession
+    if not force and current(spark, path) is not None:
+        raise FileExistsError(f"{path} already exists")
+    hashes = put(snapshot.hashes, path, "hashes") if snapshot.hashes is not None else None
+    return commit(spark, path, snapshot.root, snapshot.algo, put(snapshot.entries, path, "entries"), hashes)
 
 
-def open_parts(spark: SparkSession, path: str, root: str, algo: str | None) -> Snapshot:
-    hashes = spark.read.schema(schemas.HASHES).parquet(f"{path}/hashes") if algo else None
-    return Snapshot(spark.read.schema(schemas.ENTRIES).parquet(f"{path}/entries"), hashes, root, algo)
+def open_parts(spark: SparkSession, path: str, root: str, algo: str | None, entries_table: str, hashes_table: str | None) -> Snapshot:
+    hashes = spark.read.schema(schemas.HASHES).parquet(f"{path}/{hashes_table}") if hashes_table else None
+    return Snapshot(spark.read.schema(schemas.ENTRIES).parquet(f"{path}/{entries_table}"), hashes, root, algo)
 
 
 def read(spark: SparkSession, path: str) -> Snapshot:
-    meta = spark.read.schema(schemas.META).parquet(f"{path}/meta").collect()  # one row
-    if len(meta) != 1 or meta[0]["version"] != 1:
+    row = current(spark, path)
+    if row is None or row["version"] != 1:
         raise ValueError(f"{path} isn't a snapshot of a known version")
-    return open_parts(spark, path, meta[0]["root"], meta[0]["hash_algo"] if meta[0]["features"] & schemas.FEATURE_HASHES else None)
+    return open_parts(spark, path, row["root"], row["hash_algo"], row["entries_table"], row["hashes_table"])
 
 
 def hash_slots(entries: DataFrame) -> DataFrame:

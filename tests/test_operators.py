@@ -1,4 +1,6 @@
 import datetime as dt
+import json
+import os
 import random
 
 import pytest
@@ -135,6 +137,9 @@ def test_tree_render(make):
     assert text.splitlines() == ["/root", "├── a", "│   └── 1.txt", "├── b", "│   └── c", "│       └── 2.txt", "└── z.txt", "", "2 directories, 5 files"]
     assert t.counts(t.limited(t.nodes(snap.entries), 1)).first()[:] == (2, 2)
     assert {r["path"] for r in t.within(t.nodes(snap.entries), "b/").collect()} == {"b", "b/c", "b/c/2.txt"}
+    assert t.within(t.nodes(snap.entries), ".").count() == 7
+    with pytest.raises(ValueError):
+        t.within(t.nodes(snap.entries), "b/x")
 
 
 def test_file_tree_lifecycle(spark, tmp_path):
@@ -152,19 +157,46 @@ def test_file_tree_lifecycle(spark, tmp_path):
     newer = lifecycle.update(spark, str(tmp_path / "s1"), str(tmp_path / "s2"))
     assert newer.hashes.where("hash IS NULL").count() == 0 and newer.hashes.count() == 3
     assert {(r["code"][0], r["path"]) for r in d.report(d.filtered(d.diff(snap, newer), ["f"])).collect()} == {("f", "sub/c.txt")}
-    meta = spark.read.schema(store.schemas.META).parquet(str(tmp_path / "s2/meta"))
+    meta = store.meta(spark, str(tmp_path / "s2"))
     assert stats.check(newer, meta).where("NOT ok").count() == 0
     broken = meta.withColumn("entries_count", F.lit(99).cast("long"))
     assert [r["check"] for r in stats.check(newer, broken).where("NOT ok").collect()] == ["entries_count"]
     assert lifecycle.fix(spark, str(tmp_path / "s2")).count() == 0
     lifecycle.restore(spark, str(tmp_path / "s2"))
+    assert lifecycle.info(spark, str(tmp_path / "s2")).first()["checksum_ok"]
+    (root / "sub" / "c.txt").write_text("longer than before")
+    assert {(r["code"][0], r["path"]) for r in d.report(d.filtered(lifecycle.compare(spark, str(tmp_path / "s2")), ["fs"])).collect()} == {("f", "sub/c.txt")}
     export.write_hashdeep(newer, str(tmp_path / "deep"))
     assert {r["path"] for r in export.read_hashdeep(spark, str(tmp_path / "deep")).collect()} == {"a.txt", "sub/b.txt", "sub/c.txt"}
     export.write_csv(newer, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 5
-    meta = spark.read.schema(store.schemas.META).parquet(str(tmp_path / "s2/meta"))
-    export.write_json(newer, meta, str(tmp_path / "json"))
-    assert spark.read.json(str(tmp_path / "json/entries")).where("isDir").count() == 2
+    export.write(newer, meta, str(tmp_path / "json"), "json")
+    documents = [json.loads(p.read_text()) for p in (tmp_path / "json").glob("part-*")]
+    assert sum(e["isDir"] for x in documents for e in x["entries"]) == 2 and {x["database"]["entries_count"] for x in documents} == {5}
+    assert all(p.read_text().startswith("%%%% HASHDEEP-1.0\n") for p in (tmp_path / "deep").glob("part-*"))
+    with pytest.raises(ValueError):
+        export.write(newer, meta, str(tmp_path / "xml"), "xml")
+
+
+def test_failed_digests_leave_the_snapshot(spark, tmp_path, monkeypatch):
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a").write_text("one")
+    path = str(tmp_path / "s")
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(filesystem, "digest", broken)
+        with pytest.raises(RuntimeError):
+            lifecycle.scan(spark, str(tmp_path / "tree"), path, algo="sha1")
+        assert stats.pending_totals(store.read(spark, path)).first()[:] == (1, 3)
+    assert lifecycle.resume(spark, path).hashes.where("hash IS NULL").count() == 0
+    with monkeypatch.context() as m:
+        m.setattr(filesystem, "scan", broken)
+        with pytest.raises(RuntimeError):
+            lifecycle.scan(spark, str(tmp_path / "tree"), str(tmp_path / "none"))
+        assert store.current(spark, str(tmp_path / "none")) is None
 
 
 def test_pending_and_resume(spark, tmp_path):
@@ -187,3 +219,13 @@ def test_walk_filters(spark, tmp_path):
     found = {r["path"] for r in filesystem.scan(spark, str(tmp_path), exclude=["d:a", "d:b"], dry_run=True).collect()}
     assert found == {".", "c", "c/3", "top"}
     assert filesystem.entry_mode(0o040755) == DIR | 0o755
+    found = {r["path"] for r in filesystem.scan(spark, str(tmp_path), include=[r"f:[[:digit:]]\z"], dry_run=True).collect()}
+    assert found == {".", "a", "a/a1", "a/a1/1", "b", "b/b1", "b/b1/2", "c", "c/3"}
+    (tmp_path / "c" / ".DS_Store").write_text("x")
+    os.symlink("missing", tmp_path / "c" / "link")
+    (tmp_path / "none").mkdir()
+    found = {r["path"] for r in filesystem.scan(spark, str(tmp_path), exclude=["^[ab]$"]).collect()}
+    assert found == {".", "c", "c/3", "c/link", "none", "top"}
+    assert "c/.DS_Store" in {r["path"] for r in filesystem.scan(spark, str(tmp_path), dry_run=True).collect()}
+    with pytest.raises(FileNotFoundError):
+        filesystem.scan(spark, str(tmp_path / "gone"))
