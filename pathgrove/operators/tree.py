@@ -35,12 +35,13 @@ def hidden(parts: Column) -> Column:
     return F.exists(parts, lambda x: x.startswith("."))
 
 
-def within(tree: DataFrame, path: str) -> DataFrame:
-    """The node at path and all below it; "." and "/" are the whole tree. A path that isn't there is an error."""
+def within(tree: DataFrame, path: str, must_exist: bool = True) -> DataFrame:
+    """The node at path and all below it; "." and "/" are the whole tree. A path that isn't there is an error, or, without must_exist,
+    gives no rows."""
     path = "/".join(p for p in path.split("/") if p not in ("", "."))
     if not path:
         return tree
-    if tree.where(F.col("path") == path).isEmpty():
+    if must_exist and tree.where(F.col("path") == path).isEmpty():
         raise ValueError(f"no such path: {path}")
     return tree.where((F.col("path") == path) | F.col("path").startswith(path + "/"))
 

@@ -23,17 +23,18 @@ def _hours(n: Column) -> Column:
     return F.lit(EPOCH).cast("timestamp") + F.make_dt_interval(hours=n.cast("int"))
 
 
-def documents_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
-    """A file source/lang/doc_id.txt per document (every 97th is empty, every 13th has a pending digest), and directories."""
+def documents_snapshot(spark: SparkSession, sf_dir: str, largest: int | None = None) -> Snapshot:
+    """A file source/lang/doc_id.txt per document with the digest of its text, and directories. largest: digests of longer texts are
+    still pending, as while they are computed."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    size = F.when(F.col("doc_id") % 97 == 0, 0).otherwise(F.col("n_chars"))
-    files = d.select(F.col("doc_id").alias("idx"), path.alias("path"), size.alias("size"), F.lit(0o644).alias("mode"), _hours(F.col("doc_id")).alias("mtime"))
+    files = d.select(F.col("doc_id").alias("idx"), path.alias("path"), F.col("n_chars").alias("size"), F.lit(0o644).alias("mode"), _hours(F.col("doc_id")).alias("mtime"))
     dirs = d.select(F.explode(F.array(F.lit("."), F.col("source"), F.concat_ws("/", "source", "lang"))).alias("path")).distinct()
     # an index below all files, by path hash, so that numbering needs no global order
     number = -1 - F.conv(F.substring(F.sha1("path"), 1, 12), 16, 10).cast("long")
     dirs = dirs.select(number.alias("idx"), "path", F.lit(4096).alias("size"), F.lit(DIR | 0o755).alias("mode"), F.lit(EPOCH).cast("timestamp").alias("mtime"))
-    hashes = d.select(F.col("doc_id").alias("idx"), F.when(F.col("doc_id") % 13 != 0, F.sha2(F.when(F.col("doc_id") % 97 == 0, "").otherwise(F.col("text")), 256)).alias("hash"))
+    digest = F.sha2("text", 256)
+    hashes = d.select(F.col("doc_id").alias("idx"), (digest if largest is None else F.when(F.col("n_chars") <= largest, digest)).alias("hash"))
     return Snapshot(entries_of(files.unionByName(dirs)), hashes, "/data/docs", "sha256")
 
 
