@@ -16,7 +16,8 @@ strings are judged on the input, in UTF-8 bytes, and never cross documents.
    else as rows of a shuffle.
 5. The covered intervals are merged per text, and the text is cut.
 
-Ranks are 64-bit hashes. Null text: empty. Texts under LENGTH bytes are left as they are. Repeated rows are copies of each
+Ranks are 64-bit hashes. They only find candidates: two positions or windows count as equal when a second, independent 64-bit
+hash of their bytes is equal too (128 bits together), so a collision of ranks costs time and changes nothing. Null text: empty. Texts under LENGTH bytes are left as they are. Repeated rows are copies of each
 other. Null doc_id: kept as null. An empty table gives an empty result. Very long texts are scanned in segments.
 ``cut_documents`` keeps all other columns; a character that is cut in two is dropped from the text with its cut part.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.cumprod(np.full(SEGMENT + 1024, _BASE, np.uint64)) * np.uint64(pow(_BASE, -1, 1 << 64))
 _INVERSE = np.cumprod(np.full(SEGMENT + 1024, pow(_BASE, -1, 1 << 64), np.uint64)) * np.uint64(_BASE)
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_POWERS_2 = np.cumprod(np.full(BLOCK, 0xD1342543DE82EF95, np.uint64))
+_BYTES_2 = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,12 +80,14 @@ def selected(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(ranks)[first]
 
 
-def around(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the blocks at offsets -BLOCK, 0 and BLOCK as [position, block], and which of them lie within the text."""
+def around(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks and second hashes of the blocks at offsets -BLOCK, 0 and BLOCK as [position, block], and which of them lie within the text."""
     starts = at[:, None] + np.arange(-1, 2) * BLOCK
     inside = (starts >= 0) & (starts + BLOCK <= len(data))
     index = np.where(inside, starts, 0)[:, :, None] + np.arange(BLOCK)
-    return mix((_BYTES[data[index]] * _POWERS[:BLOCK]).sum(axis=2, dtype=np.uint64)), inside
+    block = data[index]
+    rank = mix((_BYTES[block] * _POWERS[:BLOCK]).sum(axis=2, dtype=np.uint64))
+    return rank, mix((_BYTES_2[block] * _POWERS_2).sum(axis=2, dtype=np.uint64)), inside
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,18 +99,28 @@ def ends_of(data: np.ndarray, start: int) -> tuple[bytes, bytes]:
     return data[max(0, start - BLOCK) : start][::-1].tobytes(), data[start + BLOCK : start + 2 * BLOCK].tobytes()
 
 
-def end_keys(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every row and a = 0..BLOCK, a key of the first a bytes of left with the first BLOCK - a of right, and whether both are there."""
+def window_keys(t, mask: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows of t (rank, second, left, right), every window of LENGTH bytes that lies within the text: its row, the number a
+    of its bytes in front of the block, its key and its second key. Equal windows around equal blocks have both keys equal."""
 
-    def sums(parts):
+    def padded(parts):
         data = np.zeros((len(parts), BLOCK), np.uint8)
         for i, p in enumerate(parts):
             data[i, : len(p)] = np.frombuffer(p, np.uint8)
-        return np.pad(np.cumsum(_BYTES[data] * _POWERS[:BLOCK], axis=1, dtype=np.uint64), ((0, 0), (1, 0)))
+        return data, np.array([len(p) for p in parts], np.int64)
 
-    n_left, n_right = np.array([len(p) for p in left]), np.array([len(p) for p in right])
+    def sums(data, values, powers):
+        return mix(np.pad(np.cumsum(values[data] * powers, axis=1, dtype=np.uint64), ((0, 0), (1, 0))))
+
+    (left, n_left), (right, n_right) = padded(t.column("left").to_pylist()), padded(t.column("right").to_pylist())
     a = np.arange(BLOCK + 1)
-    return paired(mix(sums(left)), mix(sums(right)[:, ::-1])), (n_left[:, None] >= a) & (n_right[:, None] >= BLOCK - a)
+    row, a = np.nonzero((n_left[:, None] >= a) & (n_right[:, None] >= BLOCK - a))
+    keys = []
+    for name, values, powers in (("rank", _BYTES, _POWERS[:BLOCK]), ("second", _BYTES_2, _POWERS_2)):
+        ends = paired(sums(left, values, powers)[row, a], sums(right, values, powers)[row, BLOCK - a])
+        block = t.column(name).to_numpy().view(np.uint64)
+        keys.append(paired(paired(block[row], a.astype(np.uint64)), ends))
+    return row, a, keys[0] & mask, keys[1]
 
 
 def spans(found: np.ndarray, start: int) -> list[tuple[int, int]]:
@@ -132,8 +148,10 @@ def _twice(df: DataFrame, *columns: str) -> DataFrame:
     return df.join(values, list(columns), "left_semi")
 
 
-def covered_intervals(texts: DataFrame) -> DataFrame:
-    """k1, k2, spans: the covered byte intervals of every text (k1, k2, text, copies) that has any, but for whole copies."""
+def covered_intervals(texts: DataFrame, bits: int = 64) -> DataFrame:
+    """k1, k2, spans: the covered byte intervals of every text (k1, k2, text, copies) that has any, but for whole copies. Ranks and
+    keys keep their lowest ``bits`` bits; with few of them they collide, which must not change the result."""
+    mask = np.uint64((1 << bits) - 1)
     long = texts.where(F.octet_length("text") >= LENGTH)
 
     def anchors(batches):
@@ -142,36 +160,37 @@ def covered_intervals(texts: DataFrame) -> DataFrame:
             for k1, k2, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at, rank = selected(np.frombuffer(text.encode(), np.uint8))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2, np.int32)), pa.array(at.astype(np.int32)), pa.array(rank.view(np.int64))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2, np.int32)), pa.array(at.astype(np.int32)), pa.array((rank & mask).view(np.int64))], schema=schema)
 
     places = materialise(long.select(*KEY, "text").mapInArrow(anchors, "k1 long, k2 int, pos int, rank long"), "anchors")
     repeated = materialise(_twice(places, "rank").groupBy(*KEY).agg(F.collect_list("pos").alias("at")), "repeated")
 
     def blocks(batches):
-        schema = pa.schema([*_KEY, ("pos", pa.int32()), ("before", pa.int64()), ("rank", pa.int64()), ("after", pa.int64())])
+        schema = pa.schema([*_KEY, ("pos", pa.int32()), ("before", pa.int64()), ("rank", pa.int64()), ("after", pa.int64()), ("second", pa.int64()), ("second_full", pa.int64())])
         for b in batches:
             for k1, k2, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = np.array(at)
-                rank, inside = around(np.frombuffer(text.encode(), np.uint8), at)
-                sides = [pa.array(rank[:, j].view(np.int64), mask=~inside[:, j]) for j in range(3)]
+                rank, second, inside = around(np.frombuffer(text.encode(), np.uint8), at)
+                sides = [pa.array((rank[:, j] & mask).view(np.int64), mask=~inside[:, j]) for j in range(3)]
+                sides += [pa.array(h.view(np.int64)) for h in (second[:, 1].copy(), paired(paired(second[:, 0], second[:, 1]), second[:, 2]))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2, np.int32)), pa.array(at.astype(np.int32)), *sides], schema=schema)
 
-    ranked = long.join(repeated, KEY).select(*KEY, "text", "at").mapInArrow(blocks, "k1 long, k2 int, pos int, before long, rank long, after long")
+    ranked = long.join(repeated, KEY).select(*KEY, "text", "at").mapInArrow(blocks, "k1 long, k2 int, pos int, before long, rank long, after long, second long, second_full long")
     # doubling: ranks of 200 bytes by pairs at offset 100, then of 300; a position too near the text's edge has a rank of its own
-    pairs = ranked.select(*KEY, "pos", "rank", F.xxhash64("before", "rank").alias("low"), F.xxhash64("rank", "after").alias("high"), (F.col("before").isNull() | F.col("after").isNull()).alias("edge"))
-    full = pairs.select(*KEY, "pos", "rank", F.when(F.col("edge"), F.xxhash64(*KEY, "pos", F.lit("edge"))).otherwise(F.xxhash64("low", "high")).alias("full"))
+    pairs = ranked.select(*KEY, "pos", "rank", "second", "second_full", F.xxhash64("before", "rank").alias("low"), F.xxhash64("rank", "after").alias("high"), (F.col("before").isNull() | F.col("after").isNull()).alias("edge"))
+    full = pairs.select(*KEY, "pos", "rank", "second", F.when(F.col("edge"), F.xxhash64(F.lit("edge"), *KEY, "pos")).otherwise(F.col("second_full")).alias("second_full"), F.when(F.col("edge"), F.xxhash64(*KEY, "pos", F.lit("edge"))).otherwise(F.xxhash64("low", "high")).alias("full"))
     full = materialise(full.withColumn("place", F.xxhash64(*KEY, "pos")), "ranks")
-    same = materialise(full.groupBy("full").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1"), "same")
-    marked = full.join(same, "full", "left").select(*KEY, "pos", "rank", F.col("n").isNotNull().alias("all"), (F.col("n").isNull() | (F.col("first") == F.col("place"))).alias("one"))
+    same = materialise(full.groupBy("full", "second_full").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1"), "same")
+    marked = full.join(same, ["full", "second_full"], "left").select(*KEY, "pos", "rank", "second", F.col("n").isNotNull().alias("all"), (F.col("n").isNull() | (F.col("first") == F.col("place"))).alias("one"))
     marked = materialise(marked, "marked")
     whole = marked.where("all").select(*KEY, (F.col("pos") - BLOCK).cast("long").alias("start"), (F.col("pos") + LENGTH).cast("long").alias("end"))
 
     still = marked.where("one")
-    still = still.join(still.groupBy("rank").agg(F.count("*").alias("size")).where("size > 1"), "rank")
-    place = F.struct("pos", "rank", "all", (F.col("size") > GROUP).alias("large"))
+    still = still.join(still.groupBy("rank", "second").agg(F.count("*").alias("size")).where("size > 1"), ["rank", "second"])
+    place = F.struct("pos", "rank", "second", "all", (F.col("size") > GROUP).alias("large"))
     still = still.groupBy(*KEY).agg(F.collect_list(place).alias("xs"))
-    kind = "rank long, k1 long, k2 int, start int, all boolean, large boolean, left binary, right binary"
-    names = pa.schema([("rank", pa.int64()), *_KEY, ("start", pa.int32()), ("all", pa.bool_()), ("large", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+    kind = "rank long, second long, k1 long, k2 int, start int, all boolean, large boolean, left binary, right binary"
+    names = pa.schema([("rank", pa.int64()), ("second", pa.int64()), *_KEY, ("start", pa.int32()), ("all", pa.bool_()), ("large", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
 
     def ends(batches):
         def rows():
@@ -179,21 +198,21 @@ def covered_intervals(texts: DataFrame) -> DataFrame:
                 for k1, k2, text, xs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     data = np.frombuffer(text.encode(), np.uint8)
                     for x in xs:
-                        yield x["rank"], k1, k2, x["pos"], x["all"], x["large"], *ends_of(data, x["pos"])
+                        yield x["rank"], x["second"], k1, k2, x["pos"], x["all"], x["large"], *ends_of(data, x["pos"])
 
         yield from batched(rows(), names, 4000)
 
     edges = materialise(long.join(still, KEY).select(*KEY, "text", "xs").mapInArrow(ends, kind), "ends")
-    small = edges.where("NOT large").repartition("rank").sortWithinPartitions("rank").mapInArrow(_small_groups, "k1 long, k2 int, start long, end long")
-    covered = whole.union(small).union(_large_groups(edges.where("large")))
+    small = edges.where("NOT large").repartition("rank", "second").sortWithinPartitions("rank", "second").mapInArrow(partial(_small_groups, mask=mask), "k1 long, k2 int, start long, end long")
+    covered = whole.union(small).union(_large_groups(edges.where("large"), mask))
     return covered.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _small_groups(batches):
-    """The covered intervals of every rank's positions; the rows come sorted by rank and a rank has at most GROUP rows."""
+def _small_groups(batches, mask: np.uint64):
+    """The covered intervals of every rank's positions; the rows come sorted by (rank, second), which have at most GROUP rows."""
     schema = pa.schema([*_KEY, ("start", pa.int64()), ("end", pa.int64())])
 
-    names = ("rank", "k1", "k2", "start", "all", "left", "right")
+    names = ("rank", "second", "k1", "k2", "start", "all", "left", "right")
 
     def groups():
         rest = None
@@ -201,8 +220,8 @@ def _small_groups(batches):
             t = pa.Table.from_batches([b.select(names)])
             t = t if rest is None else pa.concat_tables([rest, t])
             if t.num_rows:
-                rank = t.column("rank").to_numpy()
-                cut = int(np.searchsorted(rank == rank[-1], True))  # the last rank may go on in the next batch
+                rank, second = t.column("rank").to_numpy(), t.column("second").to_numpy()
+                cut = int(np.searchsorted((rank == rank[-1]) & (second == second[-1]), True))  # the last rank may go on in the next batch
                 rest = t.slice(cut)
                 if cut:
                     yield t.slice(0, cut)
@@ -211,17 +230,15 @@ def _small_groups(batches):
 
     def intervals():
         for t in groups():
-            k1, k2, at, left, right = (t.column(c).to_pylist() for c in ("k1", "k2", "start", "left", "right"))
-            keys, there = end_keys(left, right)
-            # equal (rank, a, key) in two rows: the window occurs twice
-            row, a = np.nonzero(there)
-            key = paired(paired(t.column("rank").to_numpy().view(np.uint64)[row], a.astype(np.uint64)), keys[row, a])
-            order = np.argsort(key, kind="stable")
-            same = key[order][1:] == key[order][:-1]
+            k1, k2, at = (t.column(c).to_pylist() for c in ("k1", "k2", "start"))
+            # equal keys in two rows: the window occurs twice
+            row, a, key, second = window_keys(t, mask)
+            order = np.lexsort((second, key))
+            same = (key[order][1:] == key[order][:-1]) & (second[order][1:] == second[order][:-1])
             twice = np.zeros(len(key), bool)
             if len(key):
                 twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            found = np.zeros(there.shape, bool)
+            found = np.zeros((t.num_rows, BLOCK + 1), bool)
             found[row[twice], a[twice]] = True
             for i in np.flatnonzero(found.any(axis=1) & ~t.column("all").to_numpy(zero_copy_only=False)):
                 for start, end in spans(found[i], at[i]):
@@ -230,19 +247,18 @@ def _small_groups(batches):
     yield from batched(intervals(), schema, 4000)
 
 
-def _large_groups(rows: DataFrame) -> DataFrame:
+def _large_groups(rows: DataFrame, mask: np.uint64) -> DataFrame:
     """The same for ranks of any number of positions, as rows of a shuffle."""
 
     def explode(batches):
         for b in batches:
-            keys, there = end_keys(b.column("left").to_pylist(), b.column("right").to_pylist())
-            row, a = np.nonzero(there)
-            own = b.select(["rank", "k1", "k2", "start", "all"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(a.astype(np.int32)), pa.array(keys[row, a].view(np.int64))], [*own.schema.names, "a", "key"])
+            row, a, key, second = window_keys(b, mask)
+            own = b.select(["k1", "k2", "all"]).take(pa.array(row))
+            start = b.column("start").to_numpy()[row].astype(np.int64) - a
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(start), pa.array(key.view(np.int64)), pa.array(second.view(np.int64))], [*own.schema.names, "start", "key", "second"])
 
-    each = rows.select("rank", *KEY, "start", "all", "left", "right").mapInArrow(explode, "rank long, k1 long, k2 int, start int, all boolean, a int, key long")
-    found = _twice(each, "rank", "a", "key").where("NOT all")
-    return found.select(*KEY, (F.col("start") - F.col("a")).cast("long").alias("start"), (F.col("start") - F.col("a") + LENGTH).cast("long").alias("end"))
+    each = rows.select("rank", "second", *KEY, "start", "all", "left", "right").mapInArrow(explode, "k1 long, k2 int, all boolean, start long, key long, second long")
+    return _twice(each, "key", "second").where("NOT all").select(*KEY, "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def merge(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -287,14 +303,16 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs (doc_id, text)."""
+def repeated_passages(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs (doc_id, text). bits: as in covered_intervals."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select("doc_id", _text().alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
     texts, name = _texts(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = materialise(cut_texts(texts, covered_intervals(texts), False).drop("kept"), "cuts")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        cuts = materialise(cut_texts(texts, covered_intervals(texts, bits), False).drop("kept"), "cuts")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     return rows.select(F.col("doc_id").cast("long"), *KEY).join(cuts, KEY).drop(*KEY)
 
 
@@ -304,10 +322,12 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     rows = docs.select(_text().alias("text")).select("text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
     texts, name = _texts(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = cut_texts(texts, covered_intervals(texts), True).where("n_removed > 0")
     k1, k2, cut = (fresh(docs, c) for c in ("_k1", "_k2", "_cut"))
-    cuts = materialise(cuts.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(cut)), "cuts")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        cuts = cut_texts(texts, covered_intervals(texts), True).where("n_removed > 0")
+        cuts = materialise(cuts.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(cut)), "cuts")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     joined = docs.withColumns({k1: F.xxhash64(_text()), k2: F.hash(_text())}).join(cuts, [k1, k2], "left")
     out = {"text": F.coalesce(cut, F.col("text").cast("string"))}
     if "n_chars" in docs.columns:

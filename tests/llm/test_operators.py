@@ -306,6 +306,14 @@ def test_repeats(spark, odd, none, monkeypatch, group):
     assert repeats.repeated_passages(odd).count() == len(odd_rows()) and repeats.repeated_passages(none).count() == 0
 
 
+@pytest.mark.parametrize("group", [4096, 1])
+def test_repeats_with_colliding_ranks(spark, monkeypatch, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rows = passages(20 + group)
+    found = repeats.repeated_passages(spark.createDataFrame(rows, DOCS), bits=3).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert same(rows_of(found), brute_repeats(rows))
+
+
 def test_selection_crosses_segments(monkeypatch):
     rng = np.random.default_rng(3)
     data = rng.integers(97, 105, 5000).astype(np.uint8)
