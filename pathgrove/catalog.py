@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathgrove.functions import modes
 from pathgrove.operators import diff as d, export, merkle, search as s, stats, tree as t
+from pathgrove.plans import dealing
 from pathgrove.plans.options import search_condition
-from pathgrove.sources import derived
+from pathgrove.sources import derived, snapshot as store
+from pathgrove.sources.shared import shared_dir
 
 NOW = dt.datetime(2024, 3, 31, 12, 0, 0)
 QUERIES: dict = {}
@@ -258,8 +262,6 @@ def content_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {V1} SELECT * FROM e WHERE id = sha1('src1/en')")
 def entry_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import hashlib
-
     return _v1(spark, sf_dir).by_id(hashlib.sha1(b"src1/en").hexdigest()).select("idx", "id", "path", "size", "mode", "mtime")
 
 
@@ -278,17 +280,59 @@ def pending_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.pending_totals(derived.documents_snapshot(spark, sf_dir, largest=5000))
 
 
+def _stored(snapshot, name: str):
+    """Where the snapshot was stored for a query."""
+    path = f"{shared_dir(snapshot.entries.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    store.write(snapshot, path)
+    return path
+
+
+@query(f"WITH {V1P.replace('5000', '9000')} SELECT e.idx, e.path, e.size FROM e JOIN h USING (idx) WHERE h.hash IS NULL")
+def pending_after_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to digest of a stored snapshot whose run ended after two rounds of its log."""
+    path = _stored(derived.documents_snapshot(spark, sf_dir, largest=5000), "rounds")
+    log, todo = store.current(spark, path)["log_table"], store.read(spark, path).pending().select("idx", "id", "size")
+    known = todo.join(_v1(spark, sf_dir).hashes, "idx")
+    for low, high in ((5000, 7000), (7000, 9000)):
+        store.append_digests(known.where((F.col("size") > low) & (F.col("size") <= high)), path, log)
+    return store.read(spark, path).pending().select("idx", "path", "size")
+
+
+@query(f"""WITH {V1}, c AS (SELECT idx, id, size + 65536 AS cost FROM e WHERE mode < 2147483648),
+  small AS (SELECT idx, ((sum(cost) OVER (ORDER BY id) - cost) // 1000000)::BIGINT AS task, cost FROM c WHERE cost < 1000000),
+  large AS (SELECT idx, ((SELECT coalesce((sum(cost) + 999999) // 1000000, 0) FROM small) + row_number() OVER (ORDER BY id) - 1)::BIGINT AS task, cost FROM c WHERE cost >= 1000000)
+  SELECT idx, task, cost FROM small UNION ALL SELECT idx, task, cost FROM large""")
+def digest_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files dealt to tasks of a million bytes."""
+    files = _v1(spark, sf_dir).entries.where(modes.is_file(F.col("mode")))
+    return dealing.deal(files, share=1_000_000)[0].select("idx", "task", "cost")
+
+
+@query(f"WITH {V1B} SELECT * FROM dh")
+def diff_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of two stored snapshots, bucket by bucket."""
+    return d.diff(*[store.read(spark, _stored(x, "side")) for x in _pair(spark, sf_dir)])
+
+
+@query(f"WITH {V1} SELECT e.idx, e.id, path, size, hash FROM e LEFT JOIN h USING (idx) WHERE id = sha1('src1/en') OR e.idx = 42")
+def entry_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point reads of a stored snapshot, by id and by index, with digests."""
+    stored = store.read(spark, _stored(_v1(spark, sf_dir), "points"))
+    found = [store.Snapshot(rows, stored.hashes).with_any_hash() for rows in (stored.by_id(hashlib.sha1(b"src1/en").hexdigest()), stored.by_index(42))]
+    return found[0].unionByName(found[1]).select("idx", "id", "path", "size", "hash")
+
+
 @query(f"WITH {V1B} SELECT e2.idx, h.hash FROM e2 LEFT JOIN e ON e.id = e2.id LEFT JOIN h ON h.idx = e.idx WHERE e2.mode < 2147483648")
 def update_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, later = _pair(spark, sf_dir)
-    return stats.carry_hashes(later.entries, before)
+    return stats.carry_hashes(later.entries, before).drop("id")
 
 
 @query(f"""WITH {V1B} SELECT e2.idx, CASE WHEN e.size = e2.size AND e.mtime = e2.mtime THEN h.hash END AS hash
   FROM e2 LEFT JOIN e ON e.id = e2.id LEFT JOIN h ON h.idx = e.idx WHERE e2.mode < 2147483648""")
 def update_carry_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, later = _pair(spark, sf_dir)
-    return stats.carry_hashes(later.entries, before, strict=True)
+    return stats.carry_hashes(later.entries, before, strict=True).drop("id")
 
 
 NODES = f"""WITH {V3}, leaf AS (SELECT DISTINCT string_split(path, '/') AS parts FROM p), n AS (SELECT DISTINCT parts[1:k] AS parts FROM leaf, generate_series(1, 8) g(k) WHERE k <= len(parts)),
@@ -359,10 +403,8 @@ crcs AS (SELECT xor(4294967295, list_reduce(list_prepend(4294967295, list_transf
   UNION ALL SELECT 'wrong_ids', '0', n::VARCHAR, n = 0 FROM (SELECT count(*) AS n FROM e WHERE id <> sha1(path))
   UNION ALL SELECT 'unmatched_slots', '0', n::VARCHAR, n = 0 FROM (SELECT count(*) AS n FROM (SELECT idx FROM e WHERE mode < 2147483648) f FULL JOIN h ON h.idx = f.idx WHERE h.idx IS NULL OR f.idx IS NULL)""")
 def check_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pathgrove.sources.snapshot import describe
-
     snapshot = _v1(spark, sf_dir)
-    return stats.check(snapshot, describe(snapshot))
+    return stats.check(snapshot, store.describe(snapshot))
 
 
 @query(f"""WITH {V1P}, g AS (SELECT count(*) AS n, sum(size) AS b, arg_max(size, idx) AS one FROM eh GROUP BY hash HAVING count(*) > 1),

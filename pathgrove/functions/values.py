@@ -84,5 +84,51 @@ def full_path(root: Column, path: Column) -> Column:
     return F.when(path == ".", root).otherwise(F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), path))
 
 
+#: A byte b from 80 to FF that isn't part of UTF-8 stands as the private character EF00 + b in a path.
+KEPT = 0xEF00
+
+
+def path_of(raw: bytes) -> str:
+    """A file name of any bytes as text, so that ``raw_of`` gives the bytes back. Names that are UTF-8 stay as they are, but for the
+    private characters themselves, whose bytes are kept one by one."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if text.isascii():
+        return text
+    return "".join(
+        chr(ord(c) - 0xDC00 + KEPT) if "\udc80" <= c <= "\udcff" else "".join(chr(KEPT + b) for b in c.encode()) if KEPT + 0x80 <= ord(c) <= KEPT + 0xFF else c
+        for c in text
+    )
+
+
+def raw_of(path: str) -> bytes:
+    return "".join(chr(ord(c) - KEPT + 0xDC00) if KEPT + 0x80 <= ord(c) <= KEPT + 0xFF else c for c in path).encode("utf-8", "surrogateescape")
+
+
+def raw_path(path: Column) -> Column:
+    """raw_of as a column: in UTF-8 the private characters are EE BE xx (80 to BF) and EE BF xx (C0 to FF)."""
+    tokens = F.regexp_extract_all(F.hex(path.cast("binary")), F.lit("(EEB[EF]..|..)"), F.lit(1))
+    byte = lambda t: F.when(t.startswith("EEBE"), F.substring(t, 5, 2)).when(t.startswith("EEBF"), F.concat(F.translate(F.substring(t, 5, 1), "89AB", "CDEF"), F.substring(t, 6, 1))).otherwise(t)
+    return F.when(path.rlike(f"[{chr(KEPT + 0x80)}-{chr(KEPT + 0xFF)}]"), F.unhex(F.array_join(F.transform(tokens, byte), ""))).otherwise(path.cast("binary"))
+
+
 def path_id(path: Column) -> Column:
-    return F.sha1(path)
+    """The SHA-1 of a path's bytes."""
+    return F.sha1(raw_path(path))
+
+
+def quoted(text: Column) -> Column:
+    """text in double quotes with backslash escapes, as Go's %q has it: printable characters stay, other ones are \\a \\b \\f \\n \\r \\t \\v,
+    \\x7f and the like below 80, \\u0085 or \\U0010ffff above; a byte that isn't UTF-8 is \\xff."""
+    named = {"\a": "a", "\b": "b", "\f": "f", "\n": "n", "\r": "r", "\t": "t", "\v": "v", '"': '"', "\\": "\\"}
+
+    def one(c: Column) -> Column:
+        code = F.ascii(c)  # of any code point
+        kept = code.between(KEPT + 0x80, KEPT + 0xFF)
+        out = F.when(kept, F.format_string("\\x%02x", code - KEPT))
+        for char, letter in named.items():
+            out = out.when(c == char, "\\" + letter)
+        out = out.when((code < 0x20) | (code == 0x7F), F.format_string("\\x%02x", code))
+        odd = c.rlike(r"[\p{C}\p{Z}]") & (c != " ")
+        return out.when(odd & (code < 0x10000), F.format_string("\\u%04x", code)).when(odd, F.format_string("\\U%08x", code)).otherwise(c)
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), one), ""), F.lit('"'))

@@ -2,40 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathgrove.operators import diff, stats
+from pathgrove.plans import dealing
 from pathgrove.sources import filesystem, snapshot as store
+from pathgrove.sources.shared import release
 from pathgrove.sources.snapshot import Snapshot
 
 
 def scan(spark: SparkSession, root: str, path: str, algo: str | None = None, force: bool = False, include=(), exclude=(), hash_now: bool = True) -> Snapshot:
     """Walk root into a new snapshot at path, with content digests if an algorithm is given. A scan that fails leaves no snapshot;
-    one that fails while digests are computed leaves them pending, for resume."""
-    if not force and store.current(spark, path) is not None:
+    one that fails while digests are computed keeps those it has, and leaves the others pending, for resume."""
+    if not force and store.revisions(spark, path):
         raise FileExistsError(f"{path} already exists")
-    entries = filesystem.scan(spark, root, include, exclude)
-    store.write(Snapshot(entries, None, root, None), path, force)
+    stored = store.write(Snapshot(filesystem.scan(spark, root, include, exclude), None, root, None), path, force)
     if algo:
-        stored = store.read(spark, path)
-        _put(spark, path, store.hash_slots(stored.entries), algo)
+        stored = store.with_slots(spark, path, store.hash_slots(stored.entries), algo, store.current(spark, path))
         if hash_now:
             return resume(spark, path)
-    return store.read(spark, path)
+    return stored
+
+
+@dataclass(frozen=True)
+class Progress:
+    """What is done after a round of digests, and what there was to do."""
 
+    rounds: int
+    tasks: int
+    files: int
+    bytes: int
+    all_tasks: int
+    all_files: int
+    all_bytes: int
 
-def _put(spark: SparkSession, path: str, hashes: DataFrame, algo: str) -> Snapshot:
-    """A revision with other hashes."""
-    now = store.current(spark, path)
-    return store.commit(spark, path, now["root"], algo, now["entries_table"], store.put(hashes, path, "hashes"))
 
+def resume(spark: SparkSession, path: str, task_bytes: int = dealing.TASK_BYTES, tasks: int | None = None, on_round: Callable[[Progress], None] | None = None) -> Snapshot:
+    """Compute the digests that are pending; the ones that fail stay pending.
 
-def resume(spark: SparkSession, path: str) -> Snapshot:
-    """Compute the digests that are pending; the ones that fail stay pending."""
+    Files are dealt to tasks by bytes, and tasks to rounds (``tasks`` of them, four for each core unless told otherwise). Each round
+    appends its digests to the snapshot's log, where they count at once: a run that is killed loses its current round, and the next
+    one goes on with what isn't in the log. At the end the log is folded into the hashes table. on_round hears of each round."""
     stored = store.read(spark, path)
     if stored.hashes is None:
         raise ValueError("Nothing to resume")
-    return _put(spark, path, filesystem.digest(stored.entries, stored.hashes, stored.root, stored.algo), stored.algo)
+    log = store.current(spark, path)["log_table"]
+    dealt, count = dealing.deal(stored.pending().select("idx", "id", "path", "size"), task_bytes)
+    width = tasks or 4 * spark.sparkContext.defaultParallelism
+    done = Progress(0, 0, 0, 0, count, *_amount(dealt))
+    for first in range(0, count, width):
+        now = dealt.where((F.col("task") >= first) & (F.col("task") < first + width))
+        store.append_digests(filesystem.digest(now.repartitionById(width, (F.col("task") - first).cast("int")), stored.root, stored.algo), path, log)
+        if on_round:
+            files, size = _amount(now)
+            done = replace(done, rounds=done.rounds + 1, tasks=min(first + width, count), files=done.files + files, bytes=done.bytes + size)
+            on_round(done)
+    release(dealt)
+    return store.compact(spark, path)
+
+
+def _amount(files: DataFrame) -> tuple[int, int]:
+    return tuple(files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first())
 
 
 def update(spark: SparkSession, old_path: str, new_path: str, strict: bool = False, include=(), exclude=()) -> Snapshot:
@@ -45,7 +75,7 @@ def update(spark: SparkSession, old_path: str, new_path: str, strict: bool = Fal
     fresh = scan(spark, old.root, new_path, include=include, exclude=exclude)
     if old.hashes is None:
         return fresh
-    _put(spark, new_path, stats.carry_hashes(fresh.entries, old, strict), old.algo)
+    store.with_slots(spark, new_path, stats.carry_hashes(fresh.entries, old, strict), old.algo, store.current(spark, new_path))
     return resume(spark, new_path)
 
 
@@ -55,22 +85,23 @@ def fix(spark: SparkSession, path: str, dry_run: bool = False) -> DataFrame:
     checked = stats.check(stored, store.meta(spark, path)).where("NOT ok")
     failed = spark.createDataFrame(checked.collect(), checked.schema)  # a row per failed constraint, before meta changes
     if not dry_run:
-        store.commit(spark, path, now["root"], now["hash_algo"], now["entries_table"], now["hashes_table"])
+        tables = {"root": now["root"]} | {k: now[k] for k in ("hash_algo", "entries_table", "hashes_table", "log_table", "buckets")}
+        store.commit(spark, path, tables, now["revision"])
     return failed
 
 
 def restore(spark: SparkSession, path: str) -> None:
     """Take back the last change: the meta row before the newest one becomes a new revision."""
-    rows = spark.read.schema(store.schemas.META).parquet(f"{path}/meta").orderBy(F.desc("revision")).head(2)
-    if len(rows) < 2:
+    numbers = store.revisions(spark, path)
+    if len(numbers) < 2:
         raise ValueError("Nothing to restore")
-    row = spark.createDataFrame([rows[1]], store.schemas.META).withColumn("revision", F.lit(rows[0]["revision"] + 1))
-    row.coalesce(1).write.mode("append").parquet(f"{path}/meta")
+    before = store.revision_rows(spark, path, [numbers[-2]])[0]
+    store.put_revision(spark, path, before.asDict(), numbers[-1])
 
 
 def side(spark: SparkSession, path: str) -> Snapshot:
     """What path is as a side of a comparison: a stored snapshot, or else a live directory."""
-    return store.read(spark, path) if store.current(spark, path) is not None else Snapshot(filesystem.scan(spark, path), None, path, None)
+    return store.read(spark, path) if store.revisions(spark, path) else Snapshot(filesystem.scan(spark, path), None, path, None)
 
 
 def compare(spark: SparkSession, left: str, right: str | None = None) -> DataFrame:

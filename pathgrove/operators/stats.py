@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pathgrove.functions.modes import is_dir, is_file
+from pathgrove.functions.values import path_id
 from pathgrove.sources.shared import materialise
 from pathgrove.sources.snapshot import Snapshot, checksum
 
@@ -61,7 +62,7 @@ def duplicate_totals(dupes: DataFrame) -> DataFrame:
 
 
 def pending(snapshot: Snapshot) -> DataFrame:
-    return snapshot.hashes.where("hash IS NULL").select("idx").join(snapshot.entries, "idx")
+    return snapshot.pending()
 
 
 def pending_totals(snapshot: Snapshot) -> DataFrame:
@@ -72,7 +73,7 @@ def check(snapshot: Snapshot, meta: DataFrame) -> DataFrame:
     """check, expected, actual, ok: one row for each integrity constraint of the snapshot."""
     e = snapshot.entries
     now = e.agg(F.count("*").cast("string").alias("entries_count"), F.count_if(is_file(F.col("mode"))).cast("string").alias("file_count"), checksum(e, "idx", "id", "path", "size", "mode", "mtime").cast("string").alias("checksum"))
-    wrong_ids = e.agg(F.count_if(F.col("id") != F.sha1("path")).cast("string").alias("wrong_ids"))
+    wrong_ids = e.agg(F.count_if(F.col("id") != path_id(F.col("path"))).cast("string").alias("wrong_ids"))
     held = meta.select(*[F.col(c).cast("string").alias(f"held_{c}") for c in ("entries_count", "file_count", "checksum")])
     row = now.crossJoin(F.broadcast(wrong_ids)).crossJoin(F.broadcast(held))  # one row each
     checks = [(c, F.col(f"held_{c}"), F.col(c)) for c in ("entries_count", "file_count", "checksum")] + [("wrong_ids", F.lit("0"), F.col("wrong_ids"))]
@@ -92,4 +93,4 @@ def carry_hashes(new_entries: DataFrame, old: Snapshot, strict: bool = False) ->
     known = known.groupBy("id").agg(*[F.max_by(c, "hash").alias(c) for c in ("hash", "old_size", "old_mtime")])
     j = new_entries.where(is_file(F.col("mode"))).join(known, "id", "left")
     same = (F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime")) if strict else F.lit(True)
-    return j.select("idx", F.when(same, F.col("hash")).alias("hash"))
+    return j.select("idx", "id", F.when(same, F.col("hash")).alias("hash"))

@@ -1,5 +1,7 @@
 """A live directory tree as entries, and the content digests of its files.
 
+A name is bytes: its id is the SHA-1 of these, and its path is text from which they can be had back (``values.raw_of``).
+
 A tree is listed level by level: the directories that a level kept are dealt to tasks, which list them with os.scandir and stream
 rows out. Each level is a table, so a lost executor costs a part of one level. The tree must be mounted on every executor.
 """
@@ -16,11 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathgrove.functions.modes import CHAR_DEVICE, DEVICE, DIR, IRREGULAR, PIPE, SOCKET, SYMLINK, is_dir
+from pathgrove.functions.values import path_of, raw_of
 from pathgrove.operators.search import scan_condition
 from pathgrove.plans.options import scan_filters
 
 from .shared import materialise
-from .snapshot import hash_slots
 
 _KINDS = ((stat.S_ISDIR, DIR), (stat.S_ISLNK, SYMLINK), (stat.S_ISFIFO, PIPE), (stat.S_ISSOCK, SOCKET), (stat.S_ISBLK, DEVICE), (stat.S_ISCHR, DEVICE | CHAR_DEVICE))
 _FLAGS = ((stat.S_ISUID, 1 << 23), (stat.S_ISGID, 1 << 22), (stat.S_ISVTX, 1 << 20))
@@ -35,7 +37,7 @@ _LISTED = "path string, raw binary, size long, mode long, ns long"
 
 
 def _row(path: bytes, st: os.stat_result) -> tuple:
-    return path.decode("utf-8", "replace"), path, st.st_size, entry_mode(st.st_mode), st.st_mtime_ns
+    return path_of(path), path, st.st_size, entry_mode(st.st_mode), st.st_mtime_ns
 
 
 def children(root: bytes, directory: bytes) -> Iterator[tuple]:
@@ -85,26 +87,31 @@ def scan(spark: SparkSession, root: str, include=(), exclude=(), dry_run: bool =
     found = reduce(DataFrame.unionByName, levels)
     if dry_run:
         return found.select("path")
-    micros = F.timestamp_micros(F.expr("ns div 1000"))
+    micros = F.timestamp_micros(F.expr("(ns - pmod(ns, 1000)) div 1000"))  # down, before 1970 as well
     return found.select(
-        F.monotonically_increasing_id().alias("idx"), F.sha1("path").alias("id"), "path", "size", "mode", micros.alias("mtime"),
+        F.monotonically_increasing_id().alias("idx"), F.sha1("raw").alias("id"), "path", "size", "mode", micros.alias("mtime"),
         F.expr("pmod(ns, 1000)").cast("short").alias("mtime_ns"), F.lit(0).cast("short").alias("tz_min"),
     )
 
 
-def digest(entries: DataFrame, hashes: DataFrame | None, root: str, algo: str = "sha256") -> DataFrame:
-    """hashes with its pending rows computed, file by file in chunks; a file that can't be read stays pending."""
-    slots = hashes if hashes is not None else hash_slots(entries)
-    todo = slots.where("hash IS NULL").join(entries.select("idx", "path"), "idx")
+#: Files that a task digests before it passes their digests on.
+PASSED = 1_000
+
+
+def digest(files: DataFrame, root: str, algo: str = "sha256") -> DataFrame:
+    """idx, id, hash of files (idx, id, path), read in chunks where their partition is; hash is null where a file can't be read."""
+    top = os.fsencode(root)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"idx": pdf["idx"], "hash": [file_digest(os.path.join(root, p), algo) for p in pdf["path"]]})
+            for i in range(0, len(pdf), PASSED):
+                part = pdf.iloc[i : i + PASSED]
+                yield pd.DataFrame({"idx": part["idx"], "id": part["id"], "hash": [file_digest(os.path.join(top, raw_of(p)), algo) for p in part["path"]]})
 
-    return slots.where("hash IS NOT NULL").unionByName(todo.mapInPandas(run, "idx long, hash string"))
+    return files.select("idx", "id", "path").mapInPandas(run, "idx long, id string, hash string")
 
 
-def file_digest(path: str, algo: str) -> str | None:
+def file_digest(path: str | bytes, algo: str) -> str | None:
     try:
         with open(path, "rb") as f:
             return hashlib.file_digest(f, algo).hexdigest()

@@ -1,10 +1,13 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share, and the files of any store that Spark reaches."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,4 +26,50 @@ def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write df there as Parquet, in folders by the columns given, and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later plan reads."""
+    for df in tables:
+        remove(df.sparkSession, df._written_to)
+
+
+def _reached(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Name and time of change (ms) of what a folder holds; nothing if there is none."""
+    fs, at = _reached(spark, path)
+    return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _reached(spark, path)
+    fs.delete(at, True)
+
+
+def claim(spark: SparkSession, staged: str, target: str) -> bool:
+    """Give the file at staged the name target too, whole and at once; False if the name is taken. On a local file system by a hard
+    link, elsewhere by a rename that doesn't replace: both are atomic, so of two writers one gets the name."""
+    fs, source = _reached(spark, staged)
+    _, aim = _reached(spark, target)
+    fs.mkdirs(aim.getParent())
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.link(*(unquote(fs.makeQualified(p).toUri().getRawPath()) for p in (source, aim)))
+        except FileExistsError:
+            return False
+        return True
+    jvm, none = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(fs.makeQualified(source), fs.makeQualified(aim), none)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
