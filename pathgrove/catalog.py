@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathgrove.functions import modes
-from pathgrove.operators import diff as d, export, merkle, search as s, stats, tree as t
+from pathgrove.operators import diff as d, export, intervals, merkle, search as s, stats, tree as t
 from pathgrove.plans import dealing
 from pathgrove.plans.options import search_condition
 from pathgrove.sources import derived, snapshot as store
@@ -356,7 +356,8 @@ def tree_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{NODES} SELECT * FROM nodes WHERE path = 'blog.ththan.example.net/en' OR starts_with(path, 'blog.ththan.example.net/en/')")
 def tree_subpath(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.within(_page_tree(spark, sf_dir), "/blog.ththan.example.net/en/", must_exist=False)
+    tree = intervals.labelled(derived.pages_entries(spark, sf_dir)).select("path", "parent", "name", "depth", "implied", "pre", "last")
+    return t.within(tree, "/blog.ththan.example.net/en/", must_exist=False).drop("pre", "last")
 
 
 @query(f"WITH {V2} SELECT 1 + count(*) FILTER (is_dir) AS directories, count(*) FILTER (NOT is_dir) AS files FROM allsig")
@@ -369,16 +370,23 @@ def tree_dirs_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.counts(t.nodes(_v1(spark, sf_dir).entries, only_dirs=True))
 
 
+@query(f"""{NODES}, o AS (SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS pre FROM nodes)
+  SELECT a.path, a.pre, max(b.pre) AS last FROM o a JOIN o b ON b.path = a.path OR starts_with(b.path, a.path || '/') GROUP BY a.path, a.pre""")
+def tree_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the nodes in the traversal by names, and of the last node below each."""
+    return intervals.labelled(derived.pages_entries(spark, sf_dir)).select("path", "pre", "last")
+
+
 @query(f"""{NODES}, m AS (SELECT *, name = max(name) OVER (PARTITION BY parent) AS last FROM nodes WHERE depth <= 2)
   SELECT CASE WHEN a.depth < 2 THEN '' WHEN b.last THEN '    ' ELSE '│   ' END || CASE WHEN a.last THEN '└── ' ELSE '├── ' END || a.name AS line
   FROM m a LEFT JOIN m b ON a.depth = 2 AND b.depth = 1 AND b.path = a.parent WHERE NOT starts_with(a.path, '.') AND NOT contains(a.path, '/.')""")
 def tree_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.lines(t.limited(t.nodes(derived.pages_entries(spark, sf_dir)), 2)).select("line")
+    return t.lines(t.limited(intervals.labelled(derived.pages_entries(spark, sf_dir)), 2)).select("line")
 
 
 @query(f"WITH {V2} SELECT * FROM allsig")
 def merkle_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.signatures(t.nodes(derived.events_tree(spark, sf_dir))).select("path", "signature", "is_dir")
+    return merkle.signatures(intervals.labelled(derived.events_tree(spark, sf_dir))).select("path", "signature", "is_dir")
 
 
 @query(f"""WITH {V2}, dirs AS (SELECT path, signature, string_split(path, '/') AS parts FROM allsig WHERE is_dir),
@@ -386,7 +394,7 @@ def merkle_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
   open AS (SELECT k.path, k.signature FROM keys k WHERE NOT EXISTS (SELECT 1 FROM keys a WHERE NOT a.first AND starts_with(k.path, a.path || '/')))
   SELECT signature, path FROM open WHERE signature IN (SELECT signature FROM open GROUP BY signature HAVING count(*) > 1)""")
 def dupes_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.duplicate_subtrees(merkle.signatures(t.nodes(derived.events_tree(spark, sf_dir))))
+    return merkle.duplicate_subtrees(merkle.signatures(intervals.labelled(derived.events_tree(spark, sf_dir))))
 
 
 #: CRC-32 over the bytes of a text: the table of its 256 steps, then a step per byte.

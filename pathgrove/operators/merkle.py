@@ -1,9 +1,11 @@
 """Signatures of directory structure, bottom up, and duplicate subtrees.
 
 sig(node) = SHA-1(signatures of its children, by name, as bytes; then its name as bytes). Content, size and mode play no part.
-The tree is written once, in folders by depth, and folded level by level; each level is written as a table, so plans stay small
-and lost executors cost one level. The digest of a directory is sequential: its children pass through one task, in order, as a
-stream of which the task holds one batch.
+
+A labelled tree is folded in one pass over ranges of its traversal: a task holds a digest for each node around the present one, and
+closes it where its interval ends. Left over are the nodes whose intervals cross the end of a range, at most one per range and depth;
+these are folded level by level from the signatures of their children. The digest of such a directory is sequential: its children
+pass through one task, in order, as a stream of which the task holds one batch.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pathgrove.sources.shared import materialise
+from pathgrove.functions.values import raw_of
+from pathgrove.sources.shared import materialise, release
+
+from . import intervals
 
 
 def _directories(children: DataFrame, name: str | None = None) -> DataFrame:
@@ -23,7 +28,7 @@ def _directories(children: DataFrame, name: str | None = None) -> DataFrame:
         of, digest = None, None
 
         def ended():
-            digest.update((of.rpartition("/")[2] if name is None else name).encode())
+            digest.update(raw_of(of.rpartition("/")[2] if name is None else name))
             return of, digest.hexdigest()
 
         for b in batches:
@@ -41,25 +46,61 @@ def _directories(children: DataFrame, name: str | None = None) -> DataFrame:
     return children.repartition("parent").sortWithinPartitions("parent", "name").select("parent", "signature").mapInArrow(run, "of string, digest string")
 
 
+_FOLDED = pa.schema([("place", pa.int64()), ("signature", pa.string()), ("loose", pa.bool_())])
+
+
+def _folded(batches):
+    """place, signature, loose of rows (range, pre, last, depth, name, end): null where the interval crosses the end of the range; loose
+    where the parent isn't folded with it."""
+    stack, of, done = [], None, []  # (pre, depth, name, digest or None) around the present row
+
+    def close():
+        pre, _, name, digest = stack.pop()
+        if digest is None:
+            done.append((pre, None, True))
+            return
+        digest.update(raw_of(name))
+        held = stack[-1][3] if stack else None
+        if held is not None:
+            held.update(digest.digest())
+        done.append((pre, digest.hexdigest(), held is None))
+
+    def passed():
+        out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True) if done else ((), (), ()), _FOLDED, strict=True)], schema=_FOLDED)
+        done.clear()
+        return out
+
+    for b in batches:
+        for range_, pre, last, depth, name, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            while stack and (range_ != of or stack[-1][1] >= depth):
+                close()
+            of = range_
+            stack.append((pre, depth, name, hashlib.sha1() if last <= end else None))
+        yield passed()
+    while stack:
+        close()
+    yield passed()
+
+
 def signatures(tree: DataFrame) -> DataFrame:
-    """The nodes with a column signature (hex)."""
-    tree = materialise(tree, "tree", "depth")
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
-    levels, below = [], None
-    for depth in range(deepest, 0, -1):
-        level, leaf = tree.where(F.col("depth") == depth), F.sha1(F.col("name").cast("binary"))
-        if below is None:
-            level = level.withColumn("signature", leaf)
-        else:
-            digests = _directories(below)
-            level = level.join(digests, level.path == digests.of, "left").withColumn("signature", F.coalesce("digest", leaf)).drop("of", "digest")
-        below = materialise(level, "level")
-        levels.append(below)
-    if not levels:
-        return tree.withColumn("signature", F.lit(None).cast("string"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+    """The nodes of a labelled tree with a column signature (hex)."""
+    ranged = materialise(tree.select("pre", "last", "depth", "name").repartitionByRange("pre").withColumn("range", F.spark_partition_id()), "ranged")
+    ends = ranged.groupBy("range").agg(F.max("pre").alias("end"))  # a row per partition
+    given = ranged.join(F.broadcast(ends), "range").repartition("range").sortWithinPartitions("range", "pre")
+    folded = materialise(given.select("range", "pre", "last", "depth", "name", "end").mapInArrow(_folded, "place long, signature string, loose boolean"), "folded")
+    release(ranged)
+    signed = tree.join(folded, F.col("pre") == F.col("place")).drop("place")
+    columns = [*tree.columns, "signature"]
+    levels = [r["depth"] for r in signed.where("signature IS NULL").groupBy("depth").count().orderBy(F.desc("depth")).collect()]  # a row per depth
+    loose, out = signed.where("loose AND signature IS NOT NULL"), signed.where("signature IS NOT NULL").select(columns)
+    above = None
+    for depth in levels:
+        children = loose.where(F.col("depth") == depth + 1).select("parent", "name", "signature")
+        if above is not None:
+            children = children.unionByName(above.where(F.col("depth") == depth + 1).select("parent", "name", "signature"))
+        level = signed.where(F.col("signature").isNull() & (F.col("depth") == depth)).drop("signature")
+        above = materialise(level.join(_directories(children), F.col("path") == F.col("of")).withColumnRenamed("digest", "signature").select(columns), "level")
+        out = out.unionByName(above)
     return out
 
 
@@ -69,12 +110,10 @@ def duplicate_subtrees(signed: DataFrame) -> DataFrame:
     A traversal with siblings by name descending decides which is first. A directory is visited when each directory above it is
     the first of its signature. No directory has the signature of one above it, so the first is the one of the greatest parts: a maximum
     per signature, combined before the shuffle."""
-    dirs = signed.where("is_dir").select("path", "signature", "parts", "depth")
+    dirs = signed.where("is_dir").select("path", "signature", "parts", "pre", "last")
     first = dirs.groupBy("signature").agg(F.max("parts").alias("greatest"))
-    marked = materialise(dirs.join(first, "signature").select("path", "signature", "parts", "depth", (F.col("parts") == F.col("greatest")).alias("first")), "marked")
-    steps = marked.where("depth > 1").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda n: F.array_join(F.slice("parts", 1, n), "/"))).alias("above"))
-    above = steps.join(marked.select(F.col("path").alias("above"), "first"), "above", "left").groupBy("path").agg(F.bool_and(F.coalesce("first", F.lit(False))).alias("open"))
-    visited = marked.join(above, "path", "left").where(F.coalesce("open", F.lit(True))).select("signature", "path")
+    marked = dirs.join(first, "signature").select("path", "signature", "pre", "last", (F.col("parts") == F.col("greatest")).alias("first"))
+    visited = materialise(intervals.uncovered(marked, ~F.col("first")).select("signature", "path"), "visited")
     shared = visited.groupBy("signature").count().where("count > 1").select("signature")
     return visited.join(shared, "signature")
 

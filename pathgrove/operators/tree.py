@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pathgrove.functions.modes import is_dir
 
-
-def parts_of(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+from . import intervals
 
 
 def nodes(entries: DataFrame, only_dirs: bool = False) -> DataFrame:
@@ -18,7 +16,7 @@ def nodes(entries: DataFrame, only_dirs: bool = False) -> DataFrame:
     rows = entries.where(F.col("path") != ".").groupBy("path").agg(F.max_by("mode", "idx").alias("mode"))
     if only_dirs:
         rows = rows.where(is_dir(F.col("mode")))
-    rows = rows.select(parts_of(F.col("path")).alias("parts"), is_dir(F.col("mode")).alias("is_dir"))
+    rows = rows.select(intervals.parts_of(F.col("path")).alias("parts"), is_dir(F.col("mode")).alias("is_dir"))
     depths = F.sequence(F.lit(1), F.size("parts") - 1)
     above = rows.where(F.size("parts") > 1).select(F.explode(F.transform(depths, lambda n: F.slice("parts", 1, n))).alias("parts"))
     # one aggregate instead of an anti-join: a real row outranks an implied one
@@ -36,14 +34,15 @@ def hidden(parts: Column) -> Column:
 
 
 def within(tree: DataFrame, path: str, must_exist: bool = True) -> DataFrame:
-    """The node at path and all below it; "." and "/" are the whole tree. A path that isn't there is an error, or, without must_exist,
-    gives no rows."""
+    """The node at path and all below it, in a labelled tree; "." and "/" are the whole tree. A path that isn't there is an error, or,
+    without must_exist, gives no rows."""
     path = "/".join(p for p in path.split("/") if p not in ("", "."))
     if not path:
         return tree
-    if must_exist and tree.where(F.col("path") == path).isEmpty():
+    top = tree.where(F.col("path") == path).select("pre", "last").first()
+    if top is None and must_exist:
         raise ValueError(f"no such path: {path}")
-    return tree.where((F.col("path") == path) | F.col("path").startswith(path + "/"))
+    return intervals.below(tree, *(top or (1, 0)))
 
 
 def limited(tree: DataFrame, limit: int) -> DataFrame:
@@ -57,27 +56,19 @@ def counts(tree: DataFrame, with_root: bool = True) -> DataFrame:
 
 
 def lines(tree: DataFrame) -> DataFrame:
-    """parts, line: the rendered rows in any order; sort by parts. A last child is marked before hidden ones are left out."""
-    # the greatest name of a directory is combined before the shuffle: a directory of any size is no hot spot
-    greatest = tree.groupBy("parent").agg(F.max("name").alias("greatest"))
-    marked = tree.join(greatest, "parent").withColumn("last", F.col("name") == F.col("greatest"))
-    # an ancestor's flag decides the bar in front of everything below it
-    below = marked.select("parts", "depth", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("n")).select("parts", "n", F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("path"), (F.col("n") == F.col("depth")).alias("own"))
-    flags = below.join(marked.select("path", "last"), "path")
-    piece = F.when(F.col("own"), F.when(F.col("last"), "└── ").otherwise("├── ")).otherwise(F.when(F.col("last"), "    ").otherwise("│   "))
-    prefix = flags.groupBy("parts").agg(F.array_sort(F.collect_list(F.struct("n", piece.alias("piece")))).alias("p"))
-    return prefix.where(~hidden(F.col("parts"))).select("parts", F.concat(F.array_join(F.transform("p", lambda x: x["piece"]), ""), F.element_at("parts", -1)).alias("line"))
+    """The rows of a labelled tree with a column line, as they are rendered, in any order; sort by pre. A last child is marked before
+    hidden ones are left out."""
+    return intervals.lines(tree).where(~hidden(F.col("parts")))
 
 
 def signed_lines(signed: DataFrame) -> DataFrame:
     """The rendered rows with each node's signature behind its name."""
-    rows = lines(signed).join(signed.select("parts", "signature"), "parts")
-    return rows.select("parts", F.concat("line", F.lit("    ["), "signature", F.lit("]")).alias("line"))
+    return lines(signed).withColumn("line", F.concat("line", F.lit("    ["), "signature", F.lit("]")))
 
 
 def render(tree: DataFrame, root: str) -> str:
     """The text of a tree for display: the rows come to the driver one by one, in order."""
-    text = [root, *(r["line"] for r in lines(tree).orderBy("parts").toLocalIterator())]
+    text = [root, *(r["line"] for r in lines(tree).orderBy("pre").toLocalIterator())]
     c = counts(tree).first()
     noun = lambda n, one, many: f"{n} {one if n == 1 else many}"
     return "\n".join([*text, "", f"{noun(c['directories'], 'directory', 'directories')}, {noun(c['files'], 'file', 'files')}"])

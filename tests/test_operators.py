@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathgrove.functions.modes import DIR
-from pathgrove.operators import diff as d, export, lifecycle, merkle, search as s, stats, tree as t
+from pathgrove.operators import diff as d, export, intervals, lifecycle, merkle, search as s, stats, tree as t
 from pathgrove.plans import options
 from pathgrove.sources import filesystem, snapshot as store
 
@@ -99,24 +99,59 @@ def test_scan_filters_prune(make):
 def test_signature_goldens(make):
     paths = ["a/2.txt", "a/3.txt", "a/a1/1.txt", "a/a2/6.txt", "a/a2/same-as-1.txt", "b/b1/b1a/1.txt", "b/b1/b1a/7.txt", "b/b1/b1a/same-as-1.txt", "dupes/c/c.txt", "dupes/c/a2/6.txt", "dupes/c/a2/same-as-1.txt"]
     dirs = sorted({p.rsplit("/", k)[0] for p in paths for k in range(1, p.count("/") + 1)})
-    signed = merkle.signatures(t.nodes(make([(p, 0, "d") for p in dirs] + [(p, 1) for p in paths]).entries))
+    signed = merkle.signatures(intervals.labelled(make([(p, 0, "d") for p in dirs] + [(p, 1) for p in paths]).entries))
     found = merkle.duplicate_subtrees(signed).collect()
     assert {(r["signature"], r["path"]) for r in found} == {("5c09ba250cd65d1d4e244c268346af99b77209ba", "a/a2"), ("5c09ba250cd65d1d4e244c268346af99b77209ba", "dupes/c/a2")}
     report = merkle.duplicate_report(merkle.duplicate_subtrees(signed)).collect()
     assert [(r["signature"], r["members"]) for r in report] == [("5c09ba250cd65d1d4e244c268346af99b77209ba", ["a/a2", "dupes/c/a2"])]
     assert any(r["line"].endswith("a2    [5c09ba250cd65d1d4e244c268346af99b77209ba]") for r in t.signed_lines(signed).collect())
-    small = merkle.signatures(t.nodes(make([("a/b/c.txt",), ("a/d/e.txt",)]).entries))
+    small = merkle.signatures(intervals.labelled(make([("a/b/c.txt",), ("a/d/e.txt",)]).entries))
     got = {r["path"]: r["signature"] for r in small.collect()}
     assert got["a"] == "738f85b5fb947ee653004952949083d597e1da45" and got["a/b"] == "f08d52d8c5774306baf4203c859efb1666e18df6" and got["a/d"] == "c9fc6719efc1551cdcae31a81c1d251019ce08fe"
 
 
-def test_duplicate_subtrees_against_recursion(make):
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges stay as many as there are shuffle partitions, however small."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_intervals_against_recursion(spark, make, many_ranges):
+    """Labels, implied parents and rendered lines of random trees that are cut into ranges at any place."""
+    rng = random.Random(7)
+    for size in (1, 30, 120):
+        paths = {"/".join(rng.choice(["a", "b", "b.c", ".h", "ä"]) for _ in range(rng.randint(1, 6))) for _ in range(size)}
+        tree = intervals.labelled(make([(p, 1) for p in sorted(paths)] + [("x//y/", 1), (".", 0, "d")]).entries)
+        every = sorted({tuple(p.split("/")[:k]) for p in paths | {"x/y"} for k in range(1, p.count("/") + 2)})
+        rows = {tuple(r["parts"]): r for r in tree.collect()}
+        assert sorted(rows) == every
+        for i, parts in enumerate(every):
+            r = rows[parts]
+            last = max(j for j, q in enumerate(every) if q[: len(parts)] == parts)
+            assert (r["pre"], r["last"], r["depth"], r["implied"], r["path"], r["parent"]) == (i + 1, last + 1, len(parts), "/".join(parts) not in paths | {"x/y"}, "/".join(parts), "/".join(parts[:-1]) or ".")
+        greatest = lambda parts: max(q for q in every if q[:-1] == parts[:-1] and len(q) == len(parts)) == parts
+        drawn = [
+            "".join("    " if greatest(p[:k]) else "│   " for k in range(1, len(p))) + ("└── " if greatest(p) else "├── ") + p[-1] for p in every if not any(x.startswith(".") for x in p)
+        ]
+        assert [r["line"] for r in t.lines(tree).orderBy("pre").collect()] == drawn
+        assert intervals.labelled(make([(".", 0, "d")]).entries).count() == 0
+
+
+def test_a_rendered_subtree(make, many_ranges):
+    tree = intervals.labelled(make([("a/x/1", 1), ("a/x/2", 1), ("a/y/3", 1), ("b", 1)]).entries)
+    assert [r["line"] for r in t.lines(t.within(tree, "a")).orderBy("pre").collect()] == ["└── a", "    ├── x", "    │   ├── 1", "    │   └── 2", "    └── y", "        └── 3"]
+    assert [r["line"] for r in t.lines(t.limited(tree, 2)).orderBy("pre").collect()] == ["├── a", "│   ├── x", "│   └── y", "└── b"]
+
+
+def test_duplicate_subtrees_against_recursion(make, many_ranges):
     rng = random.Random(4)
     for _ in range(3):
         paths = {"/".join(rng.choice("xyz") + str(rng.randint(0, 1)) for _ in range(rng.randint(2, 4))) for _ in range(25)}
         paths = {p for p in paths if not any(q.startswith(p + "/") for q in paths)}
         dirs = {p.rsplit("/", k)[0] for p in paths for k in range(1, p.count("/") + 1)}
-        signed = merkle.signatures(t.nodes(make([(p, 0, "d") for p in sorted(dirs)] + [(p, 1) for p in sorted(paths)]).entries))
+        signed = merkle.signatures(intervals.labelled(make([(p, 0, "d") for p in sorted(dirs)] + [(p, 1) for p in sorted(paths)]).entries))
         sig = {r["path"]: r["signature"] for r in signed.collect()}
         seen: dict[str, list[str]] = {}
 
@@ -133,13 +168,13 @@ def test_duplicate_subtrees_against_recursion(make):
 
 def test_tree_render(make):
     snap = make([("a", 0, "d"), ("a/1.txt", 1), ("a/.hidden", 1), ("b/c/2.txt", 1), ("z.txt", 1)])
-    text = t.render(t.nodes(snap.entries), "/root")
+    text = t.render(intervals.labelled(snap.entries), "/root")
     assert text.splitlines() == ["/root", "├── a", "│   └── 1.txt", "├── b", "│   └── c", "│       └── 2.txt", "└── z.txt", "", "2 directories, 5 files"]
     assert t.counts(t.limited(t.nodes(snap.entries), 1)).first()[:] == (2, 2)
-    assert {r["path"] for r in t.within(t.nodes(snap.entries), "b/").collect()} == {"b", "b/c", "b/c/2.txt"}
-    assert t.within(t.nodes(snap.entries), ".").count() == 7
+    assert {r["path"] for r in t.within(intervals.labelled(snap.entries), "b/").collect()} == {"b", "b/c", "b/c/2.txt"}
+    assert t.within(intervals.labelled(snap.entries), ".").count() == 7
     with pytest.raises(ValueError):
-        t.within(t.nodes(snap.entries), "b/x")
+        t.within(intervals.labelled(snap.entries), "b/x")
 
 
 def test_file_tree_lifecycle(spark, tmp_path):
