@@ -161,6 +161,26 @@ def export_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.json_rows(_v1(spark, sf_dir))
 
 
+MODE = "CASE WHEN mode >= 2147483648 THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END"
+
+
+@query(f"""WITH {V1} SELECT 'Id,Size,Mode,ModTime,IsDir,Hash (sha256),Path' AS value UNION ALL
+  SELECT id || ',' || size || ',' || {MODE} || ',' || strftime(mtime, '%Y-%m-%dT%H:%M:%SZ') || ',' || (mode >= 2147483648) || ',' || coalesce(hash, '') || ',' || path FROM e LEFT JOIN h USING (idx)""")
+def export_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one CSV file that many tasks have written."""
+    target = f"{shared_dir(spark).removeprefix('file://')}/export-{uuid.uuid4().hex}.csv"
+    export.write_file(export.csv_lines(_v1(spark, sf_dir)), target)
+    return spark.read.text(f"file://{target}")
+
+
+@query(f"""WITH {V1} SELECT '{{' || id || '}}, ' || hash || ', ' || size || ', "' || {FULL} || '", ' || {MODE} || ', ' || strftime(mtime, '%Y-%m-%dT%H:%M:%SZ') AS line
+  FROM eh WHERE regexp_matches(path, '^src1/') AND size > 2000""")
+def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found entries as they are printed."""
+    snapshot = _v1(spark, sf_dir)
+    return s.found_lines(s.search(snapshot, s.regex("^src1/") & s.size("+2k"), with_hash=True), snapshot.root).select("line")
+
+
 @query(f"""WITH {V1} SELECT count(*) FILTER (mode >= 2147483648) AS dir_count, count(*) FILTER (mode < 2147483648) AS file_count,
   coalesce(sum(size) FILTER (mode < 2147483648), 0)::BIGINT AS total_size, coalesce(max(size) FILTER (mode < 2147483648), 0)::BIGINT AS max_size,
   (sum(size) FILTER (mode < 2147483648) // count(*) FILTER (mode < 2147483648))::BIGINT AS avg_size FROM e""")
@@ -397,6 +417,16 @@ def dupes_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.duplicate_subtrees(merkle.signatures(intervals.labelled(derived.events_tree(spark, sf_dir))))
 
 
+@query(f"""WITH {V2}, dirs AS (SELECT path, signature, string_split(path, '/') AS parts FROM allsig WHERE is_dir),
+  keys AS (SELECT path, signature, parts, rank() OVER (PARTITION BY signature ORDER BY parts[1] DESC, parts[2] DESC NULLS FIRST, parts[3] DESC NULLS FIRST) = 1 AS first FROM dirs),
+  open AS (SELECT k.path, k.signature FROM keys k WHERE NOT EXISTS (SELECT 1 FROM keys a WHERE NOT a.first AND starts_with(k.path, a.path || '/'))),
+  groups AS (SELECT signature, count(*) AS n FROM open GROUP BY signature HAVING count(*) > 1)
+  SELECT signature, 0 AS part, 'Signature: ' || signature AS line FROM groups UNION ALL SELECT signature, 1, '  ' || path FROM open JOIN groups USING (signature) UNION ALL SELECT signature, 3, '' FROM groups""")
+def dupes_subtrees_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed report on duplicate subtrees."""
+    return merkle.duplicate_lines(merkle.signatures(intervals.labelled(derived.events_tree(spark, sf_dir)))).select("signature", "part", "line")
+
+
 #: CRC-32 over the bytes of a text: the table of its 256 steps, then a step per byte.
 CRC = """
 steps AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS s FROM range(256) r(i)),

@@ -113,6 +113,21 @@ def uncovered(tree: DataFrame, covers: Column) -> DataFrame:
     return marked.where(F.coalesce(F.greatest("near", "before"), F.lit(0)) < F.col("pre")).select(*tree.columns)
 
 
+def covered(tree: DataFrame, tops: DataFrame) -> DataFrame:
+    """The nodes with of and start: whose interval they are in, and where it begins, of tops (of, pre, until), which don't overlap; null if
+    in none. The newest top in front of a node is found by a running maximum, within ranges of places."""
+    mark = tops.select("of", F.col("pre").alias("start"), "until")
+    ranged = materialise(tree.join(mark, F.col("pre") == F.col("start"), "left").repartitionByRange("pre").withColumn("range", F.spark_partition_id()), "covered")
+    top = F.struct("start", "of", "until")
+    newest = ranged.where("start IS NOT NULL").groupBy("range").agg(F.max(top).alias("own"))
+    ranges = ranged.select("range").distinct().join(F.broadcast(newest), "range", "left")
+    before = _before(ranges, F.max("own"))
+    near = F.max(F.when(F.col("start").isNotNull(), top)).over(Window.partitionBy("range").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0))
+    found = ranged.withColumn("near", near).join(F.broadcast(before), "range").withColumn("at", F.coalesce("near", "before"))
+    inside = F.col("at.until") >= F.col("pre")
+    return found.select(*tree.columns, F.when(inside, F.col("at.of")).alias("of"), F.when(inside, F.col("at.start")).alias("start"))
+
+
 def _stacks(tree: DataFrame) -> DataFrame:
     """range, open: for each range of a tree in ranges the intervals (depth, last) that are open when it begins, outermost first."""
     latest = tree.groupBy("range", "depth").agg(F.max_by(F.struct("pre", "last"), "pre").alias("at"))  # a row per range and depth

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pathgrove.functions.values import raw_of
 from pathgrove.sources.shared import materialise, release
 
-from . import intervals
+from . import intervals, tree
 
 
 def _directories(children: DataFrame, name: str | None = None) -> DataFrame:
@@ -82,15 +82,15 @@ def _folded(batches):
     yield passed()
 
 
-def signatures(tree: DataFrame) -> DataFrame:
+def signatures(nodes: DataFrame) -> DataFrame:
     """The nodes of a labelled tree with a column signature (hex)."""
-    ranged = materialise(tree.select("pre", "last", "depth", "name").repartitionByRange("pre").withColumn("range", F.spark_partition_id()), "ranged")
+    ranged = materialise(nodes.select("pre", "last", "depth", "name").repartitionByRange("pre").withColumn("range", F.spark_partition_id()), "ranged")
     ends = ranged.groupBy("range").agg(F.max("pre").alias("end"))  # a row per partition
     given = ranged.join(F.broadcast(ends), "range").repartition("range").sortWithinPartitions("range", "pre")
     folded = materialise(given.select("range", "pre", "last", "depth", "name", "end").mapInArrow(_folded, "place long, signature string, loose boolean"), "folded")
     release(ranged)
-    signed = tree.join(folded, F.col("pre") == F.col("place")).drop("place")
-    columns = [*tree.columns, "signature"]
+    signed = nodes.join(folded, F.col("pre") == F.col("place")).drop("place")
+    columns = [*nodes.columns, "signature"]
     levels = [r["depth"] for r in signed.where("signature IS NULL").groupBy("depth").count().orderBy(F.desc("depth")).collect()]  # a row per depth
     loose, out = signed.where("loose AND signature IS NOT NULL"), signed.where("signature IS NOT NULL").select(columns)
     above = None
@@ -110,14 +110,41 @@ def duplicate_subtrees(signed: DataFrame) -> DataFrame:
     A traversal with siblings by name descending decides which is first. A directory is visited when each directory above it is
     the first of its signature. No directory has the signature of one above it, so the first is the one of the greatest parts: a maximum
     per signature, combined before the shuffle."""
+    return _members(signed).select("signature", "path")
+
+
+def _members(signed: DataFrame) -> DataFrame:
+    """signature, path, pre, last, first of duplicate_subtrees."""
     dirs = signed.where("is_dir").select("path", "signature", "parts", "pre", "last")
     first = dirs.groupBy("signature").agg(F.max("parts").alias("greatest"))
     marked = dirs.join(first, "signature").select("path", "signature", "pre", "last", (F.col("parts") == F.col("greatest")).alias("first"))
-    visited = materialise(intervals.uncovered(marked, ~F.col("first")).select("signature", "path"), "visited")
+    visited = materialise(intervals.uncovered(marked, ~F.col("first")), "visited")
     shared = visited.groupBy("signature").count().where("count > 1").select("signature")
     return visited.join(shared, "signature")
 
 
+def duplicate_lines(signed: DataFrame, with_trees: bool = False) -> DataFrame:
+    """signature, part, path, pre, line: the printed report on duplicate subtrees; sort by the first four. with_trees: behind the paths of
+    a group stands what is below its members.
+
+    All members of a group look alike below, so that one is drawn which is no first of its signature: nothing below such a one is a member
+    of a group, so the intervals that are drawn are apart from each other."""
+    members = _members(signed)
+    row = lambda df, part, path, pre, line: df.select("signature", F.lit(part).alias("part"), path.alias("path"), pre.alias("pre"), line.alias("line"))
+    none, zero = F.lit(""), F.lit(0).cast("long")
+    groups = members.select("signature").distinct()
+    out = row(groups, 0, none, zero, F.concat(F.lit("Signature: "), "signature")).unionByName(row(members, 1, F.col("path"), F.col("pre"), F.concat(F.lit("  "), "path")))
+    out = out.unionByName(row(groups, 3, none, zero, none))
+    if with_trees:
+        drawn = members.where("NOT first").groupBy("signature").agg(F.min_by(F.struct("pre", "last"), "pre").alias("top"))
+        tops = drawn.select(F.col("signature").alias("of"), F.col("top.pre").alias("pre"), F.col("top.last").alias("until"))
+        inside = intervals.covered(signed, tops).where(F.col("of").isNotNull())
+        below = tree.signed_lines(inside).where(F.col("pre") > F.col("start"))
+        text = F.concat(F.lit("  "), F.substring("line", F.lit(5), F.length("line")))  # without the bar of the top itself
+        out = out.unionByName(row(below.drop("signature").withColumnRenamed("of", "signature"), 2, none, F.col("pre"), text))
+    return out
+
+
 def root_signature(signed: DataFrame, name: str) -> DataFrame:
     """signature of a root of that name."""
     return _directories(signed.where("depth = 1"), name).select(F.col("digest").alias("signature"))

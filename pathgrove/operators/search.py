@@ -8,9 +8,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pathgrove.functions.modes import DEVICE, DIR, PIPE, SOCKET, SYMLINK, all_of, has_bits, is_file
+from pathgrove.functions.modes import DEVICE, DIR, PIPE, SOCKET, SYMLINK, all_of, has_bits, is_file, mode_string
 from pathgrove.functions.patterns import glob_to_java, re2_to_java
-from pathgrove.functions.values import base_name, full_path, parse_size, parse_when, timestamp_literal
+from pathgrove.functions.values import base_name, full_path, parse_size, parse_when, quoted, rfc3339, timestamp_literal
 from pathgrove.sources.snapshot import Snapshot
 
 always, never = F.lit, lambda: F.lit(False)
@@ -93,6 +93,19 @@ def listing(snapshot: Snapshot, full: bool = False, with_hash: bool = False) ->
     return snapshot.entries.select("path")
 
 
+def found_lines(rows: DataFrame, root: str | None = None, minimal: bool = False) -> DataFrame:
+    """idx, line: found entries as they are printed, {id}, size, "path", mode, time, with the digest behind the id if rows have it; minimal:
+    the path, or digest and path. root: for full paths."""
+    path = F.col("path") if root is None else full_path(F.lit(root), F.col("path"))
+    hashed = [F.col("hash")] if "hash" in rows.columns else []
+    if minimal:
+        line = F.concat_ws(", ", *hashed, quoted(path)) if hashed else path
+    else:
+        when = rfc3339(F.col("mtime"), F.col("mtime_ns"))
+        line = F.concat_ws(", ", F.concat(F.lit("{"), "id", F.lit("}")), *hashed, F.col("size").cast("string"), quoted(path), mode_string(F.col("mode")), when)
+    return rows.select("idx", line.alias("line"))
+
+
 #: Fixed value: the file name that scans leave out by default.
 EXCLUDED = ".DS_Store"
 

@@ -66,9 +66,11 @@ def signed_lines(signed: DataFrame) -> DataFrame:
     return lines(signed).withColumn("line", F.concat("line", F.lit("    ["), "signature", F.lit("]")))
 
 
-def render(tree: DataFrame, root: str) -> str:
-    """The text of a tree for display: the rows come to the driver one by one, in order."""
-    text = [root, *(r["line"] for r in lines(tree).orderBy("pre").toLocalIterator())]
-    c = counts(tree).first()
+def render(tree: DataFrame, root: str, signed: bool = False) -> str:
+    """The text of a tree for display, with signatures if they are asked for: the rows come to the driver one by one, in order. The
+    footer of a tree with signatures doesn't count the root."""
+    rows = signed_lines(tree) if signed else lines(tree)
+    text = [root, *(r["line"] for r in rows.orderBy("pre").toLocalIterator())]
+    c = counts(tree, with_root=not signed).first()
     noun = lambda n, one, many: f"{n} {one if n == 1 else many}"
     return "\n".join([*text, "", f"{noun(c['directories'], 'directory', 'directories')}, {noun(c['files'], 'file', 'files')}"])

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pathgrove.functions import values
 from pathgrove.functions.modes import DIR
 from pathgrove.operators import diff as d, export, intervals, lifecycle, merkle, search as s, stats, tree as t
 from pathgrove.plans import options
@@ -177,6 +178,70 @@ def test_tree_render(make):
         t.within(intervals.labelled(snap.entries), "b/x")
 
 
+def test_report_on_duplicate_subtrees(make, many_ranges):
+    """Members of a group, and what is below them, once; groups inside of members that are first are groups of their own."""
+    paths = [f"{top}/{x}" for top in ("a/one", "b/one", "z/deep/one") for x in ("d/1", "d/.h", "e/f/2", "g")] + ["a/other", "q/f/2", "r/1"]
+    dirs = sorted({p.rsplit("/", k)[0] for p in paths for k in range(1, p.count("/") + 1)})
+    signed = merkle.signatures(intervals.labelled(make([(p, 0, "d") for p in dirs] + [(p, 1) for p in paths]).entries))
+    sig = {r["path"]: r["signature"] for r in signed.collect()}
+    got = [r["line"] for r in merkle.duplicate_lines(signed, with_trees=True).orderBy("signature", "part", "path", "pre").collect()]
+    mark = lambda p: f"    [{sig[p]}]"
+    one = ["Signature: " + sig["a/one"], "  a/one", "  b/one", "  z/deep/one", "  ├── d" + mark("a/one/d"), "  │   └── 1" + mark("a/one/d/1"), "  ├── e" + mark("a/one/e")]
+    one += ["  │   └── f" + mark("q/f"), "  │       └── 2" + mark("q/f/2"), "  └── g" + mark("a/one/g"), ""]
+    f = ["Signature: " + sig["q/f"], "  q/f", "  z/deep/one/e/f", "  └── 2" + mark("q/f/2"), ""]
+    assert got == sum(sorted([one, f]), [])
+    text = t.render(signed, "/root", signed=True).splitlines()
+    assert text[0] == "/root" and text[1] == "├── a" + mark("a") and text[-1] == "19 directories, 12 files"
+
+
+def test_found_lines(make):
+    snap = make([("a", 0, "d"), ('b "q".txt', 7, 0o644, T0, "ab")])
+    ids = {r["path"]: r["id"] for r in snap.entries.collect()}
+    rows = [r["line"] for r in s.found_lines(snap.entries).orderBy("idx").collect()]
+    assert rows == [f'{{{ids["a"]}}}, 0, "a", drwxr-xr-x, 2023-10-31T05:30:42Z', f'{{{ids[chr(98) + " " + chr(34) + "q" + chr(34) + ".txt"]}}}, 7, "b \\"q\\".txt", -rw-r--r--, 2023-10-31T05:30:42Z']
+    assert [r["line"] for r in s.found_lines(snap.with_hashes(), "/r", minimal=True).collect()] == ['ab, "/r/b \\"q\\".txt"']
+    assert [r["line"] for r in s.found_lines(snap.entries, minimal=True).orderBy("idx").collect()] == ["a", 'b "q".txt']
+
+
+def test_one_file_exports(spark, make, tmp_path, many_ranges):
+    rows = [("a.txt", 42, 0o740, T0, "h1"), ("some/dir", 142, "d"), ('odd, "name"', 442, 0o740, T0, None), (" <&>\u2028", 1, 0o644, T0, "h3"), (values.path_of(b"x\xff"), 2, 0o644, T0, "h4")]
+    snap = make(rows)
+    ids = [r["id"] for r in snap.entries.orderBy("idx").collect()]
+    assert export.write_file(export.csv_lines(snap), str(tmp_path / "one.csv")) == (tmp_path / "one.csv").stat().st_size
+    assert (tmp_path / "one.csv").read_bytes() == (
+        f"Id,Size,Mode,ModTime,IsDir,Hash (sha1),Path\n{ids[0]},42,-rwxr-----,2023-10-31T05:30:42Z,false,h1,a.txt\n{ids[1]},142,drwxr-xr-x,2023-10-31T05:30:42Z,true,,some/dir\n"
+        f'{ids[2]},442,-rwxr-----,2023-10-31T05:30:42Z,false,,"odd, ""name"""\n{ids[3]},1,-rw-r--r--,2023-10-31T05:30:42Z,false,h3," <&>\u2028"\n'
+    ).encode() + f"{ids[4]},2,-rw-r--r--,2023-10-31T05:30:42Z,false,h4,x".encode() + b"\xff\n"
+    export.write_file(export.hashdeep_lines(snap, "/s", full=True), str(tmp_path / "one.deep"))
+    assert (tmp_path / "one.deep").read_bytes().split(b"\n")[2:] == [b"## Generated by: pathgrove export /s", b"## Invoked from: /root", b"##", b"42,h1,/root/a.txt", "1,h3,/root/ <&>\u2028".encode(), b"2,h4,/root/x\xff", b""]
+    meta = store.describe(make(rows[:4])).first()
+    export.write_file(export.json_lines(make(rows[:4]), meta, "/s"), str(tmp_path / "one.json"))
+    text = (tmp_path / "one.json").read_text()
+    assert text.startswith('{\n\t"database": {\n\t\t"version": 1,\n\t\t"dbPath": "/s",\n') and text.endswith('\n\t\t\t"hash": "h3"\n\t\t}\n\t]\n}\n') and '\t\t\t"path": " \\u003c\\u0026\\u003e\\u2028",\n' in text
+    document = json.loads(text)
+    assert [(e["path"], e["size"], e.get("hash")) for e in document["entries"]] == [(r[0], r[1], r[4] if len(r) > 4 else None) for r in rows[:4]]
+    assert document["database"]["entriesCount"] == 4 and document["database"]["hashTableAlgo"] == "sha1"
+    with pytest.raises(FileExistsError):
+        export.write_file(export.csv_lines(snap), str(tmp_path / "one.csv"))
+    none = make([("a", 1)])
+    none.entries = none.entries.limit(0)
+    assert json.loads("".join([export.json_lines(none, store.describe(none).first(), "/s")[0], "]}"]))["entries"] == []
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_a_range_that_is_written_again(make, tmp_path, many_ranges):
+    """What a task of a lost executor wrote, in part, is written over by the same bytes."""
+    snap = make([(f"f{i:03}", i) for i in range(100)])
+    head, rows, _ = export.csv_lines(snap)
+    placed, end = export._placed(len(head), rows)
+    target = tmp_path / "x"
+    target.write_bytes(head.encode() + b"?" * (end - len(head)))
+    for _ in range(2):
+        assert export._put_ranges(placed, str(target)) == end - len(head)
+    lines = target.read_text().splitlines()
+    assert len(lines) == 101 and [x.rsplit(",", 1)[1] for x in lines[1:]] == [f"f{i:03}" for i in range(100)]
+
+
 def test_file_tree_lifecycle(spark, tmp_path):
     root = tmp_path / "tree"
     (root / "sub").mkdir(parents=True)
