@@ -196,4 +196,4 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
 
         return batched(digests(), _DIGESTS)
 
-    return segments.sortWithinPartitions("conv_id", "seg").mapInArrow(run, DIGESTS)
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(run, DIGESTS)

@@ -6,7 +6,9 @@ decodes the sample tables (stsd, stts, stsc, stsz, stco/co64, stss) and returns
 of the sync samples (keyframes) from the tables alone; the payload bytes are only sliced, never decoded.
 
 One sample of the track is a block of 64 bytes (64 8-bit audio samples), and every 16th block is a sync sample.
-Fragments (moof) hold their own sample runs (trun), which are added to their track's samples. A text is taken as UTF-8 (null: empty)
+Fragments (moof) hold their own sample runs (trun), which are added to their track's samples. Samples of one size that follow each other
+and are all sync samples are one range. Work and memory are bounded by the bytes of the tables in the file, whatever they declare; a file
+that nests boxes too deep, or whose samples lie outside of any file, isn't readable. A text is taken as UTF-8 (null: empty)
 and padded with bytes 0 to a positive multiple of 64. Very long texts are one row
 each. Null doc_id: kept. Repeated rows get equal values; an empty table gives an empty result. Other columns are ignored.
 """
@@ -16,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -74,10 +78,17 @@ def write_container(payload: bytes) -> bytes:
     return ftyp + moov(len(ftyp) + len(moov(0)) + head) + box(b"mdat", payload)
 
 
-def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, int, int]]:
+#: Boxes within boxes at most; no real file has nearly as many.
+NESTED = 32
+
+
+def walk(data: bytes | memoryview) -> Iterator[tuple[str, int, int]]:
     """(path, start, end) of the body of every box, in file order, going into the containers."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    levels = [("", 0, len(data))]  # what is left of each box around the present place
+    while levels:
+        path, start, end = levels.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1 and start + 16 <= end:
@@ -88,9 +99,11 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
             raise ValueError(f"box {kind!r} at {start} doesn't fit its parent")
         name = f"{path}/{kind.decode('latin-1')}"
         yield name, start + head, start + size
+        levels.append((path, start + size, end))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, name)
-        start += size
+            if len(levels) > NESTED:
+                raise ValueError("boxes are nested too deep")
+            levels.append((name, start + head, start + size))
 
 
 def describe(data: bytes) -> list[dict]:
@@ -140,7 +153,7 @@ def _add_fragment(view: memoryview, fragment: dict, tracks: dict, defaults: dict
     track, place = tracks[number], base
     for run in fragment["runs"]:
         own, n = struct.unpack_from(">II", view, run)
-        at, first = run + 8, None
+        at, first = run + 8, flags
         if own & 1:
             place = base + struct.unpack_from(">i", view, at)[0]
             at += 4
@@ -148,17 +161,29 @@ def _add_fragment(view: memoryview, fragment: dict, tracks: dict, defaults: dict
             first = struct.unpack_from(">I", view, at)[0]
             at += 4
         fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if own & bit]
-        table = _numbers(view, at, n * len(fields), "I")
         begin = place
-        for i in range(n):
-            values = dict(zip(fields, table[i * len(fields) : (i + 1) * len(fields)], strict=True))
-            length = values.get(0x200, size)
-            state = values.get(0x400, first if i == 0 and first is not None else flags)
-            if not state & 0x10000:
-                track["keyframes"].append((place, length))
-            place += length
+        if 0x200 in fields or 0x400 in fields:
+            table = _numbers(view, at, n * len(fields), "I")
+            for i in range(n):
+                values = dict(zip(fields, table[i * len(fields) : (i + 1) * len(fields)], strict=True))
+                length = values.get(0x200, size)
+                if not values.get(0x400, flags if i else first) & 0x10000:
+                    track["keyframes"].append(_range(place, length))
+                place += length
+        else:  # samples of one size and kind, however many are declared
+            if n and not first & 0x10000:
+                track["keyframes"].append(_range(place, size))
+            if n > 1 and not flags & 0x10000:
+                track["keyframes"].append(_range(place + size, (n - 1) * size))
+            place += n * size
         track["samples"] += n
-        track["spans"].append((begin, place - begin))
+        track["spans"].append(_range(begin, place - begin))
+
+
+def _range(start: int, length: int) -> tuple[int, int]:
+    if start < 0 or start + length >= 1 << 63:
+        raise ValueError("a sample lies outside of any file")
+    return start, length
 
 
 def _numbers(view, at: int, n: int, code: str) -> tuple:
@@ -176,23 +201,31 @@ def _track(view: memoryview, t: dict) -> dict:
     scale, duration = struct.unpack_from(">IQ", view, a + 20) if view[a] == 1 else struct.unpack_from(">II", view, a + 12)
     codec = bytes(view[t["stsd"][0] + 12 : t["stsd"][0] + 16]).decode("latin-1")
     fixed, n = struct.unpack_from(">II", view, t["stsz"][0] + 4)
+    # a size that all samples share stays one number, however many are declared: only tables that are in the file are gone through
     sizes = None if fixed else _numbers(view, t["stsz"][0] + 12, n, "I")
     wide = "co64" in t
     span = t["co64" if wide else "stco"]
     chunks = _numbers(view, span[0] + 8, _count(view, span), "Q" if wide else "I")
     runs = _numbers(view, t["stsc"][0] + 8, 3 * _count(view, t["stsc"]), "I")
-    sync = set(_numbers(view, t["stss"][0] + 8, _count(view, t["stss"]), "I")) if "stss" in t else None
+    sync = sorted(set(_numbers(view, t["stss"][0] + 8, _count(view, t["stss"]), "I"))) if "stss" in t else None
+    firsts, pers = runs[::3], runs[1::3]
+    if any(x >= y for x, y in zip(firsts, firsts[1:])):
+        raise ValueError("runs of chunks are out of order")
+    if sizes:
+        places = [0, *accumulate(sizes)]
     keys, spans, sample = [], [], 0
     for i, at in enumerate(chunks, 1):
-        per = next(runs[k + 1] for k in range(len(runs) - 3, -1, -3) if runs[k] <= i)
-        begin = at
-        for _ in range(min(per, n - sample)):
-            size = sizes[sample] if sizes else fixed
-            sample += 1
-            if sync is None or sample in sync:
-                keys.append((at, size))
-            at += size
-        spans.append((begin, at - begin))
+        k = bisect_right(firsts, i) - 1
+        if k < 0:
+            raise ValueError("a chunk belongs to no run")
+        until = min(sample + pers[k], n)
+        size = (lambda a, z: places[z] - places[a]) if sizes else (lambda a, z: (z - a) * fixed)
+        spans.append(_range(at, size(sample, until)))
+        if sync is None and until > sample:
+            keys += [_range(at + size(sample, j), size(j, j + 1)) for j in range(sample, until)] if sizes else [spans[-1]]
+        elif sync:
+            keys += [_range(at + size(sample, j - 1), size(j - 1, j)) for j in sync[bisect_right(sync, sample) : bisect_right(sync, until)]]
+        sample = until
     return {"codec": codec, "timescale": scale, "duration": duration, "samples": n, "spans": spans, "keyframes": keys}
 
 
@@ -235,7 +268,7 @@ def media_columns(media: DataFrame) -> DataFrame:
         try:
             found = describe(data)
             t = found[0]
-        except (ValueError, KeyError, IndexError, StopIteration, struct.error) as e:
+        except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
             return doc_id, n_bytes, None, None, None, *stored, None, None, None, None, None, f"not a readable media file: {e!r}"
         payload = b"".join(data[a : a + n] for a, n in t["spans"])
         digest = zlib.crc32(",".join(f"{a}+{n}" for a, n in t["keyframes"]).encode())

@@ -5,13 +5,15 @@ import hashlib
 import os
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pathgrove.llm import fill_middle, queries, simhash, source_audit
+from pathgrove.llm import chat, fill_middle, media, queries, simhash, source_audit
+from pathgrove.llm.common import materialise
 
 from .test_operators import CLASH, DOCS, none, odd, odd_rows, rows_of, same  # noqa: F401
 
@@ -24,7 +26,7 @@ def sha(text):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op13_source_audit"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -223,3 +225,49 @@ def test_shares_are_exact():
         if total < 2**63:
             got = source_audit.shares(np.array([counts], dtype=np.int64), np.array([[total]], dtype=np.int64))
             assert got.tolist() == [[1 + 10**9 * (c + 5) // total for c in counts]]
+
+
+# stored outputs and hostile files
+
+
+def test_stored_segments_dealt_over_partitions(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {t} " * 50) for c in (1, 2, None) for t in range(40)]
+    segments = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    dealt = materialise(segments.repartition(5), "dealt")
+    assert dealt.rdd.getNumPartitions() > 1
+    assert same(rows_of(chat.read_back(dealt)), rows_of(chat.read_back(segments)))
+
+
+def media_row(spark, data):
+    return media.media_columns(spark.createDataFrame([(1, 0, bytearray(data))], "doc_id long, n_bytes long, media binary")).first()
+
+
+def hostile_track(stsz, stco, sync=None):
+    full, box, u = media.full, media.box, (lambda *x: struct.pack(f">{len(x)}I", *x))
+    tables = [full(b"stsd", u(1) + box(b"avc1", bytes(8))), full(b"stsc", u(1, 1, 2**32 - 1, 1)), full(b"stsz", stsz), stco, *([full(b"stss", u(len(sync), *sync))] if sync else [])]
+    trak = box(b"trak", full(b"tkhd", u(0, 0, 1, 0, 30) + bytes(60)), box(b"mdia", full(b"mdhd", u(0, 0, 10, 30, 0)), box(b"minf", box(b"stbl", *tables))))
+    return box(b"ftyp", b"isom") + box(b"moov", trak)
+
+
+def test_hostile_media(spark):
+    """Deep nesting, offsets past any file, samples by the billion, runs in front of the file: an error or few ranges, never a lost task."""
+    u = lambda *x: struct.pack(f">{len(x)}I", *x)
+    nested = b""
+    for _ in range(1500):
+        nested = media.box(b"moov", nested)
+    assert "too deep" in media_row(spark, nested)["error"]
+    chunk = media.full(b"co64", u(1) + struct.pack(">Q", 2**63))
+    assert "outside" in media_row(spark, hostile_track(u(7, 3), chunk))["error"]
+    near = media.full(b"stco", u(1, 100))
+    row = media_row(spark, hostile_track(u(7, 2**32 - 1), near))
+    assert row["error"] is None and row["tracks"][0]["samples"] == 2**32 - 1 and [tuple(r) for r in row["keyframe_ranges"]] == [(100, 7 * (2**32 - 1))]
+    row = media_row(spark, hostile_track(u(7, 2**32 - 1), near, sync=[1, 3, 2**32 - 1]))
+    assert [tuple(r) for r in row["keyframe_ranges"]] == [(100, 7), (114, 7), (100 + 7 * (2**32 - 2), 7)]
+    assert "longer than its file" in media_row(spark, hostile_track(u(0, 2**32 - 1), near))["error"]
+    moof = lambda offset, n, flags: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", u(1, 9, flags), flags=0x30), media.full(b"trun", struct.pack(">Ii", n, offset), flags=1)))
+    base = hostile_track(u(7, 2), near)
+    row = media_row(spark, base + moof(50, 2**32 - 1, 0))
+    assert row["tracks"][0]["samples"] == 2**32 + 1 and [tuple(r) for r in row["keyframe_ranges"]] == [(100, 14), (len(base) + 50, 9), (len(base) + 59, 9 * (2**32 - 2))]
+    assert len(media_row(spark, base + moof(50, 2**32 - 1, 0x10000))["keyframe_ranges"]) == 1
+    assert "outside" in media_row(spark, base + moof(-100_000, 3, 0))["error"]
+    assert media_row(spark, random.Random(3).randbytes(5000))["error"]
