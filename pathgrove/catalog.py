@@ -445,6 +445,16 @@ def check_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.check(snapshot, store.describe(snapshot))
 
 
+@query(f"""WITH {V1}, hit AS (SELECT substr(id, 1, 3) AS r FROM e WHERE idx = 42), lost AS (SELECT substr(id, 1, 3) AS r FROM e WHERE path = 'src1/en'),
+  n AS (SELECT substr(id, 1, 3) AS r, count(*) AS n, count(*) FILTER (path = 'src1/en') AS gone FROM e GROUP BY ALL)
+  SELECT 'entries' AS part, r AS range, n AS expected_rows, n - gone AS actual_rows FROM n WHERE r IN (SELECT r FROM hit UNION SELECT r FROM lost)""")
+def damaged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of ids in which a snapshot differs from its checksums: one row was changed, and one is gone."""
+    whole = _v1(spark, sf_dir).entries
+    changed = whole.where("path <> 'src1/en'").withColumn("size", F.when(F.col("idx") == 42, F.col("size") + 1).otherwise(F.col("size")))
+    return store.damaged_ranges(store.range_sums(whole, None), changed, None)
+
+
 @query(f"""WITH {V1P}, g AS (SELECT count(*) AS n, sum(size) AS b, arg_max(size, idx) AS one FROM eh GROUP BY hash HAVING count(*) > 1),
   f AS (SELECT count(*) FILTER (mode >= 2147483648) AS dir_count, count(*) FILTER (mode < 2147483648) AS file_count, coalesce(sum(size) FILTER (mode < 2147483648), 0)::BIGINT AS total_size,
   coalesce(max(size) FILTER (mode < 2147483648), 0)::BIGINT AS max_size, (sum(size) FILTER (mode < 2147483648) // count(*) FILTER (mode < 2147483648))::BIGINT AS avg_size FROM e)

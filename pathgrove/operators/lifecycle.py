@@ -79,13 +79,25 @@ def update(spark: SparkSession, old_path: str, new_path: str, strict: bool = Fal
     return resume(spark, new_path)
 
 
+def check_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """part, range, expected_rows, actual_rows: the ranges of ids in which a stored snapshot isn't what was committed; none if it is whole."""
+    row = store.current(spark, path)
+    return store.damaged_ranges(store.sums(spark, path, row), *store.parts(spark, path, row))
+
+
 def fix(spark: SparkSession, path: str, dry_run: bool = False) -> DataFrame:
-    """The failed checks; without dry_run, a revision whose meta row fits the tables follows."""
+    """The failed checks; without dry_run, a revision follows whose meta row and checksums fit the tables. Only ranges that are damaged
+    are summed again."""
     stored, now = store.read(spark, path), store.current(spark, path)
     checked = stats.check(stored, store.meta(spark, path)).where("NOT ok")
     failed = spark.createDataFrame(checked.collect(), checked.schema)  # a row per failed constraint, before meta changes
     if not dry_run:
-        tables = {"root": now["root"]} | {k: now[k] for k in ("hash_algo", "entries_table", "hashes_table", "log_table", "buckets")}
+        tables = {"root": now["root"]} | {k: now[k] for k in ("hash_algo", "entries_table", "hashes_table", "log_table", "buckets", "sums_table")}
+        ranges = [r["range"] for r in check_ranges(spark, path).select("range").distinct().collect()]  # 4096 at most
+        if ranges:
+            held = store.sums(spark, path, now).where(~F.col("range").isin(ranges))
+            again = [None if t is None else store.in_ranges(t, ranges) for t in store.parts(spark, path, now)]
+            tables["sums_table"] = store.put_sums(held.unionByName(store.range_sums(*again)), path)
         store.commit(spark, path, tables, now["revision"])
     return failed
 

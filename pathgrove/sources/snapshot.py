@@ -10,6 +10,9 @@ catalogue only, so opening a snapshot declares its tables there as external ones
 
 Digest log. Digests that are computed are appended in rounds to the log that the revision names, a folder per round; they count at
 once, whatever happens to the run. ``compact`` folds the log into a new hashes table.
+
+Checksums. Each revision has a table of checksums for every range of ids (their first three hex digits), so that damage is found by its
+range, and read and mended there: the tables are sorted by id, so a range is a few row groups.
 """
 
 from __future__ import annotations
@@ -79,11 +82,45 @@ def checksum(df: DataFrame, *columns: str) -> Column:
     return F.coalesce(F.sum(F.crc32(F.concat_ws("\x1f", *text).cast("binary")).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
 
 
-def describe(snapshot: Snapshot) -> DataFrame:
-    """The meta row that fits the entries and hashes."""
-    e = snapshot.entries
-    return e.agg(
-        F.count("*").alias("entries_count"), F.count_if(is_file(F.col("mode"))).alias("file_count"), checksum(e, "idx", "id", "path", "size", "mode", "mtime").alias("checksum")
+#: Columns that a checksum covers.
+_ENTRY, _HASH, RANGE = ("idx", "id", "path", "size", "mode", "mtime"), ("idx", "hash"), 3
+
+
+def range_sums(entries: DataFrame, hashes: DataFrame | None) -> DataFrame:
+    """part (entries, hashes), range, rows, files, checksum of every range of ids that has rows."""
+    part = F.substring("id", 1, RANGE).alias("range")
+    out = entries.groupBy(part).agg(F.count("*").alias("rows"), F.count_if(is_file(F.col("mode"))).alias("files"), checksum(entries, *_ENTRY).alias("checksum")).withColumn("part", F.lit("entries"))
+    if hashes is not None:
+        found = hashes.groupBy(part).agg(F.count("*").alias("rows"), F.count("hash").alias("files"), checksum(hashes, *_HASH).alias("checksum"))
+        out = out.unionByName(found.withColumn("part", F.lit("hashes")))
+    return out.select("part", "range", "rows", "files", "checksum")
+
+
+def damaged_ranges(sums: DataFrame, entries: DataFrame, hashes: DataFrame | None) -> DataFrame:
+    """part, range, expected_rows, actual_rows of the ranges whose rows aren't those that sums has."""
+    held, now = sums.alias("h"), range_sums(entries, hashes).alias("n")
+    same = (F.col("h.part") == F.col("n.part")) & (F.col("h.range") == F.col("n.range"))
+    fits = F.col("h.rows").eqNullSafe(F.col("n.rows")) & F.col("h.checksum").eqNullSafe(F.col("n.checksum")) & F.col("h.files").eqNullSafe(F.col("n.files"))
+    rows = lambda side: F.coalesce(f"{side}.rows", F.lit(0).cast("long"))
+    return held.join(now, same, "full_outer").where(~fits).select(
+        F.coalesce("h.part", "n.part").alias("part"), F.coalesce("h.range", "n.range").alias("range"), rows("h").alias("expected_rows"), rows("n").alias("actual_rows")
+    )
+
+
+def in_ranges(rows: DataFrame, ranges: list[str]) -> DataFrame:
+    """The rows of these ranges, by bounds of id that reach the scan."""
+    test = F.lit(False)
+    for r in ranges:
+        test |= (F.col("id") >= r) & (F.col("id") < r + "g")  # behind all hex digits
+    return rows.where(test)
+
+
+def describe(snapshot: Snapshot, sums: DataFrame | None = None) -> DataFrame:
+    """The meta row that fits the entries and hashes; sums: their range_sums, if they are known."""
+    sums = (range_sums(snapshot.entries, None) if sums is None else sums).where("part = 'entries'")
+    zero = lambda c, kind: F.coalesce(F.sum(c), F.lit(0)).cast(kind).alias(c)
+    return sums.agg(
+        zero("rows", "long").alias("entries_count"), zero("files", "long").alias("file_count"), zero("checksum", "decimal(38,0)")
     ).select(
         F.lit(1).alias("version"), F.lit(snapshot.root).alias("root"), F.lit("pathgrove").alias("tool"), F.lit(platform.system().lower()).alias("os"),
         F.lit(platform.machine()).alias("arch"), F.current_timestamp().alias("created_at"), F.lit(schemas.FEATURE_HASHES if snapshot.hashes is not None else 0).alias("features"),
@@ -190,10 +227,29 @@ def open_revision(spark: SparkSession, path: str, row: Row | dict) -> Snapshot:
     return Snapshot(_opened(spark, path, row["entries_table"], schemas.ENTRIES, row["buckets"]), hashes, row["root"], row["hash_algo"])
 
 
+def parts(spark: SparkSession, path: str, row: Row | dict) -> tuple[DataFrame, DataFrame | None]:
+    """The tables of entries and hashes as they are stored, without the log."""
+    hashes = _opened(spark, path, row["hashes_table"], schemas.HASHES, row["buckets"]) if row["hashes_table"] else None
+    return _opened(spark, path, row["entries_table"], schemas.ENTRIES, row["buckets"]), hashes
+
+
+def sums(spark: SparkSession, path: str, row: Row | dict) -> DataFrame:
+    return spark.read.schema(schemas.SUMS).parquet(f"{path}/{row['sums_table']}")
+
+
+def put_sums(found: DataFrame, path: str) -> str:
+    """Write a revision's checksums (some thousand rows); the table's name."""
+    table = f"sums-{uuid.uuid4().hex}"
+    found.coalesce(1).write.parquet(f"{path}/{table}")
+    return table
+
+
 def commit(spark: SparkSession, path: str, tables: dict, base: int | None = None) -> Snapshot:
-    """Make a revision of tables: root, hash_algo, entries_table, hashes_table, log_table, buckets."""
+    """Make a revision of tables: root, hash_algo, entries_table, hashes_table, log_table, buckets, and sums_table, if it is written."""
     stored = open_revision(spark, path, tables)
-    put_revision(spark, path, describe(stored).first().asDict() | tables, base)
+    if not tables.get("sums_table"):
+        tables = tables | {"sums_table": put_sums(range_sums(*parts(spark, path, tables)), path)}
+    put_revision(spark, path, describe(stored, sums(spark, path, tables)).first().asDict() | tables, base)
     return stored
 
 
@@ -239,7 +295,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2, grace: float = 86_400)
     ``grace`` seconds (a writer may not have committed them yet). Readers of a kept revision aren't affected. Returns the names."""
     numbers = revisions(spark, path)
     kept = revision_rows(spark, path, numbers[-max(1, keep) :])
-    named = {r[k] for r in kept for k in ("entries_table", "hashes_table", "log_table")} | {"meta"}
+    named = {r[k] for r in kept for k in ("entries_table", "hashes_table", "log_table", "sums_table")} | {"meta"}
     gone = [f"meta/{_file(n)}" for n in numbers[: -max(1, keep)]]
     for name, changed in listed(spark, path):
         inside = [t for _, t in listed(spark, f"{path}/{name}")] if name.startswith("log-") else []
@@ -247,7 +303,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2, grace: float = 86_400)
             gone.append(name)
     for name in gone:
         remove(spark, f"{path}/{name}")
-        if not name.startswith(("meta/", "log-", "_")):
+        if not name.startswith(("meta/", "log-", "sums-", "_")):
             spark.sql(f"DROP TABLE IF EXISTS {_declared(path, name)}")
     return gone
 

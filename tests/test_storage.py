@@ -8,6 +8,8 @@ import subprocess
 import sys
 import threading
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,32 @@ def test_vacuum_leaves_what_readers_use(spark, tmp_path):
         lifecycle.restore(spark, path)
 
 
+def test_damage_is_found_and_mended_by_its_range(spark, tmp_path, make):
+    """A bucket's file is written anew with one other row: check names that row's range, and fix sums that range only."""
+    path = str(tmp_path / "s")
+    store.write(make([(f"f{i:04}", i, 0o644, None, f"h{i}") for i in range(300)]), path)
+    assert lifecycle.check_ranges(spark, path).count() == 0
+    row = store.current(spark, path)
+    one = store.read(spark, path).entries.where("path = 'f0042'").first()
+    folder = tmp_path / "s" / row["entries_table"]
+    for part in folder.glob("part-*.parquet"):
+        table = pq.read_table(part)
+        if one["id"] in table["id"].to_pylist():
+            sizes = [-1 if i == one["id"] else n for i, n in zip(table["id"].to_pylist(), table["size"].to_pylist())]
+            pq.write_table(table.set_column(table.schema.get_field_index("size"), "size", pa.array(sizes, pa.int64())), part, use_deprecated_int96_timestamps=True)
+            (folder / f".{part.name}.crc").unlink()
+    spark.catalog.refreshByPath(str(folder))
+    spark.catalog.refreshTable(store._declared(path, row["entries_table"]))
+    n = len([i for i in store.read(spark, path).entries.collect() if i["id"][:3] == one["id"][:3]])
+    assert [tuple(r) for r in lifecycle.check_ranges(spark, path).collect()] == [("entries", one["id"][:3], n, n)]
+    assert [r["check"] for r in lifecycle.fix(spark, path, dry_run=True).collect()] == ["checksum"]
+    before = {tuple(r) for r in store.sums(spark, path, row).collect()}
+    lifecycle.fix(spark, path)
+    after = {tuple(r) for r in store.sums(spark, path, store.current(spark, path)).collect()}
+    assert {r[:2] for r in after - before} == {("entries", one["id"][:3])} and len(after) == len(before)
+    assert lifecycle.check_ranges(spark, path).count() == 0 and lifecycle.info(spark, path).first()["checksum_ok"]
+
+
 # digests
 
 
