@@ -409,6 +409,17 @@ def merkle_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.signatures(intervals.labelled(derived.events_tree(spark, sf_dir))).select("path", "signature", "is_dir")
 
 
+@query(f"WITH {V2} SELECT * FROM allsig")
+def merkle_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of the tree from those of an earlier one, which lacked some users and had others twice."""
+    tree = derived.events_tree(spark, sf_dir)
+    user = F.get(F.split("path", "/"), F.lit(1)).cast("int")
+    twice = tree.where(user % 50 == 9).withColumn("path", F.regexp_replace("path", "^(live|backup)/", "$1/copy-"))
+    earlier = merkle.signatures(intervals.labelled(tree.where(user.isNull() | (user % 50 != 7)).unionByName(twice)))
+    added, removed = merkle.changes(earlier, t.nodes(tree))
+    return merkle.refreshed(earlier, merkle.refresh(earlier, added, removed), removed).select("path", "signature", "is_dir")
+
+
 @query(f"""WITH {V2}, dirs AS (SELECT path, signature, string_split(path, '/') AS parts FROM allsig WHERE is_dir),
   keys AS (SELECT path, signature, parts, rank() OVER (PARTITION BY signature ORDER BY parts[1] DESC, parts[2] DESC NULLS FIRST, parts[3] DESC NULLS FIRST) = 1 AS first FROM dirs),
   open AS (SELECT k.path, k.signature FROM keys k WHERE NOT EXISTS (SELECT 1 FROM keys a WHERE NOT a.first AND starts_with(k.path, a.path || '/')))

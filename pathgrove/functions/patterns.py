@@ -33,8 +33,19 @@ class PatternError(ValueError):
 def re2_to_java(pattern: str, insensitive: bool = False) -> str:
     """The Java form of an RE2 pattern, for an unanchored match. (?d): only \\n ends a line, as in RE2."""
     out, i, depth, multiline = ["(?d)"] + ["(?iu)"] * insensitive, 0, 0, False
+    before = "nothing"  # what a repetition would repeat: nothing, an atom, or a repetition
     while i < len(pattern):
         c, two = pattern[i], pattern[i : i + 2]
+        if repeated := re.match(r"(?:[*+?]|\{(\d+)(?:(,)(\d*))?\})\??", pattern[i:]):
+            if before != "atom":
+                raise PatternError("nothing to repeat" if before == "nothing" else "a repetition can't be repeated")
+            low, high = int(repeated[1] or 0), int(repeated[3] or 0)
+            if max(low, high) > 1000 or repeated[3] and high < low:
+                raise PatternError("no such number of repetitions")
+            out.append(repeated[0])
+            before, i = "repetition", i + len(repeated[0])
+            continue
+        before = "nothing" if c in "(|" else "atom"
         if two == "\\Q":
             end = pattern.find("\\E", i)
             end = len(pattern) if end < 0 else end
@@ -67,13 +78,8 @@ def re2_to_java(pattern: str, insensitive: bool = False) -> str:
             out.append("$" if multiline else r"\z")
             i += 1
         elif c == "{":
-            m = re.match(r"\{(\d+)(?:,(\d*))?\}", pattern[i:])
-            if m and max(int(m[1]), int(m[2] or 0)) > 1000:
-                raise PatternError("more than 1000 repetitions")
-            out.append(m[0] if m else "\\{")
-            i += len(m[0]) if m else 1
-        elif c in "*+?" and i + 1 < len(pattern) and pattern[i + 1] == "+" and i:
-            raise PatternError("possessive repetition isn't part of the syntax")
+            out.append("\\{")
+            i += 1
         else:
             depth += {"(": 1, ")": -1}.get(c, 0)
             if depth < 0:

@@ -15,7 +15,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pathgrove.functions.values import raw_of
+from pathgrove.functions.values import raw_of, raw_path
 from pathgrove.sources.shared import materialise, release
 
 from . import intervals, tree
@@ -104,6 +104,65 @@ def signatures(nodes: DataFrame) -> DataFrame:
     return out
 
 
+_SIGNED = ("path", "parent", "name", "depth", "is_dir", "signature")
+
+
+def changes(old: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes (as of ``tree.nodes``) that a tree with signatures lacks, and the rows of it that aren't nodes any more. A file that has
+    become a directory, or the other way round, is both."""
+    same = ["path", "is_dir"]
+    return nodes.join(old.select(same), same, "left_anti").select(*_SIGNED[:-1]), old.join(nodes.select(same), same, "left_anti").select(*_SIGNED)
+
+
+def affected(added: DataFrame, removed: DataFrame) -> DataFrame:
+    """path, depth of the directories above what was added or removed, which are there still."""
+    gone = removed.select("path").join(added.select("path"), "path", "left_anti")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("path"), n.alias("depth")))
+    changed = added.select("path", "depth").unionByName(removed.select("path", "depth")).where("depth > 1")
+    return changed.select(F.explode(above).alias("a")).select("a.path", "a.depth").distinct().join(gone, "path", "left_anti")
+
+
+def read_for(old: DataFrame, added: DataFrame, removed: DataFrame, dirs: DataFrame) -> DataFrame:
+    """What a refresh reads of a tree with signatures, and what is added: the children of affected directories, and those of them that
+    are at the top. held: their signature, null for added ones; own: whether they are affected."""
+    near = dirs.select(F.col("path").alias("of"))
+    kids = old.join(near, old.parent == near.of, "left_semi").unionByName(old.where("depth = 1").join(near, old.path == near.of, "left_semi"))
+    kids = kids.join(removed.select("path"), "path", "left_anti").select(*_SIGNED[:-1], F.col("signature").alias("held"))
+    kids = kids.unionByName(added.withColumn("held", F.lit(None).cast("string")))
+    own = dirs.select("path", F.lit(True).alias("own"))
+    return kids.join(own, "path", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+
+
+def refresh(old: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The rows (path, parent, name, depth, is_dir, signature) in which signatures differ after nodes were added and removed: added nodes
+    and the directories above a change.
+
+    Only these directories are folded again, level by level from the deepest, from the signatures of their children; what is read of the old
+    tree is their children, so work follows the changes and their depth, not the tree. A directory that loses all children is a leaf."""
+    dirs = materialise(affected(added, removed), "affected")
+    kids = materialise(read_for(old, added, removed, dirs), "kids")
+    leaf = F.sha1(raw_path(F.col("name")))
+    plain = kids.where("NOT own").withColumn("signature", F.coalesce("held", leaf))
+    out, below = plain.where("held IS NULL").select(*_SIGNED), None
+    for depth in range(dirs.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        children = plain.where(F.col("depth") == depth + 1).select("parent", "name", "signature")
+        if below is not None:
+            children = children.unionByName(below.select("parent", "name", "signature"))
+        level = kids.where(F.col("own") & (F.col("depth") == depth))
+        digests = _directories(children)
+        folded = level.join(digests, level.path == digests.of, "left").withColumn("signature", F.coalesce("digest", leaf))
+        below = materialise(folded.select(*_SIGNED), "level")
+        out = out.unionByName(below)
+    return out
+
+
+def refreshed(old: DataFrame, delta: DataFrame, removed: DataFrame) -> DataFrame:
+    """The tree with signatures after a refresh: old rows but for those that were removed or differ."""
+    gone = removed.select("path").unionByName(delta.select("path"))
+    return old.select(*_SIGNED).join(gone, "path", "left_anti").unionByName(delta)
+
+
 def duplicate_subtrees(signed: DataFrame) -> DataFrame:
     """signature, path of directories with the same signature, where no directory above is itself a repetition.
 

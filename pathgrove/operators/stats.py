@@ -9,6 +9,9 @@ from pathgrove.functions.values import path_id
 from pathgrove.sources.shared import materialise
 from pathgrove.sources.snapshot import Snapshot, checksum
 
+#: Files of one content that a task numbers at most.
+HOT = 100_000
+
 
 def file_stats(entries: DataFrame) -> DataFrame:
     """Counts of directories and files, and total, largest and mean size of regular files."""
@@ -34,16 +37,26 @@ def duplicate_files(snapshot: Snapshot) -> DataFrame:
     """grp, ord, hash, idx, path, size of files with the same content, without empty ones; groups are numbered by hash, from 0.
 
     The numbering counts groups of empty files too. Digests are spread evenly, so they are ranked within their first four hex digits
-    and each such part adds the count of those before it: only these (65,536 at most) are ever ordered in one task. Files are numbered
-    within ranges of (hash, idx), so a content of any number of files is spread over tasks; a range adds the files of those before it."""
+    and each such part adds the count of those before it: only these (65,536 at most) are ever ordered in one task. Files of a content
+    are numbered by a window, but for contents of over HOT files: these are numbered within ranges of (hash, idx), so that one is
+    spread over tasks, and a range adds the files of those before it."""
     hashed = snapshot.with_hashes()
     groups = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.max("size").alias("largest")).where("n > 1")
     groups = groups.withColumn("part", F.substring("hash", 1, 4))
     parts = groups.groupBy("part").agg(F.count("*").alias("own"))
     before = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("part").orderBy("hash")) - 1
-    numbered = groups.withColumn("nth", nth).join(F.broadcast(before), "part").where("largest > 0").select("hash", (F.col("before") + F.col("nth")).alias("grp"))
-    found = hashed.join(numbered, "hash").select("grp", "hash", "idx", "path", "size")
+    numbered = groups.withColumn("nth", nth).join(F.broadcast(before), "part").where("largest > 0").select("hash", "n", (F.col("before") + F.col("nth")).alias("grp"))
+    numbered = materialise(numbered, "numbered")  # a row per content that occurs more than once
+    found = hashed.join(numbered, "hash").select("grp", "hash", "idx", "path", "size", "n")
+    within = (F.row_number().over(Window.partitionBy("hash").orderBy("idx")) - 1).cast("long")
+    out = found.where(F.col("n") <= HOT).select("grp", within.alias("ord"), "hash", "idx", "path", "size")
+    if numbered.where(F.col("n") > HOT).isEmpty():
+        return out
+    return out.unionByName(_numbered_in_ranges(found.where(F.col("n") > HOT)))
+
+
+def _numbered_in_ranges(found: DataFrame) -> DataFrame:
     found = materialise(found.repartitionByRange("hash", "idx").withColumn("range", F.spark_partition_id()), "duplicates")
     ranges = found.groupBy("hash", "range").agg(F.count("*").alias("own"))
     earlier = F.sum("own").over(Window.partitionBy("hash").orderBy("range")) - F.col("own")  # a row per range

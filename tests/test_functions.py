@@ -49,7 +49,7 @@ def test_regular_expressions(spark):
     assert spark.createDataFrame([("É",)], "x string").select(F.col("x").rlike(patterns.re2_to_java("é", True))).first()[0]
 
 
-@pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)", r"(a)\1", "a++", "(", "a)", "[a", "[[:nope:]]", "a\\"])
+@pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)", r"(a)\1", "a++", "a**", "a*?*", "a{2}{3}", "a{2}*", "a+?{2}", "a???", "*a", "(+)", "a|?", "(?i)*", "a{3,2}", "a{1001}", "(", "a)", "[a", "[[:nope:]]", "a\\"])
 def test_rejected_expressions(pattern):
     with pytest.raises(patterns.PatternError):
         patterns.re2_to_java(pattern)

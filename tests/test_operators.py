@@ -45,6 +45,14 @@ def test_diff(make):
     assert not {p for _, p in codes(d.diff(make(LEFT), make(RIGHT, algo="sha256")))} & {"both/9.txt"}
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Ranges stay as many as there are shuffle partitions, however small."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("text", ["-+", "-m", "+s", "z", "+~"])
 def test_bad_filters(text):
     with pytest.raises(ValueError):
@@ -78,6 +86,17 @@ def test_duplicates_and_totals(make):
     assert stats.file_stats(snap.entries.limit(0)).first()["avg_size"] == 0
 
 
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_files_of_a_frequent_content(make, monkeypatch, many_ranges, hot):
+    """Contents above and below the size from which on they are numbered in ranges."""
+    monkeypatch.setattr(stats, "HOT", hot)
+    rng = random.Random(5)
+    rows = [(f"f{i:03}", 1, 0o644, None, rng.choice(["aa", "aa", "aa", "bb", "cc", "dd" + str(i)])) for i in range(150)]
+    got = sorted((r["grp"], r["ord"], r["hash"], r["path"]) for r in stats.duplicate_files(make(rows)).collect())
+    files = {h: sorted(r[0] for r in rows if r[4] == h) for h in ("aa", "bb", "cc")}
+    assert got == [(g, n, h, p) for g, h in enumerate(files) for n, p in enumerate(files[h])]
+
+
 def test_search_options(make):
     snap = make([("a/1.txt", 1500), ("a/2.TXT", 10), ("a", 0, "d"), ("b1a/blank.txt", 0), ("c/c.txt", 616)])
     found = lambda **k: {r["path"] for r in s.search(snap, *options.search_condition(now=T0, **k)).collect()}
@@ -111,14 +130,6 @@ def test_signature_goldens(make):
     assert got["a"] == "738f85b5fb947ee653004952949083d597e1da45" and got["a/b"] == "f08d52d8c5774306baf4203c859efb1666e18df6" and got["a/d"] == "c9fc6719efc1551cdcae31a81c1d251019ce08fe"
 
 
-@pytest.fixture
-def many_ranges(spark):
-    """Ranges stay as many as there are shuffle partitions, however small."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
 def test_intervals_against_recursion(spark, make, many_ranges):
     """Labels, implied parents and rendered lines of random trees that are cut into ranges at any place."""
     rng = random.Random(7)
@@ -140,6 +151,26 @@ def test_intervals_against_recursion(spark, make, many_ranges):
         assert intervals.labelled(make([(".", 0, "d")]).entries).count() == 0
 
 
+def test_refreshed_signatures_equal_a_full_fold(make):
+    """After random edits; what is read are children of directories above an edit."""
+    paths = {f"d{a}/e{b}/f{c}" for a in range(6) for b in range(6) for c in range(6)}
+    entries = lambda ps: make([(p, 0, "d") for p in sorted({q.rsplit("/", k)[0] for q in ps for k in range(1, q.count("/") + 1)})] + [(p, 1) for p in sorted(ps)]).entries
+    full = lambda ps: {(r["path"], r["signature"], r["is_dir"]) for r in merkle.signatures(intervals.labelled(entries(ps))).collect()}
+    old = merkle.materialise(merkle.signatures(intervals.labelled(entries(paths))), "old")
+    edits = [paths - {"d1/e1/f1"}, paths - {p for p in paths if p.startswith(("d2/e3", "d4"))} | {"d0/new/x/y", "top", "d5/e5/f5/deeper"}]
+    for after in edits:
+        after = {p for p in after if not any(q.startswith(p + "/") for q in after)}
+        added, removed = merkle.changes(old, t.nodes(entries(after)))
+        delta = merkle.refresh(old, added, removed)
+        assert {(r["path"], r["signature"], r["is_dir"]) for r in merkle.refreshed(old, delta, removed).collect()} == full(after)
+    added, removed = merkle.changes(old, t.nodes(entries(edits[0])))
+    dirs = merkle.affected(added, removed)
+    assert {r["path"] for r in dirs.collect()} == {"d1", "d1/e1"} and merkle.read_for(old, added, removed, dirs).count() == 1 + 6 + 5
+    assert merkle.refresh(old, added, removed).count() == 2
+    added, removed = merkle.changes(old, t.nodes(entries(paths)))
+    assert merkle.refresh(old, added, removed).count() == 0
+
+
 def test_a_rendered_subtree(make, many_ranges):
     tree = intervals.labelled(make([("a/x/1", 1), ("a/x/2", 1), ("a/y/3", 1), ("b", 1)]).entries)
     assert [r["line"] for r in t.lines(t.within(tree, "a")).orderBy("pre").collect()] == ["└── a", "    ├── x", "    │   ├── 1", "    │   └── 2", "    └── y", "        └── 3"]
