@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -28,9 +31,36 @@ def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
+    for written in _scratch.get()[-1:]:
+        written.append(out)
     return out
 
 
+_scratch: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written within are deleted at its end, so nothing that is read later may depend on them: what is to stay is written
+    with ``outlasting``."""
+    written: list[DataFrame] = []
+    token = _scratch.set((*_scratch.get(), written))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        release(*written)
+
+
+def outlasting(df: DataFrame, name: str) -> DataFrame:
+    """materialise, for a table that outlives the scratch that it is made in."""
+    token = _scratch.set(_scratch.get()[:-1])
+    try:
+        return materialise(df, name)
+    finally:
+        _scratch.reset(token)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that no later plan reads."""
     for df in tables:
