@@ -30,7 +30,9 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from pathgrove.sources.shared import outlasting, remove, scratch, shared_dir
 
 from .chat import batched
 from .common import bounded_batches, fresh, materialise
@@ -134,13 +136,20 @@ _KEY = [("k1", pa.int64()), ("k2", pa.int32())]
 
 
 def _texts(docs: DataFrame, parts: int) -> tuple[DataFrame, str]:
-    """The distinct texts (k1, k2, text, copies) as a table bucketed by its key, so that joins on it leave the texts where they are."""
+    """The distinct texts (k1, k2, text, copies) as a table bucketed by its key, so that joins on it leave the texts where they are. Its files
+    are in the shared folder; the catalogue only knows its buckets, until ``_dropped``."""
     name = f"pathgrove_texts_{uuid.uuid4().hex}"
     rows = docs.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    rows.write.bucketBy(parts, *KEY).option("compression", "zstd").saveAsTable(name)
+    path = f"{shared_dir(docs.sparkSession)}/{name}"
+    rows.write.format("parquet").option("path", path).bucketBy(parts, *KEY).option("compression", "zstd").saveAsTable(name)
     return docs.sparkSession.table(name), name
 
 
+def _dropped(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, f"{shared_dir(spark)}/{name}")
+
+
 def _twice(df: DataFrame, *columns: str) -> DataFrame:
     """The rows whose values in columns occur twice. Counted by partial aggregates; the values are a table of their own, so that Spark
     can split the join's partitions where a value is common."""
@@ -310,9 +319,10 @@ def repeated_passages(docs: DataFrame, bits: int = 64) -> DataFrame:
     rows = docs.select("doc_id", _text().alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"))
     texts, name = _texts(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     try:
-        cuts = materialise(cut_texts(texts, covered_intervals(texts, bits), False).drop("kept"), "cuts")
+        with scratch():
+            cuts = outlasting(cut_texts(texts, covered_intervals(texts, bits), False).drop("kept"), "cuts")
     finally:
-        spark.sql(f"DROP TABLE {name}")
+        _dropped(spark, name)
     return rows.select(F.col("doc_id").cast("long"), *KEY).join(cuts, KEY).drop(*KEY)
 
 
@@ -324,10 +334,11 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     texts, name = _texts(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     k1, k2, cut = (fresh(docs, c) for c in ("_k1", "_k2", "_cut"))
     try:
-        cuts = cut_texts(texts, covered_intervals(texts), True).where("n_removed > 0")
-        cuts = materialise(cuts.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(cut)), "cuts")
+        with scratch():
+            cuts = cut_texts(texts, covered_intervals(texts), True).where("n_removed > 0")
+            cuts = outlasting(cuts.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(cut)), "cuts")
     finally:
-        spark.sql(f"DROP TABLE {name}")
+        _dropped(spark, name)
     joined = docs.withColumns({k1: F.xxhash64(_text()), k2: F.hash(_text())}).join(cuts, [k1, k2], "left")
     out = {"text": F.coalesce(cut, F.col("text").cast("string"))}
     if "n_chars" in docs.columns:

@@ -12,8 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pathgrove.llm import chat, fill_middle, media, queries, simhash, source_audit
+from pathgrove.llm import chat, fill_middle, media, queries, repeats, simhash, source_audit
 from pathgrove.llm.common import materialise
+from pathgrove.sources import shared
 
 from .test_operators import CLASH, DOCS, none, odd, odd_rows, rows_of, same  # noqa: F401
 
@@ -271,3 +272,12 @@ def test_hostile_media(spark):
     assert len(media_row(spark, base + moof(50, 2**32 - 1, 0x10000))["keyframe_ranges"]) == 1
     assert "outside" in media_row(spark, base + moof(-100_000, 3, 0))["error"]
     assert media_row(spark, random.Random(3).randbytes(5000))["error"]
+
+
+def test_repeats_leave_one_table(spark, odd, tmp_path, monkeypatch):  # noqa: F811
+    """Of all tables that are written on the way only the one that the result reads is left, in the shared folder."""
+    for module in (shared, repeats):
+        monkeypatch.setattr(module, "shared_dir", lambda _: str(tmp_path))
+    for operator in (repeats.cut_documents, repeats.repeated_passages):
+        assert operator(odd).count() == len(odd_rows())
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["cuts", "cuts"]
