@@ -10,7 +10,7 @@
 4. The plan is a bounded table of runs (length, first rank, sequences, copies, offset). Pieces are ranked per length,
    with the length split over buckets so that a common length doesn't land in one task, and look up their place.
 
-Null text: only the end id. Repeated rows and ties: a piece each; equal pieces are interchangeable. Empty table: no rows.
+Null text: only the end id. Null doc_id: kept as null, packed like any other. Repeated rows and ties: a piece each; equal pieces are interchangeable. Empty table: no rows.
 The document table may hold other columns; they are ignored.
 """
 

@@ -10,7 +10,8 @@ and other characters, if no piece of the vocabulary mixes them), each distinct p
 bounded cache, and characters outside the vocabulary become byte tokens and are barriers too.
 
 Normalisation is the model's own for this kind of model: a space in front, spaces as U+2581, nothing else changed.
-Null or empty text: no ids but the end id. Very long texts are encoded whole.
+Null or empty text: no ids but the end id. Null doc_id: kept as null. Very long texts are encoded whole. Repeated rows get equal rows each.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

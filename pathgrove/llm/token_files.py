@@ -10,7 +10,7 @@ doc_ids, and a doc_id with very many rows is split over files. The number of ids
 base (a running sum over one total per file) plus the position kept in the file.
 
 Null text: only the end id. Null doc_id: sorts first. Repeated rows: one document each. Empty table: no rows. A very long
-document makes a chunk of its own.
+document makes a chunk of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
