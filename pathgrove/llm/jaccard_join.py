@@ -12,13 +12,20 @@ With threshold T and radius r = 1 - T, two documents link when their distance is
 4. Sub-regions. Distances between unrelated texts are all near 1, so no document divides them; a region is divided by rare
    shingles, in the order of (count in the sample, hash). A point of n shingles goes to the sub-regions of its first
    n - ceil(T n) + 1 shingles: two linked points share one of these. Two points of each sub-region are its pivots, and all others
-   are tested against them. Sub-regions whose points are then all connected fall away.
-5. In the others, points of different components meet if their places in the order allow a link: the first shingle they
-   share is at places i and j, so they share at most min(n - i, m - j); and if sketches of MARKS bits do.
-6. Recursion. In sub-regions of over CROWD points, each point has its exact distance to a document of the sub-region, and only points
-   meet whose distances differ by at most r (triangle inequality).
-7. Pairs that meet are tested with odd sketches (parities of hashed shingles), whose Hamming distance never exceeds the
-   symmetric difference, and pairs that pass are compared by their words.
+   are tested against them, if the places of the shingle allow a link. Sub-regions whose points are then all connected fall away.
+   Points with less than T / (1 - T) shingles link with no other set and go nowhere.
+5. Rings. In sub-regions of over CROWD points, each point has its exact distance to a document of the sub-region. Rings of the
+   radius' width around that document are regions of their own, and each point is replicated to the next ring outwards, as by the
+   triangle inequality linked points are at most one ring apart.
+6. Recursion. A sub-region of over FEW points is divided again by the next shingle that its points share: if the k-th shared
+   one is at place i of a point, the next is before place n - ceil(T n) + k + 1. That is done if WORTH times the rows that it
+   deals out are less than the points' pairs, and up to DEEP times, so the pairs that are left grow with the points and not with their square,
+   but for points that have over DEEP of their rarest shingles in common. Points with ceil(T n) <= k needn't share more than k, so
+   these also meet each other before the division.
+7. In what isn't divided, points of different components meet if the places of their k-th shared shingle, i and j, allow a link
+   (they share at most k - 1 + min(n - i, m - j)), and if their exact distances (step 5) and sketches of MARKS bits do. Pairs that meet are
+   tested with odd sketches (parities of hashed shingles), whose Hamming distance never exceeds the symmetric difference, and
+   pairs that pass are compared by their words.
 8. Components of the links, labelled by the smallest doc_id.
 
 The sample sets the order of shingles and the pivots, so it affects speed only, never results.
@@ -44,7 +51,7 @@ from .chat import batched
 from .common import bounded_batches, held, materialise, release
 from .components import components
 
-SAMPLE, COMMON, CUT, CROWD, MARKS, APART = 12_000, 300_000, 0.7, 64, 512, 0.3
+SAMPLE, COMMON, CUT, CROWD, FEW, WORTH, DEEP, MARKS, APART = 12_000, 300_000, 0.7, 64, 12, 4, 4, 512, 0.3
 PIVOT_SHINGLES = (8, 4096)  # sizes of the documents that may be pivots: bounds what is broadcast
 
 
@@ -125,9 +132,9 @@ class Space:
         return at, self.tokens[at] == h
 
     def first_keys(self, h: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """The shingles of the sub-regions that a point goes to, in order."""
+        """The shingles of the sub-regions that a point goes to, and DEEP more, in order."""
         n = len(h)
-        keep = n + (-n * self.num // self.den) + 1
+        keep = n + (-n * self.num // self.den) + 1 + DEEP
         count = np.where(there, self.counts[at] if len(self.counts) else 0, 0)
         return h[np.lexsort((h, count))[:keep]]
 
@@ -253,10 +260,24 @@ def _labelled(points: DataFrame, known: DataFrame) -> DataFrame:
     return points.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
 
-def _shared(own: DataFrame) -> DataFrame:
-    """The rows (region, key, node, n, pos, comp, size) of sub-regions whose points aren't all of one component yet."""
-    shared = own.groupBy("region", "key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return materialise(own.join(shared.select("region", "key", "size"), ["region", "key"]), "members")
+def _least(num: int, den: int):
+    """ceil(T n): how many shingles a linked point shares at least."""
+    return F.expr(f"(n * {num} + {den - 1}) div {den}")
+
+
+def _last(level: int, num: int, den: int):
+    """Number of shingles among which the ``level``-th shared one is."""
+    return F.col("n") - F.greatest(_least(num, den), F.lit(level)) + level
+
+
+def _shared(own: DataFrame, level: int, num: int, den: int) -> DataFrame:
+    """The rows of own (region, key, node, n, pos, comp, ...) of sub-regions whose points aren't all of one component yet, with the
+    number of points as size, and whether the sub-region is to be divided."""
+    reach = F.greatest(_last(level + 1, num, den) - F.col("pos") - 1, F.lit(0))
+    shared = own.groupBy("region", "key").agg(F.count("*").alias("size"), F.sum(reach).alias("reach"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    divide = (F.col("size") > FEW) & (2 * WORTH * F.col("reach") < F.col("size") * F.col("size")) & F.lit(level <= DEEP)
+    shared = shared.where("low < high").select("region", "key", "size", divide.alias("divide"))
+    return materialise(own.join(shared, ["region", "key"]), "members")
 
 
 def _sized(num: int, den: int):
@@ -264,24 +285,28 @@ def _sized(num: int, den: int):
     return (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
 
 
-def _meetings(cells: DataFrame, num: int, den: int, window: float | None = None) -> DataFrame:
-    """The pairs (a, b) of points of a sub-region (region, key) that may link through its shingle. cells: also node, n, pos, comp,
-    marks and, with ``window``, distance (to the sub-region's pivot). The smaller point of a pair must have the shingle among its first
-    n - ceil(2 T n / (1 + T)) + 1."""
-    early = cells.where((num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n"))
-    shared = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+def _placed(level: int, num: int, den: int):
+    """Whether the places of x's and y's ``level``-th shared shingle allow a link."""
+    shared = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + (level - 1)
+    return (num + den) * shared >= num * (F.col("x.n") + F.col("y.n"))
+
+
+def _meetings(cells: DataFrame, level: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of points of a sub-region that may link through its shingle as their ``level``-th shared one. cells: region, key, node,
+    n, pos, comp, marks, distance (null: not known) and guest (replicated to this ring). The smaller point of a pair must have the
+    shingle among its first n - ceil(2 T n / (1 + T)) + level."""
+    early = cells.where((num + den) * (F.col("n") - F.col("pos") + level - 1) >= 2 * num * F.col("n"))
     fits = (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.comp") != F.col("y.comp")) & _sized(num, den)
-    fits &= (num + den) * shared >= num * (F.col("x.n") + F.col("y.n"))
-    if window is not None:
-        fits &= F.abs(F.col("x.distance") - F.col("y.distance")) <= window + 1e-9
+    fits &= _placed(level, num, den) & ~(F.col("x.guest") & F.col("y.guest"))
+    fits &= F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - num / den + 1e-9, F.lit(True))
     apart = [F.bit_count(F.col("x.marks")[i].bitwiseXOR(F.col("y.marks")[i])) for i in range(MARKS // 64)]
     fits &= functools.reduce(lambda p, q: p + q, apart) * (den + num) <= (den - num) * (F.col("x.n") + F.col("y.n"))
     met = early.alias("x").join(cells.alias("y"), (F.col("x.region") == F.col("y.region")) & (F.col("x.key") == F.col("y.key")) & fits)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def _crowded(docs: DataFrame, classes: DataFrame, members: DataFrame, space, num: int, den: int) -> DataFrame:
-    """Pairs of the sub-regions of over CROWD points (step 6)."""
+def _rings(docs: DataFrame, classes: DataFrame, members: DataFrame, space, num: int, den: int) -> DataFrame:
+    """The points of crowded sub-regions, dealt to rings around one of their documents (step 5)."""
     pivots = materialise(members.groupBy("region", "key").agg(F.min("node").alias("pivot")), "pivots")
     zones = materialise(members.join(pivots, ["region", "key"]).select("pivot", "node").distinct(), "zones")
     wanted = zones.select("node").distinct()  # a pivot is a point of its own zone
@@ -303,10 +328,44 @@ def _crowded(docs: DataFrame, classes: DataFrame, members: DataFrame, space, num
     sets = materialise(texts.join(prints, "fp").where("doc_id = node").groupBy("node").agg(F.first("h").alias("h")), "shingles")
     own = sets.select(F.col("node").alias("pivot"), F.col("h").alias("g"))
     measured = zones.join(sets, "node").join(own, "pivot").select("pivot", "node", "h", "g").mapInArrow(distances, "pivot long, node long, distance double")
-    cells = members.join(pivots, ["region", "key"]).join(materialise(measured, "distances"), ["pivot", "node"])
-    pairs = materialise(_meetings(cells, num, den, 1 - num / den).distinct(), "crowded")
-    release(zones, sets)
-    return pairs
+    measured = materialise(measured, "distances")
+    ring = F.floor(F.col("distance") / (1 - num / den + 1e-6))
+    dealt = members.drop("distance", "guest").join(pivots, ["region", "key"]).join(measured, ["pivot", "node"])
+    dealt = dealt.select("*", F.posexplode(F.array(ring, ring + 1)).alias("next", "ring"))
+    dealt = materialise(dealt.withColumn("region", F.xxhash64("region", "key", "ring")).withColumn("guest", F.col("next") == 1).select(members.columns), "rings")
+    release(pivots, zones, sets, measured)
+    return dealt
+
+
+def _remaining(docs: DataFrame, classes: DataFrame, members: DataFrame, space, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of members (region, key, node, n, pos, comp) that may link (steps 5 to 7)."""
+    own = members.withColumns({"distance": F.lit(None).cast("double"), "guest": F.lit(False)})
+    columns = own.columns
+    rest = _shared(own, 1, num, den)
+    crowded = rest.where(F.col("size") > CROWD).select(columns)
+    if crowded.limit(1).count():
+        rings = _rings(docs, classes, crowded, space, num, den)
+        parts = _shared(rings, 1, num, den)
+        rest, whole = rest.where(F.col("size") <= CROWD).union(parts.select(rest.columns)), [rest, rings, parts]
+    else:
+        whole = [rest]
+    met = None
+    for level in range(1, DEEP + 2):
+        cells = rest.join(classes.select("node", "marks"), "node").where(~F.col("divide") | (_least(num, den) <= level))
+        pairs = materialise(_meetings(cells, level, num, den).distinct(), "met")
+        met = pairs if met is None else met.union(pairs)
+        divided = rest.where("divide")
+        if level > DEEP or not divided.limit(1).count():
+            break
+        keyed = divided.join(classes.select("node", "keys"), "node").withColumn("past", F.col("pos") + 1)
+        rows = keyed.withColumn("more", F.slice("keys", F.col("past") + 1, F.greatest(_last(level + 1, num, den) - F.col("past"), F.lit(0)).cast("int")))
+        rows = rows.withColumn("region", F.xxhash64("region", "key")).drop("key", "pos", "keys")
+        rows = rows.select("*", F.posexplode("more").alias("at", "key")).withColumn("pos", F.col("past") + F.col("at")).select(columns)
+        rest = _shared(rows, level + 1, num, den)
+        release(*whole)
+        whole = [rest]
+    release(*whole)
+    return met
 
 
 def _links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, pairs: DataFrame) -> DataFrame:
@@ -353,26 +412,24 @@ def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100
     direct = materialise(direct.select(F.least("node", "home").alias("a"), F.greatest("node", "home").alias("b")).distinct(), "pivot-links")
     first = components(direct)
 
-    members = _labelled(classes.select("node", "n", "keys", "regions"), first).select("node", "n", "keys", "comp", F.explode("regions").alias("region"))
-    members = _shared(members.select("region", "node", "n", "comp", F.posexplode("keys").alias("pos", "key")))
+    may = classes.where(den * F.col("n") >= num * (F.col("n") + 1))
+    members = _labelled(may.select("node", "n", "keys", F.col("regions").cast("array<long>").alias("regions")), first).select("node", "n", "keys", "comp", F.explode("regions").alias("region"))
+    firsts = F.slice("keys", F.lit(1), _last(1, num, den).cast("int"))
+    members = _shared(members.select("region", "node", "n", "comp", F.posexplode(firsts).alias("pos", "key")), 1, num, den)
     test = functools.partial(_links, docs, classes, size, num, den)
 
     # the first and last point of a sub-region are its pivots: a group of copies is linked here, by a pair per point and pivot
-    point = F.struct("node", "n", "comp")
+    point = F.struct("node", "n", "comp", "pos")
     heads = members.groupBy("region", "key").agg(F.explode(F.array(F.min(point), F.max(point))).alias("y")).select("region", "key", "y.*")
     same = (F.col("x.region") == F.col("y.region")) & (F.col("x.key") == F.col("y.key"))
-    stars = members.alias("x").join(heads.alias("y"), same & (F.col("x.comp") != F.col("y.comp")) & _sized(num, den))
+    stars = members.alias("x").join(heads.alias("y"), same & (F.col("x.comp") != F.col("y.comp")) & _sized(num, den) & _placed(1, num, den))
     stars = materialise(stars.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "stars")
     linked = direct.union(test(stars))
 
     # then all others that are not connected yet
-    rest = _shared(_labelled(members.select("region", "key", "node", "n", "pos"), components(linked)))
-    release(members)
-    cells = rest.join(classes.select("node", "marks"), "node")
-    met = _meetings(cells.where(F.col("size") <= CROWD), num, den)
-    met = met.union(_crowded(docs, classes, cells.where(F.col("size") > CROWD), space, num, den))
+    met = _remaining(docs, classes, _labelled(members.select("region", "key", "node", "n", "pos"), components(linked)), space, num, den)
     labels = components(linked.union(test(met.distinct().join(stars, ["a", "b"], "left_anti"))))
-    release(rest, stars)
+    release(members, stars)
     numbered = classes.select("fp", "node").join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(numbered, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -226,6 +226,8 @@ def test_jaccard_join(spark, odd, none, size, num):
 @pytest.mark.parametrize("pivots", [0, 3])
 def test_crowded_regions_recurse(spark, monkeypatch, pivots):
     monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
+    monkeypatch.setattr(jaccard_join, "WORTH", 0)
     rng = random.Random(9 + pivots)
     shared = [" ".join(f"{c}{k}" for k in range(60)) for c in "st"]
     rows = [(i, shared[i % 3 == 0] + " " + " ".join(f"t{rng.randint(0, 3)}" for _ in range(rng.randint(0, 14)))) for i in range(60)]
@@ -235,11 +237,57 @@ def test_crowded_regions_recurse(spark, monkeypatch, pivots):
         rows.append((i, " ".join(changed)))
         if i % 7 == 0:
             rows.append((i + 1000, " ".join(changed[:-3])))
-    seen = []
-    crowded = jaccard_join._crowded
-    monkeypatch.setattr(jaccard_join, "_crowded", lambda *args: seen.append(args[2].count()) or crowded(*args))
+    seen, levels = [], []
+    rings, meetings = jaccard_join._rings, jaccard_join._meetings
+    monkeypatch.setattr(jaccard_join, "_rings", lambda *args: seen.append(args[2].count()) or rings(*args))
+    monkeypatch.setattr(jaccard_join, "_meetings", lambda cells, level, *args: levels.append(level) or meetings(cells, level, *args))
     assert same(rows_of(jaccard_join.link_documents(spark.createDataFrame(rows, DOCS), 3, 90, 100, pivots=pivots)), brute_components(rows, 3, 90, 100))
-    assert seen[0] > 0
+    assert seen[0] > 0 and max(levels) > 2
+
+
+@pytest.mark.parametrize("num", [50, 80])
+def test_short_texts_recurse(spark, monkeypatch, num):
+    """Points that needn't share a second or third shingle are not lost when their sub-region is divided by it."""
+    monkeypatch.setattr(jaccard_join, "FEW", 1)
+    monkeypatch.setattr(jaccard_join, "WORTH", 0)
+    rng = random.Random(num)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 9)))) for i in range(150)]
+    assert same(rows_of(jaccard_join.link_documents(spark.createDataFrame(rows, DOCS), 2, num, 100, pivots=0)), brute_components(rows, 2, num, 100))
+
+
+def template_rows(count, values, seed=1):
+    """Documents of one template whose three slots vary: any two are near, and hardly any link."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        words = [f"w{k}" for k in range(60)]
+        for slot in (10, 30, 50):
+            words[slot] = f"s{slot}v{rng.randint(0, values)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def met_pairs(spark, monkeypatch, rows):
+    """Pairs that sub-regions of link_documents enumerate, before any condition on them."""
+    seen = []
+    meetings = jaccard_join._meetings
+
+    def counted(cells, *args):
+        seen.append(cells.groupBy("region", "key").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0)
+        return meetings(cells, *args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jaccard_join, "_meetings", counted)
+        found = rows_of(jaccard_join.link_documents(spark.createDataFrame(rows, DOCS), 3, 90, 100, pivots=4))
+    return sum(seen), found
+
+
+def test_templates_meet_in_proportion(spark, monkeypatch):
+    small, large = template_rows(400, 20), template_rows(1600, 20)
+    few, found = met_pairs(spark, monkeypatch, small)
+    many, _ = met_pairs(spark, monkeypatch, large)
+    assert same(found, brute_components(small, 3, 90, 100))
+    assert many <= 4**1.2 * max(few, len(small))
 
 
 def test_sketch_distance_is_a_lower_bound():
