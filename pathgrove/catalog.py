@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathgrove.functions import modes
-from pathgrove.operators import diff as d, export, intervals, merkle, search as s, stats, tree as t
+from pathgrove.operators import diff as d, export, intervals, merkle, name_index, search as s, stats, tree as t
 from pathgrove.plans import dealing
 from pathgrove.plans.options import search_condition
 from pathgrove.sources import derived, snapshot as store
@@ -181,6 +181,13 @@ def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.found_lines(s.search(snapshot, s.regex("^src1/") & s.size("+2k"), with_hash=True), snapshot.root).select("line")
 
 
+@query(f"WITH {V1} SELECT id, path, size FROM e WHERE regexp_matches(path, '(^|/)[^/]+17\\.txt$')")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search by base name through the index of names, which is built first."""
+    index = name_index.build(_v1(spark, sf_dir).entries, f"{shared_dir(spark)}/names-{uuid.uuid4().hex}")
+    return name_index.find(index, "?*17.TXT", insensitive=True).select("id", "path", "size")
+
+
 @query(f"""WITH {V1} SELECT count(*) FILTER (mode >= 2147483648) AS dir_count, count(*) FILTER (mode < 2147483648) AS file_count,
   coalesce(sum(size) FILTER (mode < 2147483648), 0)::BIGINT AS total_size, coalesce(max(size) FILTER (mode < 2147483648), 0)::BIGINT AS max_size,
   (sum(size) FILTER (mode < 2147483648) // count(*) FILTER (mode < 2147483648))::BIGINT AS avg_size FROM e""")

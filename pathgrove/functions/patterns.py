@@ -163,6 +163,29 @@ def glob_to_java(pattern: str) -> str:
     return "".join(out) + r")\z"
 
 
+def glob_runs(pattern: str, base_only: bool = True) -> list[str]:
+    """The literal runs of a shell pattern that the base name of every match contains: those behind the last character that may be a "/"."""
+    runs, i = [""], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "[":
+            _, i = _glob_class(pattern, i + 1)
+            runs = [*runs, ""] if base_only else [""]  # a class may match "/", but not in a base name
+            continue
+        if c == "\\":
+            i += 1
+            c = pattern[i : i + 1]
+            runs[-1] += c
+        elif c in "*?":
+            runs.append("")
+        else:
+            runs[-1] += c
+        if c == "/":
+            runs = [""]
+        i += 1
+    return [r for r in runs if r]
+
+
 def _literal(c: str) -> str:
     return "\\" + c if c.isascii() and not c.isalnum() else c
 
