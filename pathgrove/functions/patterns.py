@@ -26,6 +26,9 @@ INSIDE = {"s": SPACE, "S": f"[^{SPACE}]", "v": r"\x0B"}
 ALIKE, ANCHORS = "aftnrdDwW", "Az"
 
 
+REPETITION = re.compile(r"(?:[*+?]|\{(\d+)(?:(,)(\d*))?\})\??")
+
+
 class PatternError(ValueError):
     """A pattern that its syntax doesn't allow."""
 
@@ -36,7 +39,7 @@ def re2_to_java(pattern: str, insensitive: bool = False) -> str:
     before = "nothing"  # what a repetition would repeat: nothing, an atom, or a repetition
     while i < len(pattern):
         c, two = pattern[i], pattern[i : i + 2]
-        if repeated := re.match(r"(?:[*+?]|\{(\d+)(?:(,)(\d*))?\})\??", pattern[i:]):
+        if repeated := REPETITION.match(pattern, i):
             if before != "atom":
                 raise PatternError("nothing to repeat" if before == "nothing" else "a repetition can't be repeated")
             low, high = int(repeated[1] or 0), int(repeated[3] or 0)
@@ -91,6 +94,57 @@ def re2_to_java(pattern: str, insensitive: bool = False) -> str:
     return "".join(out)
 
 
+def regex_needs(pattern: str, least: int = 1) -> list[frozenset[str]]:
+    """What the path of every match of an RE2 pattern contains, whatever its case: of each set at least one of the texts, within one name.
+    Texts are ASCII, in lower case, without "/", and have at least ``least`` characters."""
+    re2_to_java(pattern)  # an error if it isn't a pattern
+    return _needs(pattern, 0, least)[0]
+
+
+def _needs(pattern: str, i: int, least: int) -> tuple[list[frozenset[str]], int]:
+    """The needs of the alternatives from i to the ")" that ends them, and where that is."""
+    branches: list[list[frozenset[str]]] = [[]]
+    run = ""
+    while i <= len(pattern):
+        c, inner, literal = pattern[i : i + 1], [], ""
+        if c in ("", "|", ")"):
+            end = i + 1
+        elif c == "(":
+            head = re.match(r"\((?:\?(?:P?<\w+>|[imsU-]*([:)])))?", pattern[i:])
+            end = i + len(head[0])
+            if head[1] != ")":  # else flags for what follows
+                inner, end = _needs(pattern, end, least)
+                end += 1
+        elif c == "[":
+            end = _class(pattern, i)[1]
+        elif pattern.startswith("\\Q", i):
+            end = pattern.find("\\E", i)
+            end = len(pattern) if end < 0 else end + 2
+        elif c == "\\":
+            end = _escape(pattern, i, OUTSIDE, ALIKE + ANCHORS)[1]
+            literal = pattern[i + 1] if not pattern[i + 1].isalnum() else ""
+        else:
+            end = i + 1
+            literal = c if c.isascii() and c not in ".^$" else ""
+        repeated = REPETITION.match(pattern, end) if c not in ("", "|", ")") else None
+        if repeated:
+            end = repeated.end()
+            if repeated[0][0] in "*?" or repeated[1] and not int(repeated[1]):
+                inner, literal = [], ""
+        run += literal.lower()
+        if repeated or not literal:
+            branches[-1] += [frozenset([name]) for name in run.split("/") if len(name) >= least] + inner
+            run = ""
+        if c == "|":
+            branches.append([])
+        elif c in ("", ")"):
+            break
+        i = end
+    if len(branches) > 1 and all(branches):  # one need of each branch, the longest
+        return [frozenset().union(*(max(b, key=lambda need: (min(map(len, need)), -len(need))) for b in branches))], i
+    return branches[0] if len(branches) == 1 else [], i
+
+
 def _escape(pattern: str, i: int, other: dict[str, str], alike: str) -> tuple[str, int]:
     """The escape that starts at i, and where it ends."""
     c = pattern[i + 1 : i + 2]
