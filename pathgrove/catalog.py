@@ -188,11 +188,11 @@ def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_index.find(index, "?*17.TXT", insensitive=True).select("id", "path", "size")
 
 
-@query(f"WITH {V1} SELECT id, path, size FROM e WHERE regexp_matches(path, '(^|/)src1/[^/]+/[0-9]*317\.txt$') OR regexp_matches(path, '/42.*\.txt$')")
+@query(f"WITH {V1} SELECT id, path, size FROM e WHERE regexp_matches(path, '(^|/)src1/[^/]+/[0-9]*[37]17\\.txt$') OR regexp_matches(path, '/8[0-9]17\\.txt$')")
 def search_indexed_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search by regular expression through the index of names, which is built first."""
     index = name_index.build(_v1(spark, sf_dir).entries, f"{shared_dir(spark)}/names-{uuid.uuid4().hex}")
-    return name_index.find_regex(index, r"(^|/)SRC1/[^/]+/[0-9]*317\.TXT$|/42.*\.txt$", insensitive=True).select("id", "path", "size")
+    return name_index.find_regex(index, r"(^|/)SRC1/[^/]+/[0-9]*(317|717)\.TXT$|/8[0-9]17\.txt$", insensitive=True).select("id", "path", "size")
 
 
 @query(f"""WITH {V1} SELECT count(*) FILTER (mode >= 2147483648) AS dir_count, count(*) FILTER (mode < 2147483648) AS file_count,
