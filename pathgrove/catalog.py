@@ -13,7 +13,7 @@ from pathgrove.operators import diff as d, export, intervals, merkle, name_index
 from pathgrove.plans import dealing
 from pathgrove.plans.options import search_condition
 from pathgrove.sources import derived, snapshot as store
-from pathgrove.sources.shared import shared_dir
+from pathgrove.sources.shared import materialise, shared_dir
 
 NOW = dt.datetime(2024, 3, 31, 12, 0, 0)
 QUERIES: dict = {}
@@ -426,7 +426,7 @@ def merkle_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {V2} SELECT * FROM allsig")
 def merkle_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of the tree from those of an earlier one, which lacked some users and had others twice."""
-    tree = derived.events_tree(spark, sf_dir)
+    tree = materialise(derived.events_tree(spark, sf_dir).select("idx", "path", "mode"), "tree")
     user = F.get(F.split("path", "/"), F.lit(1)).cast("int")
     twice = tree.where(user % 50 == 9).withColumn("path", F.regexp_replace("path", "^(live|backup)/", "$1/copy-"))
     earlier = merkle.signatures(intervals.labelled(tree.where(user.isNull() | (user % 50 != 7)).unionByName(twice)))

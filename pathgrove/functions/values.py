@@ -101,6 +101,8 @@ def path_of(raw: bytes) -> str:
 
 
 def raw_of(path: str) -> bytes:
+    if path.isascii():
+        return path.encode()
     return "".join(chr(ord(c) - KEPT + 0xDC00) if KEPT + 0x80 <= ord(c) <= KEPT + 0xFF else c for c in path).encode("utf-8", "surrogateescape")
 
 

@@ -3,8 +3,8 @@
 Then a subtree is a range of places, and what is above a node are the intervals around its place: neither needs the paths of ancestors.
 
 Paths are sorted once, as lists of names, over range partitions. A task goes through its range with a stack of one open node per
-depth: a path gives the implied parents that it doesn't share with the path before it, so every node comes out once, and closes the
-intervals that it isn't in. What is open at the ends of ranges is settled from small tables of a row per range and depth.
+depth: a path gives the implied parents that it doesn't share with the path before it, and closes the intervals that it isn't in. What
+is repeated at the beginnings of ranges or open at their ends is settled from small tables of a row per range and depth.
 """
 
 from __future__ import annotations
@@ -20,6 +20,11 @@ def parts_of(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
 
 
+def listed(columns) -> list[list]:
+    """Columns of a batch that hold no nulls, as lists."""
+    return [c.to_numpy(zero_copy_only=False).tolist() for c in columns]
+
+
 def _before(per_range: DataFrame, value: Column) -> DataFrame:
     """range, before: value folded over the ranges in front of each, for tables of a row per range."""
     return per_range.select("range", value.over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
@@ -28,15 +33,24 @@ def _before(per_range: DataFrame, value: Column) -> DataFrame:
 _NODES = pa.schema([("range", pa.int32()), ("within", pa.int64()), ("ends", pa.int64()), ("path", pa.string()), ("depth", pa.int32()), ("is_dir", pa.bool_()), ("implied", pa.bool_())])
 
 
+def _key(path: Column) -> Column:
+    """A text that sorts as the list of a clean path's names does: names end in the least character, which is escaped inside of them."""
+    return F.replace(F.replace(F.replace(path, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1")), F.lit("/"), F.lit("\0"))
+
+
+def _of_key(key: Column) -> Column:
+    return F.replace(F.replace(F.replace(key, F.lit("\0"), F.lit("/")), F.lit("\1\1"), F.lit("\0")), F.lit("\1\2"), F.lit("\1"))
+
+
 def _walked(batches):
-    """The nodes of rows (range, path, is_dir, behind) in order of range and names, when their intervals end: their place within the range
-    and that of the last node below, null for those that are open at the end of the range. behind: the path in front of a range, at its
-    first row."""
+    """The nodes of rows (range, path, is_dir) in order of range and names, when their intervals end: their place within the range and
+    that of the last node below, null for those that are open at the end of the range. A range begins with all that is above its first
+    row, even if a range in front has it too."""
     stack, done, of, place, before = [], [], None, 0, []  # stack: (range, within, path, depth, is_dir, implied) of the open nodes
 
     def close(ends):
-        range_, within, *rest = stack.pop()
-        done.append((range_, within, ends, *rest))
+        range_, within, path, depth, is_dir, implied = stack.pop()
+        done.append((range_, within, ends, path, depth, is_dir, implied))
 
     def passed():
         columns = zip(*done, strict=True) if done else [()] * len(_NODES)
@@ -45,18 +59,24 @@ def _walked(batches):
         return out
 
     for b in batches:
-        for range_, path, is_dir, behind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for range_, path, is_dir in zip(*listed(b.columns), strict=True):
             parts = path.split("/")
             if range_ != of:
                 while stack:
                     close(None)
-                of, place, before = range_, 0, behind.split("/") if behind else []
-            alike = next((i for i, (x, y) in enumerate(zip(parts, before)) if x != y), min(len(parts), len(before)))
+                of, place, before = range_, 0, []
+            alike = 0
+            for x, y in zip(parts, before):
+                if x != y:
+                    break
+                alike += 1
             while stack and stack[-1][3] > alike:
                 close(place)
-            for depth in range(alike + 1, len(parts) + 1):
-                place, own = place + 1, depth == len(parts)
-                stack.append((range_, place, "/".join(parts[:depth]), depth, own and is_dir, not own))
+            for depth in range(alike + 1, len(parts)):
+                place += 1
+                stack.append((range_, place, "/".join(parts[:depth]), depth, False, True))
+            place += 1
+            stack.append((range_, place, path, len(parts), is_dir, False))
             before = parts
         yield passed()
     while stack:
@@ -69,24 +89,25 @@ def labelled(entries: DataFrame, only_dirs: bool = False) -> DataFrame:
     rows = entries.where(F.col("path") != ".").groupBy("path").agg(F.max_by("mode", "idx").alias("mode"))
     if only_dirs:
         rows = rows.where(is_dir(F.col("mode")))
-    rows = rows.select(parts_of(F.col("path")).alias("parts"), is_dir(F.col("mode")).alias("is_dir"))
-    rows = rows.where(F.size("parts") > 0).groupBy("parts").agg(F.max("is_dir").alias("is_dir"))  # a//b and a/b are one node
-    ranged = materialise(rows.repartitionByRange("parts").withColumn("range", F.spark_partition_id()), "ranged")
-    bounds = ranged.groupBy("range").agg(F.min("parts").alias("start"), F.max("parts").alias("end"))
-    bounds = bounds.withColumn("before", F.max("end").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
-    given = ranged.join(F.broadcast(bounds.select("range", "start", "before")), "range").withColumn("behind", F.when(F.col("parts") == F.col("start"), F.array_join("before", "/")))
-    given = given.repartition("range").sortWithinPartitions("range", "parts").select("range", F.array_join("parts", "/").alias("path"), "is_dir", "behind")
+    rows = rows.select(F.array_join(parts_of(F.col("path")), "/").alias("clean"), is_dir(F.col("mode")).alias("is_dir")).where("clean <> ''")
+    # a//b and a/b are one node: equal keys are in one range
+    rows = rows.select(_key(F.col("clean")).alias("key"), "is_dir").repartitionByRange("key").groupBy("key").agg(F.max("is_dir").alias("is_dir"))
+    given = rows.withColumn("range", F.spark_partition_id()).sortWithinPartitions("key").select("range", _of_key(F.col("key")).alias("path"), "is_dir")
     walked = materialise(given.mapInArrow(_walked, "range int, within long, ends long, path string, depth int, is_dir boolean, implied boolean"), "walked")
-    release(ranged)
 
-    counts = walked.groupBy("range").agg(F.count("*").alias("own"))
-    offsets = F.broadcast(_before(counts, F.sum("own")).select("range", F.coalesce("before", F.lit(0)).alias("offset")))
-    placed = walked.join(offsets, "range").withColumn("pre", F.col("offset") + F.col("within"))
+    # a range repeats what is above its first row; of that, what is above the end of the range in front is left out
+    counts = walked.groupBy("range").agg(F.max("within").alias("own"))
+    bounds = walked.join(F.broadcast(counts), "range").where("within = own").select("range", "own", F.lag("path").over(Window.orderBy("range")).alias("behind"))  # a row per range
+    twice = walked.where("within = depth").join(F.broadcast(bounds), "range").where(F.startswith(F.concat("behind", F.lit("/")), F.concat("path", F.lit("/"))))
+    bounds = bounds.join(F.broadcast(twice.groupBy("range").agg(F.count("*").alias("twice"))), "range", "left").withColumn("twice", F.coalesce("twice", F.lit(0)))
+    offset = F.coalesce(F.sum(F.col("own") - F.col("twice")).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("twice")
+    offsets = materialise(bounds.select("range", "twice", offset.alias("offset"), (F.col("own") + offset).alias("end")), "offsets")
+    total = offsets.agg(F.max("end")).first()[0] or 0
+    placed = walked.join(F.broadcast(offsets), "range").where("within > twice").withColumn("pre", F.col("offset") + F.col("within"))
     # an interval that is open at the end of its range ends before the next node that is no deeper
     open_ = placed.where("ends IS NULL").select("range", "pre", "depth")  # one per range and depth
     firsts = placed.groupBy(F.col("range").alias("later"), F.col("depth").alias("level")).agg(F.min("pre").alias("first"))
     settled = open_.join(F.broadcast(firsts), (F.col("later") > F.col("range")) & (F.col("level") <= F.col("depth"))).groupBy(F.col("pre").alias("place")).agg((F.min("first") - 1).alias("settled"))
-    total = counts.agg(F.sum("own")).first()[0] or 0
     nodes = placed.join(F.broadcast(settled), F.col("pre") == F.col("place"), "left")
     last = F.coalesce(F.col("offset") + F.col("ends"), "settled", F.lit(total).cast("long"))
     parts = F.split("path", "/")
@@ -95,7 +116,7 @@ def labelled(entries: DataFrame, only_dirs: bool = False) -> DataFrame:
         parts.alias("parts"), "is_dir", "implied", "pre", last.alias("last"),
     )
     out = materialise(out.sortWithinPartitions("pre"), "labelled")
-    release(walked)
+    release(walked, offsets)
     return out
 
 
@@ -104,6 +125,15 @@ def below(tree: DataFrame, pre: int, last: int) -> DataFrame:
     return tree.where((F.col("pre") >= pre) & (F.col("pre") <= last))
 
 
+#: Places of a range that is cut by places alone.
+PLACES = 1 << 14
+
+
+def range_of(pre: Column) -> Column:
+    """The range of a place, for work that needs no more of a range than where it ends: neither a sample nor a table of ranges."""
+    return F.call_function("div", pre, F.lit(PLACES))
+
+
 def uncovered(tree: DataFrame, covers: Column) -> DataFrame:
     """The nodes that are below none for which covers holds: a running maximum of the ends of these, within ranges of places."""
     ranged = materialise(tree.withColumn("until", F.when(covers, F.col("last"))).repartitionByRange("pre").withColumn("range", F.spark_partition_id()), "covered")

@@ -13,10 +13,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from pathgrove.functions.values import raw_of, raw_path
-from pathgrove.sources.shared import materialise, release
+from pathgrove.sources.shared import materialise
 
 from . import intervals, tree
 
@@ -46,51 +46,71 @@ def _directories(children: DataFrame, name: str | None = None) -> DataFrame:
     return children.repartition("parent").sortWithinPartitions("parent", "name").select("parent", "signature").mapInArrow(run, "of string, digest string")
 
 
-_FOLDED = pa.schema([("place", pa.int64()), ("signature", pa.string()), ("loose", pa.bool_())])
+def _folding(columns: list[str]):
+    """A pass over nodes with the columns given, by range and pre, whose range ends at end: gives them signature, null where the
+    interval crosses the end of the range, and loose, whether the parent isn't folded with it. Nodes come out when their intervals end;
+    a task holds those around the present one."""
 
+    def run(batches):
+        stack, held, of = [], None, None  # (row, depth, name, digest or None) around the present row, whose rows are held first
+        closed, signatures, loose = [], [], []
+
+        def fold(row, name, digest, parent):
+            signature = None
+            if digest is not None:
+                digest.update(raw_of(name))
+                signature = digest.hexdigest()
+                if parent is not None:
+                    parent.update(digest.digest())
+            closed.append(row)
+            signatures.append(signature)
+            loose.append(signature is None or parent is None)
+
+        def close():
+            row, _, name, digest = stack.pop()
+            fold(row, name, digest, stack[-1][3] if stack else None)
+
+        def passed(rows):
+            out = rows.take(pa.array(closed, pa.int64())).append_column("signature", pa.array(signatures, pa.string())).append_column("loose", pa.array(loose, pa.bool_()))
+            for x in (closed, signatures, loose):
+                x.clear()
+            return out.combine_chunks().to_batches()
 
-def _folded(batches):
-    """place, signature, loose of rows (range, pre, last, depth, name, end): null where the interval crosses the end of the range; loose
-    where the parent isn't folded with it."""
-    stack, of, done = [], None, []  # (pre, depth, name, digest or None) around the present row
-
-    def close():
-        pre, _, name, digest = stack.pop()
-        if digest is None:
-            done.append((pre, None, True))
-            return
-        digest.update(raw_of(name))
-        held = stack[-1][3] if stack else None
+        for b in batches:
+            walk = intervals.listed(b.column(k) for k in ("range", "pre", "last", "depth", "name", "end"))
+            rows = pa.Table.from_batches([b]).select(columns)
+            start = 0 if held is None else held.num_rows
+            rows = rows if not start else pa.concat_tables([held, rows]).combine_chunks()
+            for row, (range_, pre, last, depth, name, end) in enumerate(zip(*walk, strict=True), start):
+                while stack and (range_ != of or stack[-1][1] >= depth):
+                    close()
+                of = range_
+                if pre == last:
+                    fold(row, name, hashlib.sha1(), stack[-1][3] if stack else None)
+                else:
+                    stack.append((row, depth, name, hashlib.sha1() if last <= end else None))
+            held = rows.take(pa.array([x[0] for x in stack], pa.int64())).combine_chunks()
+            yield from passed(rows)
+            stack = [(i, *x[1:]) for i, x in enumerate(stack)]
+        while stack:
+            close()
         if held is not None:
-            held.update(digest.digest())
-        done.append((pre, digest.hexdigest(), held is None))
-
-    def passed():
-        out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True) if done else ((), (), ()), _FOLDED, strict=True)], schema=_FOLDED)
-        done.clear()
-        return out
-
-    for b in batches:
-        for range_, pre, last, depth, name, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            while stack and (range_ != of or stack[-1][1] >= depth):
-                close()
-            of = range_
-            stack.append((pre, depth, name, hashlib.sha1() if last <= end else None))
-        yield passed()
-    while stack:
-        close()
-    yield passed()
+            yield from passed(held)
+
+    return run
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
     """The nodes of a labelled tree with a column signature (hex)."""
-    ranged = materialise(nodes.select("pre", "last", "depth", "name").repartitionByRange("pre").withColumn("range", F.spark_partition_id()), "ranged")
-    ends = ranged.groupBy("range").agg(F.max("pre").alias("end"))  # a row per partition
-    given = ranged.join(F.broadcast(ends), "range").repartition("range").sortWithinPartitions("range", "pre")
-    folded = materialise(given.select("range", "pre", "last", "depth", "name", "end").mapInArrow(_folded, "place long, signature string, loose boolean"), "folded")
-    release(ranged)
-    signed = nodes.join(folded, F.col("pre") == F.col("place")).drop("place")
     columns = [*nodes.columns, "signature"]
+    given = nodes.drop("parts").withColumn("range", intervals.range_of(F.col("pre"))).withColumn("end", (F.col("range") + 1) * intervals.PLACES - 1)
+    kept = [f for f in nodes.schema if f.name != "parts"]
+    folding = given.repartition("range").sortWithinPartitions("range", "pre").mapInArrow(
+        _folding([f.name for f in kept]), T.StructType([*kept, T.StructField("signature", T.StringType()), T.StructField("loose", T.BooleanType())])
+    )
+    signed = materialise(folding, "folded")
+    if "parts" in columns:
+        signed = signed.withColumn("parts", F.split("path", "/"))
     levels = [r["depth"] for r in signed.where("signature IS NULL").groupBy("depth").count().orderBy(F.desc("depth")).collect()]  # a row per depth
     loose, out = signed.where("loose AND signature IS NOT NULL"), signed.where("signature IS NOT NULL").select(columns)
     above = None
@@ -108,10 +128,17 @@ _SIGNED = ("path", "parent", "name", "depth", "is_dir", "signature")
 
 
 def changes(old: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes (as of ``tree.nodes``) that a tree with signatures lacks, and the rows of it that aren't nodes any more. A file that has
-    become a directory, or the other way round, is both."""
-    same = ["path", "is_dir"]
-    return nodes.join(old.select(same), same, "left_anti").select(*_SIGNED[:-1]), old.join(nodes.select(same), same, "left_anti").select(*_SIGNED)
+    """The nodes (as of ``tree.nodes``) that a tree with signatures lacks, and the rows of it that aren't nodes any more, as stored
+    tables. A file that has become a directory, or the other way round, is both.
+
+    Both trees meet once, by path."""
+    was, now = (df.select("path", "is_dir", F.lit(True).alias(side), *more) for df, side, more in ((old, "was", ["signature"]), (nodes, "now", [])))
+    both = was.join(now, ["path", "is_dir"], "full_outer")
+    changed = materialise(both.where("was IS NULL OR now IS NULL").select("path", "is_dir", "signature", F.col("now").isNotNull().alias("added")), "changed")
+    parts = F.split("path", "/")
+    depth, above = F.size(parts), F.slice(parts, 1, F.size(parts) - 1)
+    placed = changed.withColumns({"depth": depth, "parent": F.when(depth > 1, F.array_join(above, "/")).otherwise("."), "name": F.element_at(parts, -1)})
+    return placed.where("added").select(*_SIGNED[:-1]), placed.where("NOT added").select(*_SIGNED)
 
 
 def affected(added: DataFrame, removed: DataFrame) -> DataFrame:
@@ -126,7 +153,8 @@ def affected(added: DataFrame, removed: DataFrame) -> DataFrame:
 def read_for(old: DataFrame, added: DataFrame, removed: DataFrame, dirs: DataFrame) -> DataFrame:
     """What a refresh reads of a tree with signatures, and what is added: the children of affected directories, and those of them that
     are at the top. held: their signature, null for added ones; own: whether they are affected."""
-    near = dirs.select(F.col("path").alias("of"))
+    new = added.select("path").join(removed.select("path"), "path", "left_anti")  # the old tree has nothing below them
+    near = materialise(dirs.join(new, "path", "left_anti").select(F.col("path").alias("of")), "near")
     kids = old.join(near, old.parent == near.of, "left_semi").unionByName(old.where("depth = 1").join(near, old.path == near.of, "left_semi"))
     kids = kids.join(removed.select("path"), "path", "left_anti").select(*_SIGNED[:-1], F.col("signature").alias("held"))
     kids = kids.unionByName(added.withColumn("held", F.lit(None).cast("string")))

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import os
 import random
@@ -171,6 +172,58 @@ def test_refreshed_signatures_equal_a_full_fold(make):
     assert merkle.refresh(old, added, removed).count() == 0
 
 
+@pytest.mark.parametrize("places", [1, 3, 7])
+def test_signatures_against_recursion(make, monkeypatch, many_ranges, places):
+    """Trees that are cut into ranges at any place, with names that sort around the separator and its escapes."""
+    monkeypatch.setattr(intervals, "PLACES", places)
+    rng = random.Random(places)
+    names = ["a", "a.b", "a b", "a\0", "a\1", "a\1\2", "a\0\1", "\1", "\0", "ä", chr(values.KEPT + 0x80)]
+    paths = {"/".join(rng.choice(names) for _ in range(rng.randint(1, 5))) for _ in range(60)}
+    every = sorted({tuple(p.split("/")[:k]) for p in paths for k in range(1, p.count("/") + 2)}, key=lambda parts: [x.encode() for x in parts])
+    raw = lambda name: name.encode().replace(b"\xee\xbe\x80", b"\x80")
+    below = lambda parts: [q for q in every if q[:-1] == parts]
+
+    def sig(parts):
+        return hashlib.sha1(b"".join(sig(q) for q in below(parts)) + raw(parts[-1])).digest()
+
+    signed = merkle.signatures(intervals.labelled(make([(p, 1) for p in sorted(paths)]).entries))
+    assert signed.columns == ["path", "parent", "name", "depth", "parts", "is_dir", "implied", "pre", "last", "signature"]
+    got = {tuple(r["parts"]): (r["pre"], r["signature"]) for r in signed.collect()}
+    assert got == {q: (i, sig(q).hex()) for i, q in enumerate(every, 1)}
+
+
+def _counted(spark, df):
+    """df, and an accumulator of the rows that are read of it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), read
+
+
+def test_a_refresh_reads_both_trees_seldom(spark, make):
+    """The nodes once, the old tree once for the comparison, twice for the children of affected directories, once for the rest."""
+    paths = sorted(f"d{a}/e{b}/f{c}" for a in range(6) for b in range(6) for c in range(6))
+    entries = lambda ps: make([(p, 1) for p in ps]).entries
+    signed = merkle.materialise(merkle.signatures(intervals.labelled(entries(paths))), "old")
+    after = merkle.materialise(t.nodes(entries([p for p in paths if p != "d1/e1/f1"] + ["d0/new/x"])), "after")
+    (old, old_read), (nodes, nodes_read) = _counted(spark, signed), _counted(spark, after)
+    added, removed = merkle.changes(old, nodes)
+    delta = merkle.refresh(old, added, removed)
+    got = {(r["path"], r["signature"]) for r in merkle.refreshed(old, delta, removed).collect()}
+    assert got == {(r["path"], r["signature"]) for r in merkle.signatures(intervals.labelled(entries([p for p in paths if p != "d1/e1/f1"] + ["d0/new/x"]))).collect()}
+    assert nodes_read.value == after.count() and old_read.value <= 4 * signed.count()
+
+
+def test_signatures_read_the_tree_once(spark, make):
+    tree = intervals.labelled(make([(f"d{a}/e{b}/f{c}", 1) for a in range(5) for b in range(5) for c in range(5)]).entries)
+    nodes, read = _counted(spark, tree)
+    assert merkle.signatures(nodes).count() == 5 + 25 + 125 and read.value == 155
+
+
 def test_a_rendered_subtree(make, many_ranges):
     tree = intervals.labelled(make([("a/x/1", 1), ("a/x/2", 1), ("a/y/3", 1), ("b", 1)]).entries)
     assert [r["line"] for r in t.lines(t.within(tree, "a")).orderBy("pre").collect()] == ["└── a", "    ├── x", "    │   ├── 1", "    │   └── 2", "    └── y", "        └── 3"]
