@@ -113,9 +113,10 @@ def labelled(entries: DataFrame, only_dirs: bool = False) -> DataFrame:
     parts = F.split("path", "/")
     out = nodes.select(
         "path", F.when(F.col("depth") > 1, F.array_join(F.slice(parts, 1, F.col("depth") - 1), "/")).otherwise(".").alias("parent"), F.element_at(parts, -1).alias("name"), "depth",
-        parts.alias("parts"), "is_dir", "implied", "pre", last.alias("last"),
+        "is_dir", "implied", "pre", last.alias("last"),
     )
     out = materialise(out.sortWithinPartitions("pre"), "labelled")
+    out = out.select("path", "parent", "name", "depth", parts.alias("parts"), "is_dir", "implied", "pre", "last")  # parts aren't stored beside path
     release(walked, offsets)
     return out
 
@@ -136,7 +137,7 @@ def range_of(pre: Column) -> Column:
 
 def uncovered(tree: DataFrame, covers: Column) -> DataFrame:
     """The nodes that are below none for which covers holds: a running maximum of the ends of these, within ranges of places."""
-    ranged = materialise(tree.withColumn("until", F.when(covers, F.col("last"))).repartitionByRange("pre").withColumn("range", F.spark_partition_id()), "covered")
+    ranged = materialise(tree.withColumn("until", F.when(covers, F.col("last"))).withColumn("range", range_of(F.col("pre"))), "covered")
     until = _before(ranged.groupBy("range").agg(F.max("until").alias("own")), F.max("own"))
     near = F.max("until").over(Window.partitionBy("range").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1))
     marked = ranged.withColumn("near", near).join(F.broadcast(until), "range")

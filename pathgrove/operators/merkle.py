@@ -195,16 +195,16 @@ def duplicate_subtrees(signed: DataFrame) -> DataFrame:
     """signature, path of directories with the same signature, where no directory above is itself a repetition.
 
     A traversal with siblings by name descending decides which is first. A directory is visited when each directory above it is
-    the first of its signature. No directory has the signature of one above it, so the first is the one of the greatest parts: a maximum
+    the first of its signature. No directory has the signature of one above it, so the first is the one of the last place: a maximum
     per signature, combined before the shuffle."""
     return _members(signed).select("signature", "path")
 
 
 def _members(signed: DataFrame) -> DataFrame:
-    """signature, path, pre, last, first of duplicate_subtrees."""
-    dirs = signed.where("is_dir").select("path", "signature", "parts", "pre", "last")
-    first = dirs.groupBy("signature").agg(F.max("parts").alias("greatest"))
-    marked = dirs.join(first, "signature").select("path", "signature", "pre", "last", (F.col("parts") == F.col("greatest")).alias("first"))
+    """signature, path, pre, last, first of duplicate_subtrees. Places are in the order of parts."""
+    dirs = signed.where("is_dir").select("path", "signature", "pre", "last")
+    first = dirs.groupBy("signature").agg(F.max("pre").alias("greatest"))
+    marked = dirs.join(first, "signature").select("path", "signature", "pre", "last", (F.col("pre") == F.col("greatest")).alias("first"))
     visited = materialise(intervals.uncovered(marked, ~F.col("first")), "visited")
     shared = visited.groupBy("signature").count().where("count > 1").select("signature")
     return visited.join(shared, "signature")
@@ -216,7 +216,7 @@ def duplicate_lines(signed: DataFrame, with_trees: bool = False) -> DataFrame:
 
     All members of a group look alike below, so that one is drawn which is no first of its signature: nothing below such a one is a member
     of a group, so the intervals that are drawn are apart from each other."""
-    members = _members(signed)
+    members = materialise(_members(signed), "members")
     row = lambda df, part, path, pre, line: df.select("signature", F.lit(part).alias("part"), path.alias("path"), pre.alias("pre"), line.alias("line"))
     none, zero = F.lit(""), F.lit(0).cast("long")
     groups = members.select("signature").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pathgrove.functions.modes import DIR
 
+from .shared import materialise
 from .snapshot import Snapshot
 
 EPOCH = "2024-01-01 00:00:00"
@@ -58,10 +59,15 @@ def events_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Users, dates and the two tops are directories."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").distinct()
-    both = e.withColumn("top", F.lit("live")).unionByName(e.where(F.col("user_id") % 3 == 0).withColumn("top", F.lit("backup")))
-    leaf = both.select(F.concat_ws("/", "top", F.col("user_id").cast("string"), "day", "event_type").alias("path"), F.lit(0o644).alias("mode"))
-    above = both.select(F.explode(F.array(F.col("top"), F.concat_ws("/", "top", F.col("user_id").cast("string")), F.concat_ws("/", "top", F.col("user_id").cast("string"), "day"))).alias("path"))
-    rows = leaf.unionByName(above.distinct().withColumn("mode", F.lit(DIR | 0o755)))
+    e = materialise(e, "events")  # each level is dealt out from it on its own
+    tops = F.when(F.col("user_id") % 3 == 0, F.array(F.lit("live"), F.lit("backup"))).otherwise(F.array(F.lit("live")))
+    below = lambda df, *names: df.select(F.concat_ws("/", "top", *(F.col(x).cast("string") for x in names)).alias("path"))
+    both = lambda df: df.select("*", F.explode(tops).alias("top"))
+    leaf = below(both(e), "user_id", "day", "event_type").withColumn("mode", F.lit(0o644))
+    days = below(both(e.where("day IS NOT NULL").select("user_id", "day").distinct()), "user_id", "day")
+    users = below(both(e.where("user_id IS NOT NULL").select("user_id").distinct()), "user_id")
+    above = days.unionByName(users).unionByName(below(both(e).select("top").distinct()))
+    rows = leaf.unionByName(above.withColumn("mode", F.lit(DIR | 0o755)))
     number = F.conv(F.substring(F.sha1("path"), 1, 12), 16, 10).cast("long")
     return entries_of(rows.select(number.alias("idx"), "path", F.lit(1).alias("size"), "mode", F.lit(EPOCH).cast("timestamp").alias("mtime")))
 

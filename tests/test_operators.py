@@ -11,7 +11,7 @@ from pathgrove.functions import values
 from pathgrove.functions.modes import DIR
 from pathgrove.operators import diff as d, export, intervals, lifecycle, merkle, search as s, stats, tree as t
 from pathgrove.plans import options
-from pathgrove.sources import filesystem, snapshot as store
+from pathgrove.sources import derived, filesystem, snapshot as store
 
 T0 = dt.datetime(2023, 10, 31, 5, 30, 42)
 LATER = dt.datetime(2023, 11, 12, 6, 33, 24)
@@ -224,6 +224,24 @@ def test_signatures_read_the_tree_once(spark, make):
     assert merkle.signatures(nodes).count() == 5 + 25 + 125 and read.value == 155
 
 
+def test_duplicates_read_the_tree_twice(spark, make, many_ranges):
+    """Once for the last place of each signature, once to mark what repeats."""
+    tree = merkle.materialise(merkle.signatures(intervals.labelled(make([(f"d{a}", 0, "d") for a in range(9)] + [(f"d{a}/f{b}/same", 1) for a in range(9) for b in range(3)]).entries)), "tree")
+    signed, read = _counted(spark, tree.withColumn("is_dir", F.lit(True)))
+    lines = [r["line"] for r in merkle.duplicate_lines(signed).collect()]
+    assert sum(x.startswith("Signature: ") for x in lines) == 4 and read.value <= 2 * tree.count()
+
+
+def test_the_tree_of_events(spark, tmp_path):
+    """Every level once, where users or times are null too."""
+    rows = [(3, dt.datetime(2024, 1, 1), "view"), (3, dt.datetime(2024, 1, 1), "view"), (4, dt.datetime(2024, 1, 1), "click"), (3, None, "view"), (None, dt.datetime(2024, 1, 2), "view"), (4, None, None)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r["path"], bool(r["mode"] & DIR)) for r in derived.events_tree(spark, str(tmp_path)).collect()]
+    dirs = {"live", "live/3", "live/3/2024-01-01", "live/4", "live/4/2024-01-01", "live/2024-01-02", "backup", "backup/3", "backup/3/2024-01-01"}
+    files = {"live/3/2024-01-01/view", "live/4/2024-01-01/click", "live/3/view", "live/2024-01-02/view", "live/4", "backup/3/2024-01-01/view", "backup/3/view"}
+    assert sorted(got) == sorted([(p, True) for p in dirs] + [(p, False) for p in files])
+
+
 def test_a_rendered_subtree(make, many_ranges):
     tree = intervals.labelled(make([("a/x/1", 1), ("a/x/2", 1), ("a/y/3", 1), ("b", 1)]).entries)
     assert [r["line"] for r in t.lines(t.within(tree, "a")).orderBy("pre").collect()] == ["└── a", "    ├── x", "    │   ├── 1", "    │   └── 2", "    └── y", "        └── 3"]
