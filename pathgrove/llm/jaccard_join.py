@@ -10,8 +10,9 @@ With threshold T and radius r = 1 - T, two documents link when their distance is
 3. Windows. By the triangle inequality, a point also goes to each region whose pivot is at most 2r farther than the
    nearest one, and to the open region if its nearest pivot is farther than CUT - r. So any two linked points meet.
 4. Sub-regions. Distances between unrelated texts are all near 1, so no document divides them; a region is divided by rare
-   shingles, in the order of (count in the sample, hash). A point of n shingles goes to the sub-regions of its first
-   n - ceil(T n) + 1 shingles: two linked points share one of these. Two points of each sub-region are its pivots, and all others
+   shingles, in the order of (count in the sample, counts of its words in the sample, hash). A shingle that the sample doesn't have is as
+   rare as its words, so that those of few documents come first in a corpus of any size. A point of n shingles goes to the sub-regions of
+   its first n - ceil(T n) + 1 shingles: two linked points share one of these. Two points of each sub-region are its pivots, and all others
    are tested against them. Sub-regions whose points are then all connected fall away.
 5. In the others, points of different components meet if their places in the order allow a link: the first shingle they
    share is at places i and j, so they share at most min(n - i, m - j); and if sketches of MARKS bits do.
@@ -33,18 +34,21 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chat import batched
 from .common import bounded_batches, held, materialise, release
 from .components import components
 
 SAMPLE, COMMON, CUT, CROWD, MARKS, APART = 12_000, 300_000, 0.7, 64, 512, 0.3
+WORDS = 1 << 20  # buckets of word hashes
 PIVOT_SHINGLES = (8, 4096)  # sizes of the documents that may be pivots: bounds what is broadcast
 
 
@@ -62,19 +66,40 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's shingles, ascending."""
+def word_hashes(text: str | None) -> np.ndarray:
     words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(held(("word hashes",), _Words).__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - size + 1)
-    width = min(size, len(words))
+    return np.fromiter(map(held(("word hashes",), _Words).__getitem__, words), np.uint64, len(words))
+
+
+def buckets(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(WORDS - 1)).astype(np.int32)
+
+
+def rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of a text's shingles in its order, by the hashes of its words (one at least)."""
+    n = max(1, len(h) - size + 1)
+    width = min(size, len(h))
     out = h[:n] + np.uint64(width)
     for i in range(1, width):
         out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
     out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(31)))
+    return out ^ (out >> np.uint64(31))
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, ascending."""
+    h = word_hashes(text)
+    return np.unique(rolled(h, size)) if len(h) else np.zeros(0, np.uint64)
+
+
+def ranked_shingles(text: str | None, size: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """shingles(), and for each how frequent its words are: the sum of their ranks."""
+    h = word_hashes(text)
+    if not len(h):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out, first = np.unique(rolled(h, size), return_index=True)
+    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(ranks[buckets(h)], dtype=np.int64)])
+    return out, sums[first + min(size, len(h))] - sums[first]
 
 
 def exact_shingles(text: str | None, size: int) -> set[tuple]:
@@ -112,6 +137,7 @@ class Space:
     starts: np.ndarray  # per token, into pivot_of
     pivot_of: np.ndarray
     pivot_sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    ranks: np.ndarray = field(default_factory=lambda: np.zeros(WORDS, np.uint8))  # of words, per bucket: 8 log2 of the count in the sample
 
     @property
     def radius(self) -> float:
@@ -124,12 +150,12 @@ class Space:
         at = np.minimum(np.searchsorted(self.tokens, h), len(self.tokens) - 1)
         return at, self.tokens[at] == h
 
-    def first_keys(self, h: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    def first_keys(self, h: np.ndarray, words: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
         """The shingles of the sub-regions that a point goes to, in order."""
         n = len(h)
         keep = n + (-n * self.num // self.den) + 1
         count = np.where(there, self.counts[at] if len(self.counts) else 0, 0)
-        return h[np.lexsort((h, count))[:keep]]
+        return h[np.lexsort((h, words, count))[:keep]]
 
     def regions(self, n: int, at: np.ndarray, there: np.ndarray) -> tuple[list[int], list[int]]:
         """Regions that the point goes to (-1: open), and the pivots that it links to."""
@@ -158,12 +184,16 @@ def sample_space(docs: DataFrame, size: int, num: int, den: int, pivots: int) ->
     texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").where("text IS NOT NULL").distinct()
 
     def run(batches):
-        schema = pa.schema([("fp", pa.binary()), ("n", pa.int64()), ("h", pa.list_(pa.int64()))])
+        schema = pa.schema([("fp", pa.binary()), ("n", pa.int64()), ("h", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
         for b in batches:
-            rows = ((fingerprint(h), len(h), h.view(np.int64)) for h in (shingles(t, size) for t in b.column(0).to_pylist()))
-            yield from batched(rows, schema, 200)
-
-    sets = materialise(texts.mapInArrow(run, "fp binary, n long, h array<long>"), "sample")
+            found = ((shingles(t, size), buckets(word_hashes(t))) for t in b.column(0).to_pylist())
+            yield from batched(((fingerprint(h), len(h), h.view(np.int64), words) for h, words in found), schema, 200)
+
+    sets = materialise(texts.mapInArrow(run, "fp binary, n long, h array<long>, words array<int>"), "sample")
+    # at most WORDS rows; a word that the sample has once ranks as one that it doesn't have
+    repeated = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("count")).where("count > 1").toArrow()
+    ranks = np.zeros(WORDS, np.uint8)
+    ranks[repeated.column("word").to_numpy()] = np.round(8 * np.log2(repeated.column("count").to_numpy())).clip(0, 255)
     # at most COMMON rows
     common = sets.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     # the densest: most shingles that others have too; sets with the same least shingle are mostly copies of each other
@@ -179,6 +209,7 @@ def sample_space(docs: DataFrame, size: int, num: int, den: int, pivots: int) ->
             hashes.append(own.copy())
             prints.append(fp)
             taken = np.union1d(taken, own)
+    release(sets)
     known = np.asarray(common.column("h").to_numpy(), np.int64).view(np.uint64)
     tokens = np.unique(np.concatenate([known, *hashes])) if len(known) or hashes else np.zeros(0, np.uint64)
     counts = np.zeros(len(tokens), np.int64)
@@ -187,7 +218,7 @@ def sample_space(docs: DataFrame, size: int, num: int, den: int, pivots: int) ->
     owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
     order = np.argsort(at, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(tokens)))]).astype(np.int64)
-    return Space(size, num, den, tokens, counts.astype(np.int32), starts.astype(np.int32), owner[order].astype(np.int16), np.array([len(h) for h in hashes], np.int64)), prints
+    return Space(size, num, den, tokens, counts.astype(np.int32), starts.astype(np.int32), owner[order].astype(np.int16), np.array([len(h) for h in hashes], np.int64), ranks), prints
 
 
 def fingerprint(h: np.ndarray) -> bytes:
@@ -203,11 +234,11 @@ def points(docs: DataFrame, space) -> DataFrame:
         s: Space = space.value
 
         def row(doc_id, text):
-            h = shingles(text, s.size)
+            h, words = ranked_shingles(text, s.size, s.ranks)
             if not len(h):
                 return doc_id, 0, fingerprint(h), [], b"", [], [], []
             at, there = s.locate(h)
-            return doc_id, len(h), fingerprint(h), s.first_keys(h, at, there).view(np.int64), sketch(h), marks(h), *s.regions(len(h), at, there)
+            return doc_id, len(h), fingerprint(h), s.first_keys(h, words, at, there).view(np.int64), sketch(h), marks(h), *s.regions(len(h), at, there)
 
         for b in batches:
             yield from batched((row(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), _POINTS, 500)
@@ -283,14 +314,13 @@ def _meetings(cells: DataFrame, num: int, den: int, window: float | None = None)
 def _crowded(docs: DataFrame, classes: DataFrame, members: DataFrame, space, num: int, den: int) -> DataFrame:
     """Pairs of the sub-regions of over CROWD points (step 6)."""
     pivots = materialise(members.groupBy("region", "key").agg(F.min("node").alias("pivot")), "pivots")
-    zones = materialise(members.join(pivots, ["region", "key"]).select("pivot", "node").distinct(), "zones")
-    wanted = zones.select("node").distinct()  # a pivot is a point of its own zone
+    zones = members.join(pivots, ["region", "key"]).groupBy("node").agg(F.collect_set("pivot").alias("pivots"))  # a pivot is a point of its own zone
 
     def sets_of(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("h", pa.list_(pa.int64()))])
+        schema = pa.schema([("node", pa.int64()), ("pivots", pa.list_(pa.int64())), ("h", pa.list_(pa.int64()))])
         for b in batches:
-            sets = (shingles(t, space.value.size) for t in b.column(1).to_pylist())
-            yield from batched(((i, fingerprint(h), h.view(np.int64)) for i, h in zip(b.column(0).to_pylist(), sets, strict=True)), schema, 200)
+            sets = ((i, p, shingles(t, space.value.size), fp) for i, p, fp, t in zip(*(b.column(c).to_pylist() for c in ("node", "pivots", "fp", "text")), strict=True))
+            yield from batched(((i, p, h.view(np.int64)) for i, p, h, fp in sets if fingerprint(h) == fp), schema, 200)
 
     def distances(batches):
         for b in batches:
@@ -298,17 +328,24 @@ def _crowded(docs: DataFrame, classes: DataFrame, members: DataFrame, space, num
             both = [(len(h), len(g), len(np.intersect1d(h.values.to_numpy(), g.values.to_numpy(), assume_unique=True))) for h, g in pairs]
             yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("node"), pa.array([1 - x / (n + m - x) for n, m, x in both], pa.float64())], ["pivot", "node", "distance"])
 
-    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").distinct().mapInArrow(sets_of, "doc_id long, fp binary, h array<long>")
-    prints = classes.select("node", "fp").join(wanted, "node", "left_semi")
-    sets = materialise(texts.join(prints, "fp").where("doc_id = node").groupBy("node").agg(F.first("h").alias("h")), "shingles")
-    own = sets.select(F.col("node").alias("pivot"), F.col("h").alias("g"))
-    measured = zones.join(sets, "node").join(own, "pivot").select("pivot", "node", "h", "g").mapInArrow(distances, "pivot long, node long, distance double")
-    cells = members.join(pivots, ["region", "key"]).join(materialise(measured, "distances"), ["pivot", "node"])
+    sets = _own_texts(docs, classes.select("node", "fp").join(zones, "node")).mapInArrow(sets_of, "node long, pivots array<long>, h array<long>")
+    sets = materialise(sets, "shingles")
+    own = sets.join(pivots.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").groupBy(F.col("node").alias("pivot")).agg(F.first("h").alias("g"))
+    measured = sets.select("node", F.explode("pivots").alias("pivot"), "h").join(own, "pivot").mapInArrow(distances, "pivot long, node long, distance double")
+    measured = materialise(measured.distinct(), "distances")
+    release(sets)
+    cells = members.join(pivots, ["region", "key"]).join(measured, ["pivot", "node"])
     pairs = materialise(_meetings(cells, num, den, 1 - num / den).distinct(), "crowded")
-    release(zones, sets)
+    release(pivots, measured)
     return pairs
 
 
+def _own_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (node, fp, more) with the texts of the rows whose doc_id is node: once each, also those whose set isn't of that fingerprint, as
+    equal ids may have other texts. Dealt once, by doc_id."""
+    return docs.join(wanted, docs.doc_id == wanted.node).drop("doc_id").dropDuplicates(["node", "text"])
+
+
 def _links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: first by sketches, then by the words of both texts."""
     sketches = classes.select("node", "n", "sketch")
@@ -319,10 +356,8 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, p
     )
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # a class's text: of the row that gave the class its number (equal ids with other texts are told apart by the fingerprint)
-    prints = classes.select("node", "fp").join(wanted, "node", "left_semi")
-    texts = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").distinct()
-    texts = texts.mapInArrow(_fingerprints(size), "doc_id long, fp binary, text string").join(prints, "fp").where("doc_id = node").groupBy("node").agg(F.first("text").alias("text"))
+    # a class's text: of a row that gave the class its number
+    texts = _own_texts(docs, classes.select("node", "fp").join(wanted, "node", "left_semi")).mapInArrow(_of_fingerprint(size), "node long, text string")
     texts = materialise(texts, "texts")
     compared = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
@@ -334,8 +369,25 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, p
     return links
 
 
+@contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files are deleted with the job that made them, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def link_documents(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, pivots: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs (doc_id, text). Linked when den * |A & B| >= num * |A | B|."""
+    with _swept(docs.sparkSession):
+        return _link_documents(docs, size, num, den, pivots)
+
+
+def _link_documents(docs: DataFrame, size: int, num: int, den: int, pivots: int) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -392,12 +444,10 @@ def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     return kept
 
 
-def _fingerprints(size: int):
+def _of_fingerprint(size: int):
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("text", pa.string())])
         for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            yield from batched(((i, fingerprint(shingles(t, size)), t) for i, t in rows), schema)
+            fits = [fingerprint(shingles(t, size)) == fp for t, fp in zip(b.column("text").to_pylist(), b.column("fp").to_pylist(), strict=True)]
+            yield b.select(["node", "text"]).filter(pa.array(fits, pa.bool_()))
 
     return run
-

@@ -242,6 +242,16 @@ def test_crowded_regions_recurse(spark, monkeypatch, pivots):
     assert seen[0] > 0
 
 
+def test_keys_are_rare_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 30)  # so it doesn't have most of the shingles that many documents share
+    rng = random.Random(3)
+    rows = [(i, " ".join([rng.choice("abcdefghijkl") for _ in range(120)] + [f"u{i}x{k}" for k in range(40)])) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    space, _ = jaccard_join.sample_space(docs, 3, 90, 100, 0)
+    keys = jaccard_join.points(docs, spark.sparkContext.broadcast(space)).select(F.explode("keys").alias("key"))
+    assert keys.groupBy("key").count().agg(F.max("count")).first()[0] == 1
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
