@@ -43,6 +43,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pathgrove.sources.shared import outlasting, scratch
+
 from .chat import batched
 from .common import bounded_batches, held, materialise, release
 from .components import components
@@ -434,7 +436,8 @@ def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
     """docs, all columns, with the document of the smallest doc_id of each group of linked documents.
 
     Rows without shingles or without a doc_id stay. Rows that share a doc_id are one document; equal rows stay once."""
-    links = materialise(link_documents(docs, size, num, den), "links")
+    with scratch():
+        links = outlasting(link_documents(docs, size, num, den), "links")
     stays = F.col("component_id").isNull() | (F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))
     ids = links.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("rows"))
     gone = ids.where("NOT stays").select("doc_id")

@@ -4,6 +4,8 @@ import itertools
 import random
 import struct
 import zlib
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathgrove.llm import chat, components, jaccard_join, media, neighbours, packing, piece_bpe, quality, repeats, token_files, url_filter, word_ids
+from pathgrove.llm.common import shared_dir
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string"
@@ -252,6 +255,15 @@ def test_keys_are_rare_beyond_the_sample(spark, monkeypatch):
     assert keys.groupBy("key").count().agg(F.max("count")).first()[0] == 1
 
 
+def test_near_copies_leave_one_table(spark):
+    shared = Path(unquote(urlparse(shared_dir(spark)).path))
+    text, tables = " ".join(f"w{k}" for k in range(60)), {*shared.iterdir()}
+    rows = [(i, f"{text} x{i}") for i in range(5)] + [(9, None)]
+    kept = jaccard_join.drop_near_copies(spark.createDataFrame(rows, DOCS))
+    assert [p.name[:6] for p in {*shared.iterdir()} - tables] == ["links-"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 9]
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
